@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from assaylake.llm import entropy_mix, html_extract, ogg_media, packing, token_counts
+from assaylake.llm import entropy_mix, html_extract, license_scan, ogg_media, packing, token_counts, weak_supervision
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,14 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_supervision.judge(table(spark, sf_dir, "documents"))
+
+
 def op5_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg_media.read_features(ogg_media.store(table(spark, sf_dir, "documents")))
 
@@ -40,4 +48,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_license_scan": license_scan.duckdb_sql()}
