@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from assaylake.llm import entropy_mix, html_extract, license_scan, ogg_media, packing, token_counts, weak_supervision
+from assaylake.llm import bigru_langid, entropy_mix, html_extract, license_scan, ogg_media, packing, token_counts, weak_supervision
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +35,12 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entropy_mix.decisions(table(spark, sf_dir, "documents"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = bigru_langid.with_split(table(spark, sf_dir, "documents"))
+    net = bigru_langid.train(docs.where("not held_out and lang is not null").select("text", "lang"))
+    return bigru_langid.predict(docs.select("doc_id", "text", "held_out"), net)
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"))
