@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaylake.llm import bigru_langid, entropy_mix, html_extract, license_scan, ogg_media, packing, setsketch, token_counts, weak_supervision
+from assaylake.llm import bigru_langid, entropy_mix, html_extract, license_scan, ogg_media, packing, rindex_dedup, setsketch, token_counts, weak_supervision
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entropy_mix.decisions(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rindex_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = bigru_langid.with_split(table(spark, sf_dir, "documents"))
     net = bigru_langid.train(docs.where("not held_out and lang is not null").select("text", "lang"))
