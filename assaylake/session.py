@@ -53,12 +53,17 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write a frame as a Parquet table in the shared folder and read it back; cuts lineage, survives lost executors."""
+    """Write a frame as a Parquet table in the shared folder and read it back; cuts lineage, survives lost executors.
+
+    The shuffles of the write are of no use afterwards: a collection of the driver's garbage lets Spark's
+    cleaner delete their files now rather than at some later time.
+    """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/assaylake/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._assaylake_path = path
+    spark.sparkContext._jvm.System.gc()
     return out
 
 
