@@ -93,4 +93,7 @@ def duck(sql: str) -> str:
     body = bare(sql).strip()
     if not views:
         return body
-    return f"WITH {views},\n{body[5:]}" if body[:5].upper() == "WITH " else f"WITH {views}\n{body}"
+    for head in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(head):
+            return f"{head}{views},\n{body[len(head):]}"
+    return f"WITH {views}\n{body}"
