@@ -1 +1,146 @@
-"""Queries follow."""
+"""Branch selection and calibration over parts, suppliers and orders."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from assaylake.functions import scalars as S
+from assaylake.operators import evidence as E
+from assaylake.operators import selection as O
+from assaylake.plans.registry import query
+
+POOL = """pool AS (SELECT p_partkey AS candidate_id, p_brand AS scope, -floor(p_retailprice * 100 + 0.5) / 100 AS price, CAST(p_size AS DOUBLE) AS size, p_type AS kind FROM {part})"""
+NORM = """norm AS (SELECT b.candidate_id, expert_id, property_name, p_brand AS scope, CASE WHEN hi > lo THEN (value - lo) / (hi - lo) ELSE 1.0 END AS nv FROM (
+SELECT b.*, p_brand, min(value) OVER w AS lo, max(value) OVER w AS hi FROM {b_property} b JOIN {part} ON p_partkey = candidate_id WINDOW w AS (PARTITION BY property_name, expert_id)) b)"""
+DIS = f"""{NORM}, sp AS (SELECT candidate_id, scope, property_name, max(nv) - min(nv) AS span, count(DISTINCT expert_id) AS e FROM norm GROUP BY 1, 2, 3),
+pan AS (SELECT scope, count(DISTINCT candidate_id) AS members FROM sp WHERE property_name = 'energy' GROUP BY 1),
+dis AS (SELECT candidate_id, max(CASE WHEN e >= 2 AND NOT (property_name = 'energy' AND coalesce(members, 0) < 2) THEN span END) AS score, max(CASE WHEN e < 2 THEN 1 ELSE 0 END) AS single FROM sp LEFT JOIN pan USING (scope) GROUP BY 1)"""
+BRANCH = f"""{DIS}, src AS (SELECT p_partkey AS candidate_id, p_type AS kind, -p_retailprice AS stability, -abs(p_size - 25.0) AS target FROM {{part}}),
+br AS (SELECT 'stability' AS branch, kind, candidate_id, stability AS score FROM src UNION ALL SELECT 'target', kind, candidate_id, target FROM src UNION ALL SELECT 'disagreement', kind, d.candidate_id, score FROM dis d JOIN src USING (candidate_id)),
+top AS (SELECT *, row_number() OVER (PARTITION BY kind, branch ORDER BY score DESC NULLS LAST, candidate_id) AS rank FROM br QUALIFY rank <= 8)"""
+
+
+def pool(t):
+    price = -F.floor(F.col("p_retailprice") * 100 + 0.5) / 100
+    return t.part.select(F.col("p_partkey").alias("candidate_id"), F.col("p_brand").alias("scope"), price.alias("price"), F.col("p_size").cast("double").alias("size"), F.col("p_type").alias("kind"))
+
+
+def normalised(t):
+    rows = t.b_property.join(t.part.select(F.col("p_partkey").alias("candidate_id"), F.col("p_brand").alias("scope")), "candidate_id")
+    return E.min_max(rows, "value", ["property_name", "expert_id"])
+
+
+def branches(t):
+    src = t.part.select(F.col("p_partkey").alias("candidate_id"), F.col("p_type").alias("kind"), (-F.col("p_retailprice")).alias("stability"), (-F.abs(F.col("p_size") - 25.0)).alias("target"))
+    apart = O.selector_disagreement(normalised(t), "candidate_id", "scope", "energy").select("candidate_id", F.col("score").alias("disagreement"))
+    wide = src.join(apart, "candidate_id")
+    plain = src.unpivot(["kind", "candidate_id"], ["stability", "target"], "branch", "score")
+    rows = plain.unionByName(wide.select("kind", "candidate_id", F.lit("disagreement").alias("branch"), F.col("disagreement").alias("score")))
+    return O.top_k(rows, ["kind", "branch"], [F.col("score").desc_nulls_last(), F.col("candidate_id")], 8)
+
+
+@query("""SELECT p_partkey AS candidate_id, array_to_string(r, ';') AS reasons, len(r) = 0 AS eligible FROM (SELECT p_partkey, list_sort(list_filter([CASE WHEN n IS NULL THEN 'missing_evidence' END, CASE WHEN n < 2 THEN 'missing_evaluator' END, CASE WHEN p_size > 45 THEN 'out_of_domain' END, CASE WHEN worst > 0.09 THEN 'constraint_violated' END], lambda x: x IS NOT NULL)) AS r
+FROM {part} LEFT JOIN (SELECT candidate_id, count(DISTINCT expert_id) AS n, max(max_force) AS worst FROM {b_prediction} GROUP BY 1) ON candidate_id = p_partkey)""")
+def eligibility(t):
+    seen = t.b_prediction.groupBy("candidate_id").agg(F.countDistinct("expert_id").alias("n"), F.max("max_force").alias("worst"))
+    rows = t.part.select(F.col("p_partkey").alias("candidate_id"), "p_size").join(seen, "candidate_id", "left")
+    out = E.eligibility(rows, "candidate_id", missing_evidence=F.col("n").isNull(), missing_evaluator=F.col("n") < 2, out_of_domain=F.col("p_size") > 45, constraint_violated=F.col("worst") > 0.09)
+    return out.select("candidate_id", S.joined(F.col("reasons")).alias("reasons"), "eligible")
+
+
+@query("SELECT candidate_id FROM {b_property} GROUP BY 1 HAVING count(DISTINCT (expert_id, property_name)) = (SELECT count(DISTINCT (expert_id, property_name)) FROM {b_property})")
+def common_dimensions(t):
+    return O.common_dimensions(t.b_property, "candidate_id", ["expert_id", "property_name"])
+
+
+@query(f"""WITH {POOL} SELECT candidate_id FROM pool a WHERE NOT EXISTS (SELECT 1 FROM pool b WHERE b.candidate_id <> a.candidate_id AND CASE WHEN a.scope = b.scope THEN b.size >= a.size AND b.price >= a.price AND (b.size > a.size OR b.price > a.price) ELSE b.size > a.size END)""")
+def first_front(t):
+    return O.first_front(pool(t).select("candidate_id", "scope", "size", "price"), "candidate_id", ["size"], ["price"], "scope").select("candidate_id")
+
+
+@query(f"""WITH {POOL}, p AS (SELECT candidate_id, kind, scope, size / 50 AS x, price / 2000 AS y FROM pool) SELECT a.candidate_id, floor(coalesce(min(greatest(abs(a.x - b.x), abs(a.y - b.y))), 1.0) * 10000 + 0.5) / 10000 AS diversity FROM p a LEFT JOIN p b ON a.scope = b.scope AND a.candidate_id <> b.candidate_id GROUP BY 1""")
+def diversity_nn(t):
+    rows = pool(t).select("candidate_id", "scope", (F.col("size") / 50).alias("x"), (F.col("price") / 2000).alias("y"))
+    return O.nearest_distance(rows, "candidate_id", "scope", ["x", "y"]).withColumn("diversity", S.rounded(F.col("diversity")))
+
+
+@query(f"WITH {DIS} SELECT candidate_id, floor(score * 10000 + 0.5) / 10000 AS score, CASE WHEN score IS NULL AND single = 1 THEN 'single_expert' ELSE '' END AS reasons FROM dis")
+def selector_disagreement(t):
+    out = O.selector_disagreement(normalised(t), "candidate_id", "scope", "energy")
+    return out.select("candidate_id", S.rounded(F.col("score")).alias("score"), S.joined(F.col("reasons")).alias("reasons"))
+
+
+@query(f"WITH {BRANCH} SELECT kind, branch, candidate_id, rank FROM top")
+def branch_topk(t):
+    return branches(t).select("kind", "branch", "candidate_id", "rank")
+
+
+@query(f"""WITH {DIS}, d AS (SELECT p_type AS kind, candidate_id, score FROM dis JOIN {{part}} ON p_partkey = candidate_id),
+k AS (SELECT kind, candidate_id, row_number() OVER (PARTITION BY kind ORDER BY score DESC, candidate_id) AS rank FROM d WHERE score >= 0.5 QUALIFY rank <= 4),
+u AS (SELECT kind, min(candidate_id) AS candidate_id FROM d WHERE score IS NULL GROUP BY 1),
+s AS (SELECT u.kind, u.candidate_id, least(coalesce(n, 0) + 1, 4) AS rank FROM u LEFT JOIN (SELECT kind, count(*) AS n FROM k GROUP BY 1) USING (kind))
+SELECT kind, candidate_id, rank FROM k WHERE (kind, rank) NOT IN (SELECT (kind, rank) FROM s) UNION ALL SELECT * FROM s""")
+def disagreement_topk(t):
+    rows = O.selector_disagreement(normalised(t), "candidate_id", "scope", "energy").join(t.part.select(F.col("p_partkey").alias("candidate_id"), F.col("p_type").alias("kind")), "candidate_id")
+    return O.disagreement_top_k(rows, "candidate_id", "kind", 0.5, 4)
+
+
+@query(f"""WITH {BRANCH}, f AS (SELECT candidate_id, least(1.0, coalesce(sum(CASE WHEN score IS NOT NULL THEN CASE branch WHEN 'disagreement' THEN 0.25 ELSE 1.0 END / (20 + rank) END), 0) / (3.95 / 21)) AS fused, count(*) AS n_branches FROM top GROUP BY 1)
+SELECT candidate_id, floor(fused * 10000 + 0.5) / 10000 AS fused, n_branches FROM f""")
+def rrf_rank(t):
+    return O.rank_fusion(branches(t), "candidate_id").withColumn("fused", S.rounded(F.col("fused")))
+
+
+@query("""SELECT o_custkey, CAST(o_orderdate AS TIMESTAMP) AS o_orderdate, o_orderkey, o_totalprice, conflict FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_totalprice DESC) AS r, count(DISTINCT o_totalprice) OVER (PARTITION BY o_custkey, o_orderdate) > 1 AS conflict FROM {orders}) WHERE r = 1""".replace("CAST(o_orderdate AS TIMESTAMP) AS o_orderdate", "strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate"))
+def latest_record(t):
+    rows = t.orders.select("o_custkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("o_orderdate"), "o_orderkey", "o_totalprice")
+    return O.latest_record(rows, "o_custkey", ["o_orderdate"], "o_totalprice")
+
+
+@query("SELECT DISTINCT l_partkey, l_suppkey, sha256(concat_ws('|', CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR))) AS ref FROM {lineitem}")
+def unique_refs(t):
+    return t.lineitem.select("l_partkey", "l_suppkey").distinct().withColumn("ref", S.identity_hash(F.col("l_partkey"), F.col("l_suppkey")))
+
+
+@query("""SELECT user_id, array_to_string(list_sort(list_filter(['signup', 'purchase', 'error'], lambda x: NOT list_contains(have, x))), ';') AS missing FROM (SELECT user_id, list(DISTINCT event_type) AS have FROM {events} WHERE event_id % 20 = 0 GROUP BY 1)""")
+def required_missing(t):
+    have = t.events.where("event_id % 20 = 0").groupBy("user_id").agg(F.collect_set("event_type").alias("have"))
+    required = F.array(*map(F.lit, ("signup", "purchase", "error")))
+    return have.select("user_id", S.joined(F.array_sort(F.array_except(required, "have"))).alias("missing"))
+
+
+@query(f"""WITH {BRANCH}, c AS (SELECT candidate_id, CASE branch WHEN 'stability' THEN 1 WHEN 'target' THEN 2 ELSE 3 END AS tier, rank, md5(p_brand || p_type) AS digest FROM top JOIN {{part}} ON p_partkey = candidate_id),
+d AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY digest ORDER BY tier, rank, candidate_id) = 1) SELECT candidate_id, CAST(tier AS INT) AS tier, rank, digest FROM d ORDER BY tier, rank, candidate_id LIMIT 25""")
+def shortlist(t):
+    tier = F.when(F.col("branch") == "stability", 1).when(F.col("branch") == "target", 2).otherwise(3)
+    rows = branches(t).join(t.part.select(F.col("p_partkey").alias("candidate_id"), F.md5(F.concat("p_brand", "p_type")).alias("digest")), "candidate_id")
+    return O.shortlist(rows.select("candidate_id", tier.alias("tier"), "rank", "digest"), "candidate_id", "digest", 25)
+
+
+QUANT = """q AS (SELECT scope_id, n, CAST(ceil((n + 1) * CAST(0.9 AS DOUBLE) - 1e-12) AS BIGINT) AS k FROM (SELECT scope_id, count(*) AS n FROM {b_calibration} GROUP BY 1)),
+o AS (SELECT scope_id, score, row_number() OVER (PARTITION BY scope_id ORDER BY score) AS r FROM {b_calibration})"""
+
+
+@query(f"WITH {QUANT} SELECT q.scope_id, n, k AS rank, score AS quantile, CASE WHEN k > n THEN 'calibration_set_too_small' END AS reason FROM q LEFT JOIN o ON o.scope_id = q.scope_id AND r = k")
+def conformal_quantile(t):
+    return O.conformal_quantile(t.b_calibration, "scope_id", "score", 0.1)
+
+
+@query(f"""WITH {QUANT} SELECT o_orderkey, CASE WHEN o_custkey % 11 = 0 THEN NULL ELSE floor((o_totalprice - score) * 10000 + 0.5) / 10000 END AS lower_bound, CASE WHEN o_custkey % 11 = 0 THEN NULL ELSE floor((o_totalprice + score) * 10000 + 0.5) / 10000 END AS upper_bound,
+CASE WHEN o_custkey % 11 = 0 THEN 'weight_revision_mismatch' ELSE '' END AS reasons FROM {{orders}} JOIN q ON q.scope_id = o_orderpriority JOIN o ON o.scope_id = q.scope_id AND r = k""")
+def conformal_interval(t):
+    artifact = O.conformal_quantile(t.b_calibration, "scope_id", "score", 0.1)
+    rows = t.orders.join(artifact, F.col("o_orderpriority") == F.col("scope_id"), "left")
+    why = S.reasons(scope_missing=F.col("scope_id").isNull(), quantile_missing=F.col("quantile").isNull(), weight_revision_mismatch=F.col("o_custkey") % 11 == 0)
+    of = lambda x: F.when(F.size(why) == 0, S.rounded(x))
+    return rows.select("o_orderkey", of(F.col("o_totalprice") - F.col("quantile")).alias("lower_bound"), of(F.col("o_totalprice") + F.col("quantile")).alias("upper_bound"), S.joined(why).alias("reasons"))
+
+
+@query("""WITH cal AS (SELECT * FROM {b_calibration} WHERE sample_id % 5 <> 0), q AS (SELECT scope_id, CAST(ceil((count(*) + 1) * CAST(0.9 AS DOUBLE) - 1e-12) AS BIGINT) AS k FROM cal GROUP BY 1),
+o AS (SELECT scope_id, score, row_number() OVER (PARTITION BY scope_id ORDER BY score) AS r FROM cal), v AS (SELECT q.scope_id, score AS quantile FROM q JOIN o ON o.scope_id = q.scope_id AND r = k)
+SELECT scope_id, count(*) AS n_held_out, floor(avg(CASE WHEN score <= quantile THEN 1.0 ELSE 0.0 END) * 10000 + 0.5) / 10000 AS coverage FROM {b_calibration} JOIN v USING (scope_id) WHERE sample_id % 5 = 0 GROUP BY 1""")
+def coverage(t):
+    scores = t.b_calibration
+    artifact = O.conformal_quantile(scores.where("sample_id % 5 <> 0"), "scope_id", "score", 0.1)
+    held = scores.where("sample_id % 5 = 0").join(artifact.select("scope_id", "quantile"), "scope_id")
+    return held.groupBy("scope_id").agg(F.count("*").alias("n_held_out"), S.rounded(F.avg((F.col("score") <= F.col("quantile")).cast("double"))).alias("coverage"))
