@@ -1 +1,79 @@
-"""Queries follow."""
+"""Decisions on observations of parts under conditions."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from assaylake.functions import scalars as S
+from assaylake.operators import decision as O
+from assaylake.plans.registry import query
+
+CRIT = """crit AS (SELECT candidate_id, role_id, CASE WHEN count(DISTINCT cond_year) > 1 THEN 'incomparable' WHEN count(DISTINCT (value, lower_bound, upper_bound)) > 1 THEN 'conflicting' ELSE 'available' END AS status,
+min(value) AS v, min(lower_bound) AS lo, min(upper_bound) AS hi, min(cond_year) AS y, array_to_string(list_sort(list(DISTINCT validator_id)), ';') AS validators, count(*) AS n_observations
+FROM {b_observation} WHERE l_orderkey % 12 = 0 GROUP BY 1, 2)"""
+AVAIL = f"{CRIT}, avail AS (SELECT candidate_id, role_id, y, lo, hi, v FROM crit WHERE status = 'available')"
+
+
+def criteria(t):
+    return O.criterion_status(t.b_observation.where("l_orderkey % 12 = 0"), ["candidate_id", "role_id"], "cond_year", "value", "lower_bound", "upper_bound", "validator_id")
+
+
+def available(t):
+    rows = criteria(t).where("status = 'available'").withColumn("group_id", F.concat_ws("|", "role_id", "cond_year"))
+    worth = S.interval_utility(F.col("lower_bound"), F.col("upper_bound"), F.lit("minimize"), F.lit(None).cast("double"))
+    return rows.withColumn("u", worth).select("candidate_id", "role_id", "group_id", F.col("u.worst").alias("worst"), F.col("u.best").alias("best"))
+
+
+@query(f"WITH {CRIT} SELECT candidate_id, role_id, status, CASE WHEN status = 'available' THEN v END AS value, CASE WHEN status = 'available' THEN lo END AS lower_bound, CASE WHEN status = 'available' THEN hi END AS upper_bound, CASE WHEN status <> 'incomparable' THEN y END AS cond_year, validators, n_observations FROM crit")
+def criterion_status(t):
+    return criteria(t).withColumn("validators", S.joined(F.col("validators")))
+
+
+@query("""WITH g AS (SELECT candidate_id, CASE WHEN upper_bound < 950 OR lower_bound > 1700 THEN 'fail' WHEN lower_bound < 950 OR upper_bound > 1700 THEN 'unknown' ELSE 'pass' END AS gate FROM {b_observation})
+SELECT candidate_id, CASE WHEN bool_or(gate = 'fail') THEN 'fail' WHEN bool_or(gate = 'unknown') THEN 'unknown' ELSE 'pass' END AS hard_gate FROM g GROUP BY 1""")
+def hard_gate(t):
+    gate = S.interval_gate(F.col("lower_bound"), F.col("upper_bound"), F.lit(950.0), F.lit(1700.0))
+    return O.gate_rollup(t.b_observation.select("candidate_id", gate.alias("gate")), ["candidate_id"])
+
+
+@query(f"WITH {CRIT} SELECT role_id, sha256(string_agg(concat_ws('|', 'price', CAST(y AS VARCHAR)), ';' ORDER BY concat_ws('|', 'price', CAST(y AS VARCHAR)))) AS group_id, candidate_id, count(*) AS n_criteria FROM crit WHERE status = 'available' GROUP BY role_id, candidate_id")
+def condition_groups(t):
+    return O.condition_groups(criteria(t).where("status = 'available'"), ["role_id", "candidate_id"], [F.lit("price"), F.col("cond_year")])
+
+
+@query(f"""WITH RECURSIVE {AVAIL}, chain(candidate_id, role_id, front) AS (SELECT candidate_id, role_id, 1 FROM avail UNION SELECT b.candidate_id, b.role_id, c.front + 1 FROM chain c JOIN avail a ON a.candidate_id = c.candidate_id AND a.role_id = c.role_id JOIN avail b ON a.role_id = b.role_id AND a.y = b.y AND a.hi < b.lo)
+SELECT candidate_id, CAST(max(front) AS BIGINT) AS front FROM chain GROUP BY candidate_id""")
+def robust_fronts(t):
+    return O.robust_fronts(available(t), "candidate_id", "group_id", [("worst", "best")])
+
+
+@query(f"""WITH {AVAIL}, s AS (SELECT candidate_id, role_id, y, -hi AS w, min(-hi) OVER p AS lo_, max(-hi) OVER p AS hi_, count(*) OVER p AS n FROM avail WINDOW p AS (PARTITION BY role_id, y)),
+k AS (SELECT candidate_id, role_id, y, CASE WHEN n >= 2 THEN CASE WHEN abs(hi_ - lo_) <= 1e-9 * greatest(abs(hi_), abs(lo_)) THEN 50.0 ELSE 100.0 * (w - lo_) / (hi_ - lo_) END END AS score FROM s)
+SELECT candidate_id, role_id || '|' || CAST(y AS VARCHAR) AS group_id, floor(score * 10000 + 0.5) / 10000 AS score, dense_rank() OVER (PARTITION BY role_id, y ORDER BY floor(score * 10000 + 0.5) DESC NULLS LAST) AS rank FROM k""")
+def pool_score(t):
+    from pyspark.sql import Window
+
+    rows = available(t).withColumn("criterion_id", F.lit("price")).withColumn("weight", F.lit(1.0))
+    out = O.pool_scores(rows, "candidate_id", "group_id", "worst", "weight").withColumn("score", S.rounded(F.col("score")))
+    return out.withColumn("rank", F.dense_rank().over(Window.partitionBy("group_id").orderBy(F.col("score").desc_nulls_last())).cast("long"))
+
+
+@query(f"WITH {CRIT} SELECT role_id, floor(100.0 * count(CASE WHEN status = 'available' THEN 1 END) / count(*) * 10000 + 0.5) / 10000 AS completeness, count(*) AS n_criteria, bool_and(status = 'available') AS ready FROM crit GROUP BY 1")
+def completeness(t):
+    return O.completeness(criteria(t), ["role_id"]).withColumn("completeness", S.rounded(F.col("completeness")))
+
+
+@query("""SELECT l.doc_id, b.item_id, CASE WHEN b.item_id IS NULL THEN 'unknown_record' WHEN d.doc_id IS NULL THEN 'unknown_claim' ELSE 'resolved' END AS status FROM (SELECT doc_id, doc_id % 50 AS item FROM {labels}) l LEFT JOIN {documents} d USING (doc_id) LEFT JOIN {benchmark} b ON b.item_id = l.item""")
+def citations(t):
+    cited = t.labels.select("doc_id", (F.col("doc_id") % 50).alias("item"))
+    claims = t.documents.select("doc_id", F.lit(True).alias("claim"))
+    out = cited.join(claims, "doc_id", "left").join(t.benchmark.select("item_id"), F.col("item") == F.col("item_id"), "left")
+    status = F.when(F.col("item_id").isNull(), "unknown_record").when(F.col("claim").isNull(), "unknown_claim").otherwise("resolved")
+    return out.select("doc_id", "item_id", status.alias("status"))
+
+
+@query("""SELECT DISTINCT role_id, name, sha256(concat_ws('|', role_id, name)) AS seed_id FROM (SELECT p_type AS role_id, lower(p_brand) AS name FROM {part} UNION ALL SELECT s_name, lower(s_name) FROM (SELECT CAST(s_suppkey AS VARCHAR) AS s_name FROM {supplier}))""")
+def seed_union(t):
+    seeds = t.part.select(F.col("p_type").alias("role_id"), F.lower("p_brand").alias("name"))
+    given = t.supplier.select(F.col("s_suppkey").cast("string").alias("role_id"), F.col("s_suppkey").cast("string").alias("name"))
+    return seeds.unionByName(given).distinct().withColumn("seed_id", S.identity_hash(F.col("role_id"), F.col("name")))
