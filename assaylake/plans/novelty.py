@@ -1 +1,86 @@
-"""Queries follow."""
+"""Identity and novelty over documents, benchmark and embeddings."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from assaylake.functions import scalars as S
+from assaylake.operators import novelty as O
+from assaylake.plans.registry import query
+
+EXT = """ext AS (SELECT d.doc_id, d.source AS provider, e.record_id IS NOT NULL AS matched FROM (SELECT doc_id, source, lower(trim(substr(text, 1, 60))) AS probe FROM {documents}) d LEFT JOIN (SELECT probe, min(record_id) AS record_id FROM {b_external} GROUP BY 1) e USING (probe)),
+st AS (SELECT doc_id, provider, CASE WHEN substr(provider, 4) IN ('7', '13') THEN 'unknown' WHEN matched THEN 'match' ELSE 'no_match' END AS status FROM ext)"""
+
+
+def external(t):
+    probes = t.documents.select("doc_id", F.col("source").alias("provider"), F.lower(F.trim(F.substring("text", 1, 60))).alias("probe"))
+    hits = t.b_external.groupBy("probe").agg(F.min("record_id").alias("record_id"))
+    rows = probes.join(hits, "probe", "left").withColumn("matched", F.col("record_id").isNotNull())
+    complete = t.documents.select(F.col("source").alias("provider")).distinct().withColumn("complete", ~F.substring("provider", 4, 9).isin("7", "13"))
+    return O.snapshot_status(rows, complete, "doc_id")
+
+
+@query("SELECT doc_id, min(doc_id) OVER w AS first, count(*) OVER w AS copies, doc_id <> min(doc_id) OVER w AS duplicate FROM {documents} WINDOW w AS (PARTITION BY text)")
+def batch_dup(t):
+    return O.batch_duplicates(t.documents.withColumn("fingerprint", F.sha2("text", 256)), "doc_id", "fingerprint")
+
+
+@query("SELECT d.doc_id, coalesce(n, 0) AS n_matches, m AS matched_id FROM (SELECT * FROM {documents} WHERE doc_id % 2 = 0) d LEFT JOIN (SELECT text, count(*) AS n, min(doc_id) AS m FROM {documents} WHERE doc_id % 2 = 1 GROUP BY 1) h USING (text)")
+def history_match(t):
+    rows = t.documents.select("doc_id", F.sha2("text", 256).alias("fingerprint"))
+    history = rows.where("doc_id % 2 = 1").withColumnRenamed("doc_id", "history_id")
+    return O.history_matches(rows.where("doc_id % 2 = 0"), history, "fingerprint").select("doc_id", "n_matches", "matched_id")
+
+
+@query(f"WITH {EXT} SELECT doc_id, provider, status FROM st")
+def external_match(t):
+    return external(t)
+
+
+@query(f"""WITH {EXT}, stages AS (SELECT doc_id, status FROM st UNION ALL SELECT doc_id, CASE WHEN count(*) OVER (PARTITION BY text) > 1 THEN 'match' ELSE 'no_match' END FROM {{documents}})
+SELECT doc_id, CASE WHEN bool_or(status = 'match') THEN 'match' WHEN bool_and(status = 'no_match') THEN 'no_match' ELSE 'unknown' END AS status FROM stages GROUP BY 1""")
+def novelty_status(t):
+    batch = O.batch_duplicates(t.documents.withColumn("fingerprint", F.sha2("text", 256)), "doc_id", "fingerprint")
+    batch = batch.select("doc_id", F.when(F.col("copies") > 1, "match").otherwise("no_match").alias("status"))
+    return O.status_algebra(external(t).select("doc_id", "status").unionByName(batch), ["doc_id"])
+
+
+@query(f"""WITH {EXT}, base AS (SELECT doc_id AS candidate_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS slot FROM {{documents}} QUALIFY slot <= 5),
+best AS (SELECT s.doc_id FROM st s JOIN {{documents}} d USING (doc_id) WHERE status = 'no_match' AND lang = 'es' ORDER BY n_chars DESC, doc_id LIMIT 1),
+extra AS (SELECT doc_id AS candidate_id, 5 AS slot FROM best WHERE doc_id NOT IN (SELECT candidate_id FROM base))
+SELECT candidate_id, slot, false AS reserved FROM base WHERE slot NOT IN (SELECT slot FROM extra) UNION ALL SELECT candidate_id, slot, true FROM extra""")
+def reserve_slot(t):
+    from pyspark.sql import Window
+
+    top = t.documents.select("doc_id", "n_chars").orderBy(F.desc("n_chars"), "doc_id").limit(5)
+    base = top.select(F.col("doc_id").alias("candidate_id"), F.row_number().over(Window.orderBy(F.desc("n_chars"), "doc_id")).cast("long").alias("slot"))
+    rank = F.struct((-F.col("n_chars")).alias("n"), F.col("doc_id").alias("d"))
+    pool = external(t).join(t.documents.where("lang = 'es'").select("doc_id", "n_chars"), "doc_id").select(F.col("doc_id").alias("candidate_id"), "status", rank.alias("rank"))
+    return O.reserve_slot(base, pool, 5)
+
+
+@query()
+def leader_groups(t):
+    return O.leader_groups(t.embeddings, "label", "vec_id", "embedding", 0.35)
+
+
+@query("""SELECT lang, count(*) AS raw, count(CASE WHEN n_chars >= 50 THEN 1 END) AS parsed, count(DISTINCT CASE WHEN n_chars >= 50 THEN text END) AS exact_unique, count(CASE WHEN n_chars BETWEEN 50 AND 5000 THEN 1 END) AS within_limits FROM {documents} GROUP BY 1""")
+def funnel(t):
+    ok = F.col("n_chars") >= 50
+    return t.documents.groupBy("lang").agg(F.count("*").alias("raw"), F.count_if(ok).alias("parsed"), F.countDistinct(F.when(ok, F.sha2("text", 256))).alias("exact_unique"), F.count_if(ok & (F.col("n_chars") <= 5000)).alias("within_limits"))
+
+
+@query("""SELECT a.p_partkey AS a, b.p_partkey AS b, CASE WHEN v <= 0.03 AND l <= 0.02 AND g <= 1 THEN 'strict' WHEN l <= 0.2 AND g <= 5 AND v <= 0.03 THEN 'ambiguous' WHEN l <= 0.2 AND g <= 5 THEN 'scaled' ELSE 'distinct' END AS relation
+FROM {part} a JOIN {part} b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey < b.p_partkey, LATERAL (SELECT abs(a.p_retailprice - b.p_retailprice) / ((a.p_retailprice + b.p_retailprice) / 2) AS v, abs(a.p_size - b.p_size) / 50.0 AS l, CAST(abs(a.p_size - b.p_size) AS DOUBLE) AS g) x WHERE v <= 0.1""")
+def pair_relation(t):
+    side = lambda n: t.part.select(F.col("p_partkey").alias(n), "p_brand", "p_type", F.col("p_retailprice").alias(f"v{n}"), F.col("p_size").alias(f"s{n}"))
+    pairs = side("a").join(side("b"), ["p_brand", "p_type"]).where("a < b")
+    volume = F.abs(F.col("va") - F.col("vb")) / ((F.col("va") + F.col("vb")) / 2)
+    gap = F.abs(F.col("sa") - F.col("sb"))
+    return pairs.where(volume <= 0.1).select("a", "b", O.pair_relation(volume, gap / 50.0, gap.cast("double")).alias("relation"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_quantity > 45 THEN 'size:too_many_atoms' WHEN l_returnflag = 'R' THEN 'domain:element_not_allowed' WHEN l_discount > 0.08 THEN 'condition:system_mismatch' END AS rejection FROM {lineitem}""")
+def output_contract(t):
+    why = F.when(F.col("l_quantity") > 45, "size:too_many_atoms").when(F.col("l_returnflag") == "R", "domain:element_not_allowed").when(F.col("l_discount") > 0.08, "condition:system_mismatch")
+    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", why.alias("rejection"))
