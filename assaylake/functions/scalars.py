@@ -208,7 +208,7 @@ def tri_state(value: Column) -> Column:
 def mentions(haystack: Column, needle: Column) -> Column:
     """Whether needle stands in haystack between characters that aren't letters or digits; both in lower case."""
     escaped = F.regexp_replace(needle, r"([\\.^$|?*+()\[\]{}])", r"\\$1")
-    return haystack.rlike(F.concat(F.lit("(^|[^a-z0-9])"), escaped, F.lit("([^a-z0-9]|$)")))
+    return F.rlike(haystack, F.concat(F.lit("(^|[^a-z0-9])"), escaped, F.lit("([^a-z0-9]|$)")))
 
 
 def identity_hash(*parts: Column) -> Column:
@@ -222,7 +222,7 @@ def sampling_seed(*parts: Column) -> Column:
 
 def canonical_number(value: Column) -> Column:
     """A numeric text in one form (300.0 and 300 are equal), other texts as they are."""
-    number = F.expr("try_cast(_v AS DOUBLE)") if value is None else value.try_cast("double")
+    number = value.try_cast("double")
     whole = (number == F.floor(number)) & (F.abs(number) < 1e15)
     return F.when(number.isNull() | F.lower(value).isin("nan", "inf", "infinity", "-inf"), value).when(whole, number.cast("long").cast("string")).otherwise(number.cast("string"))
 

@@ -1 +1,77 @@
-"""Queries follow."""
+"""A/B arms and distances over orders, documents and embeddings."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from assaylake.functions import scalars as S
+from assaylake.plans.registry import query
+
+TERMS = {"legal": ["rights", "license", "gnu"], "web": ["mit", "apache"], "contact": ["reserved", "version"]}
+
+
+@query("""SELECT coalesce(a.pair_id, b.pair_id) AS pair_id, coalesce(a.pair_slot, b.pair_slot) AS pair_slot, a.config = b.config AND a.pair_id IS NOT NULL AND b.pair_id IS NOT NULL AS paired,
+CASE WHEN a.pair_id IS NULL THEN 'off_missing' WHEN b.pair_id IS NULL THEN 'on_missing' WHEN a.config <> b.config THEN 'config_differs' END AS reason, CASE WHEN a.config = b.config THEN floor((a.value - b.value) * 100 + 0.5) / 100 END AS improvement
+FROM (SELECT * FROM {b_pair} WHERE arm = 'off') a FULL JOIN (SELECT * FROM {b_pair} WHERE arm = 'on') b ON a.pair_id = b.pair_id AND a.pair_slot = b.pair_slot""")
+def paired_delta(t):
+    arm = lambda a, p: t.b_pair.where(F.col("arm") == a).select("pair_id", "pair_slot", F.col("value").alias(f"{p}v"), F.col("config").alias(f"{p}c"))
+    both = arm("off", "a").join(arm("on", "b"), ["pair_id", "pair_slot"], "full")
+    why = F.when(F.col("ac").isNull(), "off_missing").when(F.col("bc").isNull(), "on_missing").when(F.col("ac") != F.col("bc"), "config_differs")
+    gain = S.signed_improvement(F.col("av"), F.col("bv"), F.lit("minimize"), *[F.lit(None).cast("double")] * 3)
+    return both.select("pair_id", "pair_slot", why.isNull().alias("paired"), why.alias("reason"), F.when(why.isNull(), S.rounded(gain, 2)).alias("improvement"))
+
+
+@query("""WITH c AS (SELECT o_orderpriority AS p, o_orderstatus AS s, count(*) AS n FROM {orders} GROUP BY 1, 2), f AS (SELECT p, s, n / sum(n) OVER (PARTITION BY p) AS f FROM c),
+k AS (SELECT a.p AS pa, b.p AS pb, s.s FROM (SELECT DISTINCT p FROM c) a JOIN (SELECT DISTINCT p FROM c) b ON a.p < b.p CROSS JOIN (SELECT DISTINCT s FROM c) s),
+x AS (SELECT pa, pb, coalesce(fa.f, 0.0) AS u, coalesce(fb.f, 0.0) AS v FROM k LEFT JOIN f fa ON fa.p = pa AND fa.s = k.s LEFT JOIN f fb ON fb.p = pb AND fb.s = k.s)
+SELECT pa AS a, pb AS b, floor(sum(abs(u - v)) / 2 * 10000 + 0.5) / 10000 AS total_variation, floor(sum(CASE WHEN u > 0 THEN u * log2(2 * u / (u + v)) ELSE 0 END + CASE WHEN v > 0 THEN v * log2(2 * v / (u + v)) ELSE 0 END) / 2 * 10000 + 0.5) / 10000 AS jensen_shannon FROM x GROUP BY 1, 2""")
+def tv_js_divergence(t):
+    counts = t.orders.groupBy("o_orderpriority", "o_orderstatus").agg(F.count("*").cast("double").alias("n"))
+    maps = counts.groupBy("o_orderpriority").agg(F.map_from_entries(F.collect_list(F.struct("o_orderstatus", "n"))).alias("m")).select("o_orderpriority", S.fractions(F.col("m")).alias("f"))
+    side = lambda n: maps.select(F.col("o_orderpriority").alias(n), F.col("f").alias(f"f{n}"))
+    pairs = side("a").join(side("b"), F.col("a") < F.col("b"))  # a row a priority
+    return pairs.select("a", "b", S.rounded(S.total_variation(F.col("fa"), F.col("fb"))).alias("total_variation"), S.rounded(S.jensen_shannon(F.col("fa"), F.col("fb"))).alias("jensen_shannon"))
+
+
+@query("""SELECT a.p_partkey, floor(levenshtein(a.p_name, b.p_name) / greatest(length(a.p_name), length(b.p_name)) * 10000 + 0.5) / 10000 AS distance FROM {part} a JOIN {part} b ON b.p_partkey = a.p_partkey + 1""")
+def edit_distance(t):
+    after = t.part.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("other"))
+    return t.part.join(after, "p_partkey").select("p_partkey", S.rounded(S.sequence_distance(F.col("p_name"), F.col("other"))).alias("distance"))
+
+
+@query("""WITH k AS (SELECT o_custkey, o_orderpriority AS kind, array_to_string(list_sort(list(CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END) FILTER (o_orderkey % 2 = 0)), ',') AS a, array_to_string(list_sort(list(o_orderstatus) FILTER (o_orderkey % 2 = 1)), ',') AS b FROM {orders} GROUP BY 1, 2)
+SELECT o_custkey, array_to_string(list_sort(list(kind) FILTER (coalesce(a, '') <> coalesce(b, ''))), ';') AS changed FROM k GROUP BY 1 HAVING count(CASE WHEN coalesce(a, '') <> coalesce(b, '') THEN 1 END) > 0""")
+def kinds_changed(t):
+    of = lambda r: F.array_sort(F.collect_list(F.when(F.col("o_orderkey") % 2 == r, F.col("o_orderstatus"))))
+    kinds = t.orders.groupBy("o_custkey", F.col("o_orderpriority").alias("kind")).agg(of(0).alias("a"), of(1).alias("b"))
+    return kinds.where("a <> b").groupBy("o_custkey").agg(S.joined(F.array_sort(F.collect_list("kind"))).alias("changed"))
+
+
+TERM_ROWS = [(field, term) for field, terms in TERMS.items() for term in terms]
+TERM_SQL = "(VALUES " + ", ".join(f"('{f}', '{w}')" for f, w in TERM_ROWS) + ") v(field, term)"
+
+
+@query(f"""WITH m AS (SELECT doc_id, field, term FROM {{documents}} JOIN {TERM_SQL} ON regexp_matches(lower(text), '(^|[^a-z0-9])' || term || '([^a-z0-9]|$)')),
+s AS (SELECT doc_id, field, count(*) AS score FROM m GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, field) AS k, lead(score) OVER (PARTITION BY doc_id ORDER BY score DESC, field) AS next FROM s)
+SELECT doc_id, CASE WHEN score = next THEN 'general' ELSE field END AS field, score, score = coalesce(next, 0) AS ambiguous FROM r WHERE k = 1""")
+def term_route(t):
+    from pyspark.sql import Window
+
+    terms = t.spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{f}', '{w}')" for f, w in TERM_ROWS) + " AS v(field, term)")
+    hits = t.documents.select("doc_id", F.lower("text").alias("text")).join(F.broadcast(terms), S.mentions(F.col("text"), F.col("term")))  # the term dictionary is a fixed table
+    scores = hits.groupBy("doc_id", "field").agg(F.count("*").alias("score"))
+    w = Window.partitionBy("doc_id").orderBy(F.desc("score"), "field")
+    best = scores.withColumn("k", F.row_number().over(w)).withColumn("next", F.lead("score").over(w)).where("k = 1")
+    tie = F.coalesce(F.col("score") == F.col("next"), F.lit(False))
+    return best.select("doc_id", F.when(tie, "general").otherwise(F.col("field")).alias("field"), "score", tie.alias("ambiguous"))
+
+
+@query("""SELECT p_partkey AS parent, round(x, 2) AS control FROM (SELECT p_partkey, unnest([0.5, 0.4, 0.6, 0.5 + p_size / 100.0]) AS x FROM {part}) GROUP BY 1, 2""".replace("round(x, 2)", "floor(least(0.9, x) * 100 + 0.5) / 100"))
+def control_sweep(t):
+    points = F.array(F.lit(0.5), F.lit(0.4), F.lit(0.6), 0.5 + F.col("p_size") / 100.0)
+    return t.part.select(F.col("p_partkey").alias("parent"), F.explode(points).alias("x")).select("parent", S.rounded(F.least(F.lit(0.9), F.col("x")), 2).alias("control")).distinct()
+
+
+@query("""SELECT o_orderkey, CAST('0x' || substr(sha256(concat_ws('|', '7', CAST(o_orderkey AS VARCHAR), o_orderpriority)), 1, 8) AS BIGINT) AS seed FROM {orders}""")
+def sampling_seed(t):
+    return t.orders.select("o_orderkey", S.sampling_seed(F.lit(7), F.col("o_orderkey"), F.col("o_orderpriority")).alias("seed"))

@@ -1 +1,60 @@
-"""Queries follow."""
+"""Controllers and counters over the event log."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from assaylake.functions import scalars as S
+from assaylake.operators import control as O
+from assaylake.plans.registry import query
+
+
+@query()
+def scheduler_trace(t):
+    return O.scheduler_trace(t.b_scheduler_obs.withColumn("high_disagreement", F.col("event_id") % 7 == 0))
+
+
+@query()
+def ucb_trace(t):
+    return O.allocation_trace(t.b_scheduler_obs, "branch_id")
+
+
+@query("""SELECT branch_id, round_index, count(*) OVER w = 3 AND min(objective_improvement) OVER w > 0 AS sustained, count(*) OVER w = 3 AND max(objective_improvement) OVER w <= 0 AS stagnant, lag(structural_collapse_rate) OVER (PARTITION BY branch_id ORDER BY round_index) AS previous_collapse
+FROM {b_scheduler_obs} WINDOW w AS (PARTITION BY branch_id ORDER BY round_index ROWS 2 PRECEDING)""")
+def trend_window(t):
+    return O.trend(t.b_scheduler_obs, "branch_id", "round_index", "objective_improvement", "structural_collapse_rate", 3)
+
+
+@query("""WITH b AS (SELECT branch_id, round_index // 10 AS round, max(objective_improvement) AS best FROM {b_scheduler_obs} GROUP BY 1, 2)
+SELECT branch_id, CAST(round AS BIGINT) AS round, best, CAST(sign(best - lag(best) OVER (PARTITION BY branch_id ORDER BY round)) AS BIGINT) AS improvement FROM b""")
+def pareto_cover(t):
+    rows = t.b_scheduler_obs.withColumn("round", F.floor(F.col("round_index") / 10))
+    return O.cover(rows, ["branch_id"], "round", "objective_improvement")
+
+
+@query("""SELECT branch_id, CAST(round_index // 20 AS BIGINT) AS round, count(*) AS children, floor(avg(structural_collapse_rate) * 10000 + 0.5) / 10000 AS collapse_rate, floor(sum(objective_improvement) * 100 + 0.5) / 100 AS improvement FROM {b_scheduler_obs} GROUP BY 1, 2""")
+def collapse_rate(t):
+    rows = t.b_scheduler_obs.groupBy("branch_id", F.floor(F.col("round_index") / 20).alias("round"))
+    return rows.agg(F.count("*").alias("children"), S.rounded(F.avg("structural_collapse_rate")).alias("collapse_rate"), S.rounded(F.sum("objective_improvement"), 2).alias("improvement"))
+
+
+@query("""SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM {events} GROUP BY 1, 2""")
+def windowed_funnel(t):
+    out = t.events.groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"))
+    return out.select(F.date_format("window.start", "yyyy-MM-dd HH").alias("hour"), "event_type", "n", "users")
+
+
+@query("""SELECT user_id, calls, candidates, calls >= 60 AS exhausted, CASE WHEN failed = calls THEN 'failed' WHEN calls >= 60 THEN 'exhausted' WHEN failed > 10 THEN 'partial' ELSE 'completed' END AS status FROM (SELECT user_id, count(*) AS calls, count(DISTINCT props->>'k') AS candidates, count(CASE WHEN event_type = 'error' THEN 1 END) AS failed FROM {events} GROUP BY 1)""")
+def budget_usage(t):
+    out = t.events.groupBy("user_id").agg(F.count("*").alias("calls"), F.countDistinct(F.get_json_object("props", "$.k")).alias("candidates"), F.count_if(F.col("event_type") == "error").alias("failed"))
+    status = F.when(F.col("failed") == F.col("calls"), "failed").when(F.col("calls") >= 60, "exhausted").when(F.col("failed") > 10, "partial").otherwise("completed")
+    return out.select("user_id", "calls", "candidates", (F.col("calls") >= 60).alias("exhausted"), status.alias("status"))
+
+
+@query("""WITH p AS (SELECT user_id, event_id, CASE WHEN event_type = 'error' THEN 0 ELSE 1 END AS tier, value FROM {events}), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY tier, value DESC, event_id) AS slot FROM p) SELECT user_id, event_id, slot FROM r WHERE slot <= 4""")
+def frontier(t):
+    from pyspark.sql import Window
+
+    tier = F.when(F.col("event_type") == "error", 0).otherwise(1)
+    w = Window.partitionBy("user_id").orderBy(tier, F.desc("value"), "event_id")
+    return t.events.withColumn("slot", F.row_number().over(w).cast("long")).where("slot <= 4").select("user_id", "event_id", "slot")

@@ -1 +1,53 @@
-"""Queries follow."""
+"""Remaining scalar functions over the tables: units, formulas, variants, dates, identities."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from assaylake.functions import scalars as S
+from assaylake.operators import chemistry as C
+from assaylake.plans.registry import query
+
+UNIT = "CASE l_linenumber % 5 WHEN 0 THEN 'nm' WHEN 1 THEN 'pm' WHEN 2 THEN ' Bohr ' WHEN 3 THEN 'furlong' END"
+FACTOR = "CASE l_linenumber % 5 WHEN 0 THEN 10.0 WHEN 1 THEN 0.01 WHEN 2 THEN 0.529177210903 END"
+
+
+@query(f"SELECT l_orderkey, l_linenumber, l_partkey, floor(l_quantity * {FACTOR} * 10000 + 0.5) / 10000 AS angstrom, CASE WHEN {FACTOR} IS NULL THEN 'unit_unknown' END AS reason FROM {{lineitem}}")
+def unit_convert(t):
+    factor = S.unit_factor(F.expr(UNIT), S.LENGTH_UNITS)
+    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", S.rounded(F.col("l_quantity") * factor).alias("angstrom"), F.when(factor.isNull(), "unit_unknown").alias("reason"))
+
+
+@query("""WITH f AS (SELECT p_partkey, p_size AS a, p_partkey % 4 + 1 AS b FROM {part}) SELECT p_partkey, CASE WHEN p_partkey % 10 = 0 THEN 'unbalanced_brackets' END AS error, CASE WHEN p_partkey % 10 <> 0 THEN CAST(a + 2 * b AS DOUBLE) END AS oxygen, CASE WHEN p_partkey % 10 <> 0 THEN CAST(b AS DOUBLE) END AS iron FROM f""")
+def formula_elements(t):
+    b = (F.col("p_partkey") % 4 + 1).cast("string")
+    text = F.concat(F.lit("O"), F.col("p_size").cast("string"), F.lit("(FeO2"), F.when(F.col("p_partkey") % 10 == 0, "").otherwise(")"), b)
+    out = C.formula_elements(t.part.withColumn("formula", text), "p_partkey", "formula")
+    return out.select("p_partkey", "error", F.col("counts")["O"].alias("oxygen"), F.col("counts")["Fe"].alias("iron"))
+
+
+@query("""WITH p AS (SELECT a.vec_id, a.label, list_zip(a.embedding, b.embedding) AS z FROM {embeddings} a JOIN {embeddings} b ON b.vec_id = a.vec_id + 1), d AS (SELECT vec_id, label, list_sum(list_transform(z, lambda x: abs(CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE)))) / 64 AS delta FROM p)
+SELECT vec_id, floor(delta * 10000 + 0.5) / 10000 AS delta, floor((delta * (1 - 0.5 * (label / 10.0)) + 0.2 * 0.5 - 0.1 * (vec_id % 3)) * 10000 + 0.5) / 10000 AS priority FROM d""")
+def variant_rank(t):
+    track = F.transform("embedding", lambda x: x.cast("double"))
+    rows = t.embeddings.select("vec_id", "label", track.alias("r"))
+    pairs = rows.join(rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("r").alias("a")), "vec_id").withColumn("delta", S.track_delta(F.col("r"), F.col("a")))
+    priority = S.variant_priority(F.array("delta", F.lit(None).cast("double")), F.col("label") / 10.0, F.lit(0.5), (F.col("vec_id") % 3).cast("double"))
+    return pairs.select("vec_id", S.rounded(F.col("delta")).alias("delta"), S.rounded(priority).alias("priority"))
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%Y-%m-01') ELSE strftime(o_orderdate, '%Y-01-01') END AS parsed FROM {orders}""")
+def partial_dates(t):
+    text = F.when(F.col("o_orderkey") % 4 == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).when(F.col("o_orderkey") % 4 == 1, F.date_format("o_orderdate", "yyyy-MM")).when(F.col("o_orderkey") % 4 == 2, F.date_format("o_orderdate", "yyyy")).otherwise(F.concat(F.lit("in "), F.date_format("o_orderdate", "yyyy"), F.lit(" or so")))
+    return t.orders.select("o_orderkey", F.date_format(S.partial_date(text), "yyyy-MM-dd").alias("parsed"))
+
+
+@query("""SELECT o_orderkey, '10.1000/ab' || CAST(o_orderkey AS VARCHAR) AS doi FROM {orders}""")
+def doi_normal(t):
+    prefix = F.get(F.array(*map(F.lit, ("https://doi.org/", "doi: ", " http://dx.doi.org/", ""))), (F.col("o_orderkey") % 4).cast("int"))
+    return t.orders.select("o_orderkey", S.normal_doi(F.concat(prefix, F.lit("10.1000/AB"), F.col("o_orderkey").cast("string"))).alias("doi"))
+
+
+@query("""SELECT p_partkey, CASE WHEN regexp_matches(p_type, '(?i)strength|yield|efficiency|capacity|conductivity|toughness|stability') THEN 'maximize' WHEN regexp_matches(p_type, '(?i)energy|cost|stress|force|error|toxicity|loss') THEN 'minimize' ELSE 'user_defined' END AS direction, CAST(CAST(p_size AS BIGINT) AS VARCHAR) AS canonical, p_type IS NULL OR trim(p_type) = '' AS missing FROM {part}""")
+def text_rules(t):
+    return t.part.select("p_partkey", S.direction_of(F.col("p_type")).alias("direction"), S.canonical_number(F.col("p_size").cast("double").cast("string")).alias("canonical"), S.is_missing(F.col("p_type")).alias("missing"))
