@@ -4,8 +4,9 @@ A register keeps the exponentially spaced, truncated minimum of an exponential h
 sketches of two sets merge by the maximum. Equal registers become ever more likely with the Jaccard
 similarity, so bands of registers are bucket keys. Documents of one bucket are compared with a few
 leaders of it; the registers' joint likelihood estimates their similarity, and what may reach the
-threshold is confirmed on full shingle sets. Last, members that a bucket still holds in different
-components are compared with each other, so that no bucket's pair of components goes untested.
+threshold is confirmed on full shingle sets. Last come members that a bucket still holds in different
+components: those that share a rare shingle, as any two that link must, are compared, so that no
+link of a bucket is lost and no pair is made of what is merely common.
 
 Equal sets collapse before any pair is made. Register, band and pair rows are shuffled; texts only
 once, for the documents that share a bucket.
@@ -28,7 +29,7 @@ from assaylake.session import materialize, ship_package
 BANDS, ROWS = 26, 4  # at similarity 0.8 a pair misses every band with a chance of about 1e-6
 REGISTERS = BANDS * ROWS
 BASE, RATE, TOP = 1.001, 20.0, 65535
-LEADERS = 3
+LEADERS = 2
 SLACK = 0.2  # the estimate may err by five standard deviations
 _rng = np.random.default_rng(20240229)
 MULTIPLIERS = _rng.integers(1, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -166,22 +167,54 @@ def estimated(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """a, b and similar: whether the full sets reach the threshold, in whole numbers."""
+    """a, b, similar (whether the full sets reach the threshold, in whole numbers) and jaccard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: tuple = (None, None)
         for batch in batches:
-            out = []
+            out, value = [], []
             for a, one, two in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 if known[0] != a:
                     known = (a, shingle_set(one, width))
                 other = shingle_set(two, width)
                 same = len(np.intersect1d(known[1], other, assume_unique=True))
-                out.append(100 * same >= percent * (len(known[1]) + len(other) - same))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.bool_())], ["a", "b", "similar"])
+                union = len(known[1]) + len(other) - same
+                out.append(100 * same >= percent * union)
+                value.append(same / max(1, union))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.bool_()), pa.array(value, pa.float64())], ["a", "b", "similar", "jaccard"])
 
     side = lambda c: texts.select(F.col("rep").alias(c), F.col("text").alias(f"t{c}"))
-    return pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, similar boolean")
+    return pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, similar boolean, jaccard double")
+
+
+def shingle_rows(rows: DataFrame, width: int) -> DataFrame:
+    """rep, component, n (set size) and token: a row per shingle of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, text in enumerate(batch.column(2).to_pylist()):
+                tokens = shingle_set(text, width)
+                k = len(tokens)
+                same = lambda v: pa.array(np.full(k, v, np.int64))
+                yield pa.RecordBatch.from_arrays([same(batch.column(0)[i].as_py()), same(batch.column(1)[i].as_py()), same(k), pa.array(tokens.view(np.int64))], ["rep", "component", "n", "token"])
+
+    return rows.select("rep", "component", "text").mapInArrow(run, "rep long, component long, n long, token long")
+
+
+def prefixes(each: DataFrame, percent: int) -> DataFrame:
+    """The rarest shingles of each set, as many as a link needs to show one of; those of one set alone left out.
+
+    onward counts the set's shingles from this one on in the common order. A set's shingles are gathered one set at a time, which its text bounds.
+    """
+    often = each.groupBy("token").agg(F.count("*").alias("often"))
+    shared = each.join(often, "token")
+    length = F.col("n") - F.ceil(F.col("n") * percent / 100 - 1e-9) + 1
+    alone = F.sum((F.col("often") == 1).cast("int"))
+    rest = F.sort_array(F.collect_list(F.when(F.col("often") > 1, F.struct("often", "token"))))
+    sets = shared.groupBy("rep", "component", "n").agg(alone.alias("alone"), rest.alias("rest"))
+    left = F.greatest(F.lit(0), length - F.col("alone")).cast("int")
+    placed = sets.select("rep", "component", "n", "alone", F.posexplode(F.slice("rest", F.lit(1), left)).alias("at", "t"))
+    return placed.select("rep", "component", "n", F.col("t.token").alias("token"), (F.col("n") - F.col("alone") - F.col("at")).alias("onward"))
 
 
 def _by_component(rows: DataFrame, column: str, found: DataFrame, name: str) -> DataFrame:
@@ -209,12 +242,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     classes = materialize(full.groupBy("key", "key2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers")), "classes")
     live = classes.where("rep is not null")
 
-    # Buckets that several classes share, with a few leaders each: the least id and the least of some hashes.
-    bands = band_rows(live)
+    # Buckets that several classes share, with a few leaders each: the least id, the least of some hashes,
+    # and the hub, whose own buckets are the fullest (the common source of copies, where there is one).
+    bands = materialize(band_rows(live), "bands")
+    counts = bands.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
+    full_bands = materialize(bands.join(counts, "bucket"), "full_bands")
+    score = full_bands.groupBy("rep").agg(F.sum("members").alias("score"))
+    scored = full_bands.join(score, "rep")
     leader = lambda i: F.min_by("rep", F.xxhash64("rep", F.lit(i))).alias(f"l{i}")
-    buckets = bands.groupBy("bucket").agg(F.count("*").alias("members"), F.min("rep").alias("l0"), *map(leader, range(1, LEADERS))).where("members > 1")
-    entries = materialize(bands.join(buckets, "bucket"), "entries")
-    stars = entries.select("rep", F.explode(F.array_distinct(F.array(*[f"l{i}" for i in range(LEADERS)]))).alias("leader")).where("rep <> leader")
+    hub = F.max(F.struct("score", (-F.col("rep")).alias("rep")))["rep"]
+    buckets = scored.groupBy("bucket").agg((-hub).alias("hub"), F.min("rep").alias("l0"), *map(leader, range(1, LEADERS)))
+    entries = materialize(full_bands.join(buckets, "bucket"), "entries")
+    stars = entries.select("rep", F.explode(F.array_distinct(F.array("hub", *[f"l{i}" for i in range(LEADERS)]))).alias("leader")).where("rep <> leader")
     stars = stars.select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
     least = percent / 100 - SLACK
     pairs = materialize(estimated(stars, live, least), "pairs")
@@ -230,17 +269,25 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     tested = materialize(tested.union(confirmed(rest, texts, width, percent)), "tested")
     found = materialize(components(tested.where("similar")), "components")
 
-    # Buckets that still hold several components: members outside the largest against all others there.
-    placed = materialize(_by_component(entries.select("bucket", "rep"), "rep", found, "component"), "placed")
-    parts = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    mixed_buckets = parts.groupBy("bucket").agg(F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("largest")).where("parts > 1").select("bucket", F.col("largest.component").alias("largest"))
-    within = placed.join(mixed_buckets, "bucket")
-    outside = within.where("component <> largest").select("bucket", F.col("rep").alias("o"), F.col("component").alias("oc"))
-    crossing = within.join(outside, "bucket").where("component <> oc").select(F.least("rep", "o").alias("a"), F.greatest("rep", "o").alias("b")).distinct()
+    # Buckets that still hold several components: their members meet on rare shingles. Under one order of
+    # all shingles, rarest first, two sets that link share a shingle among the first n - ceil(share * n) + 1
+    # of each; for the first one that they share, what follows it in both bounds their intersection. Pairs
+    # that only share what is common are never made.
+    placed = _by_component(entries.select("bucket", "rep"), "rep", found, "component")
+    open_ = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
+    members = placed.join(open_, "bucket").select("rep", "component").distinct()
+    each = materialize(shingle_rows(texts.join(members, "rep"), width), "each")
+    rare = materialize(prefixes(each, percent), "rare")
+    several = rare.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
+    rare = rare.join(several, "token")
+    side = lambda c: rare.select("token", F.col("rep").alias(c), F.col("component").alias(f"c{c}"), F.col("n").alias(f"n{c}"), F.col("onward").alias(f"o{c}"))
+    fits = f"a < b and ca <> cb and 100 * least(oa, ob) >= {percent} * (na + nb - least(oa, ob))"
+    crossing = side("a").join(side("b"), "token").where(fits).select("a", "b").distinct()
     crossing = estimated(crossing.join(tested.select("a", "b"), ["a", "b"], "left_anti"), live, least)
-    last = materialize(confirmed(crossing, texts, width, percent).where("similar"), "last")
+    last = confirmed(crossing, texts, width, percent).where("similar")
+    last = materialize(across(last.select("a", "b"), found), "last")
     if last.limit(1).count():
-        found = materialize(components(tested.where("similar").union(last)), "components")
+        found = materialize(components(tested.where("similar").select("a", "b").union(last)), "components")
 
     labelled = _by_component(classes.select("key", "key2", "rep"), "rep", found, "component")
     out = rows.select("doc_id", "n_shingles", "key", "key2").join(labelled, ["key", "key2"], "left")
