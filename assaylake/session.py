@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -63,6 +64,8 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._assaylake_path = path
+    out.isEmpty()  # until a further job has run, the scheduler still refers to the write's plan
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
     return out
 
