@@ -202,8 +202,8 @@ def train(labelled: DataFrame, per_language: int = 1000, window: int = 64, hidde
     return net
 
 
-def predict(docs: DataFrame, net: Network, text_col: str = "text", rows_at_once: int = 512) -> DataFrame:
-    """The columns of docs but the text, with lang_pred and score.
+def predict(docs: DataFrame, net: Network, text_col: str = "text", rows_at_once: int = 512, keep_text: bool = False) -> DataFrame:
+    """The columns of docs (the text only where asked), with lang_pred and score.
 
     A null text or one without a letter has lang_pred "und" and score 0; so has every text when the
     network has learned no language. Otherwise score is the mean probability of lang_pred over all
@@ -215,22 +215,26 @@ def predict(docs: DataFrame, net: Network, text_col: str = "text", rows_at_once:
     ship_package(spark)
     shared = spark.sparkContext.broadcast(net)
     kept = [c for c in docs.columns if c not in (text_col, "lang_pred", "score")]
+    own = [text_col, *kept] if keep_text else kept
 
     def label(texts: list[str | None]) -> tuple[list[str], list[float]]:
         model = shared.value
         names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
         use = [i for i, t in enumerate(texts) if t and LETTER.search(t)] if model.languages else []
-        for at in range(0, len(use), rows_at_once):
-            part = use[at : at + rows_at_once]
-            means = model.probabilities([texts[i].encode() for i in part])
-            for i, best, value in zip(part, means.argmax(1).tolist(), means.max(1).tolist(), strict=True):
+        if use:
+            means = model.probabilities([texts[i].encode() for i in use])
+            for i, best, value in zip(use, means.argmax(1).tolist(), means.max(1).tolist(), strict=True):
                 names[i], scores[i] = model.languages[best], min(1.0, round(value, 6))
         return names, scores
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, scores = label(batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([*(batch.column(i + 1) for i in range(len(kept))), pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*kept, "lang_pred", "score"])
-
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), "lang_pred string", "score double"])
-    return docs.select(F.col(text_col).alias("text"), *kept).mapInArrow(run, schema)
+            names, scores = [], []
+            for at in range(0, batch.num_rows, rows_at_once):
+                found = label(batch.column(0).slice(at, rows_at_once).to_pylist())
+                names += found[0]
+                scores += found[1]
+            yield pa.RecordBatch.from_arrays([*batch.columns[not keep_text :], pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*own, "lang_pred", "score"])
+
+    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in own), "lang_pred string", "score double"])
+    return docs.select(text_col, *kept).mapInArrow(run, schema)

@@ -25,10 +25,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     net = bigru_langid.train(labelled)
     if not net.languages:  # nothing to learn from, so nothing to reject by
         return docs
-    row = F.struct(*[F.col(c) for c in docs.columns]).alias("row")
-    found = bigru_langid.predict(docs.select(row, "text"), net)
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # none of them clashes with the new columns
+    found = bigru_langid.predict(docs.select(*[F.col(c).alias(n) for c, n in names.items()]), net, names["text"], keep_text=True)
     keep = found.where((F.col("lang_pred") != bigru_langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
-    return keep.select(*[F.col("lang_pred").alias("lang") if c == "lang" else F.col(f"row.{c}").alias(c) for c in docs.columns])
+    return keep.select(*[F.col("lang_pred" if c == "lang" else n).alias(c) for c, n in names.items()])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
