@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
@@ -33,16 +34,20 @@ def condition_groups(rows: DataFrame, keys: list[str], signature: list[Column])
     return rows.groupBy(*keys).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(each)), ";"), 256).alias("group_id"), F.count("*").alias("n_criteria"))
 
 
-def robust_fronts(rows: DataFrame, entity: str, group: str, axes: list[tuple[str, str]], most: int = 1000) -> DataFrame:
+def robust_fronts(rows: DataFrame, entity: str, group: str, axes: list[tuple[str, str]]) -> DataFrame:
     """(entity, front) where a row beats another only if its worst is at least the other's best on all axes and above on one.
 
-    The relation is transitive, so fronts peel as ordinary ones do. axes are (worst, best) columns.
+    The relation is transitive, so fronts peel as ordinary ones do, until no row is left. axes are (worst, best)
+    columns; a row with a null one has no front, and a worst above its best is an error.
     """
     from assaylake.session import materialize
 
     beats = reduce(and_, [F.col(f"b.{w}") >= F.col(f"a.{h}") for w, h in axes]) & reduce(or_, [F.col(f"b.{w}") > F.col(f"a.{h}") for w, h in axes])
-    rest, out = materialize(rows.select(entity, group, *[c for a in axes for c in a]), "rest"), None
-    for front in range(1, most + 1):
+    ends = [c for a in axes for c in a]
+    rest, out = materialize(rows.select(entity, group, *ends).dropna(subset=ends), "rest"), None
+    if not rest.where(reduce(or_, [F.col(w) > F.col(h) for w, h in axes])).isEmpty():
+        raise ValueError("the worst value of a row is above its best")
+    for front in count(1):
         if rest.isEmpty():
             break
         # On one axis the rows with the greatest worst value decide alone.

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 from operator import and_, or_
 
 import numpy as np
@@ -103,7 +104,7 @@ def _all_fronts(entity: str, axes: list[str]):
     return number
 
 
-def pareto_fronts(rows: DataFrame, entity: str, group: str, axes: list[str], most: int = 10_000) -> DataFrame:
+def pareto_fronts(rows: DataFrame, entity: str, group: str, axes: list[str]) -> DataFrame:
     """(entity, front): 1 for the non-dominated rows of each group, 2 for those without them, and so on.
 
     Groups of at most BLOCK rows are numbered each in one task; larger ones are peeled front by front,
@@ -118,7 +119,7 @@ def pareto_fronts(rows: DataFrame, entity: str, group: str, axes: list[str], mos
     if sizes.where("_large").isEmpty():
         return out
     rest = materialize(sized.where("_large").drop("_large"), "rest")
-    for front in range(1, most + 1):
+    for front in count(1):
         if rest.isEmpty():
             break
         top = materialize(non_dominated(rest, entity, group, axes).select(entity, F.lit(front).cast("long").alias("front")), "front")

@@ -15,7 +15,7 @@ AVAIL = f"{CRIT}, avail AS (SELECT candidate_id, role_id, y, lo, hi, v FROM crit
 
 
 def criteria(t):
-    return O.criterion_status(t.b_observation.where("l_orderkey % 12 = 0"), ["candidate_id", "role_id"], "cond_year", "value", "lower_bound", "upper_bound", "validator_id")
+    return O.criterion_status(t.b_observation, ["candidate_id", "role_id"], "cond_year", "value", "lower_bound", "upper_bound", "validator_id")
 
 
 def available(t):

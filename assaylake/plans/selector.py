@@ -104,7 +104,7 @@ def unique_refs(t):
 
 @query("""SELECT user_id, array_to_string(list_sort(list_filter(['signup', 'purchase', 'error'], lambda x: NOT list_contains(have, x))), ';') AS missing FROM (SELECT user_id, list(DISTINCT event_type) AS have FROM {events} WHERE event_id % 20 = 0 GROUP BY 1)""")
 def required_missing(t):
-    have = t.events.where("event_id % 20 = 0").groupBy("user_id").agg(F.collect_set("event_type").alias("have"))
+    have = t.events.groupBy("user_id").agg(F.collect_set("event_type").alias("have"))
     required = F.array(*map(F.lit, ("signup", "purchase", "error")))
     return have.select("user_id", S.joined(F.array_sort(F.array_except(required, "have"))).alias("missing"))
 
