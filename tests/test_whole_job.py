@@ -76,3 +76,13 @@ def test_fronts_go_on_until_no_row_is_left(spark, monkeypatch):
     counted(monkeypatch, screening, 9_998)
     found = {r.id: r.front for r in screening.pareto_fronts(chain.selectExpr("id", "g", "-w AS x", "-b AS y"), "id", "g", ["x", "y"]).collect()}
     assert found == {0: 9_999, 1: 10_000, 2: 10_001, 3: 10_002}
+
+
+def test_external_match_is_of_whole_texts(spark, tables):
+    opening = "the same opening of more than sixty characters, word for word, "
+    docs = [(1, "src1", "es", opening + "then one end", 75), (2, "src1", "es", " " + opening.upper() + "then\n another  end ", 80), (3, "src7", "en", opening + "then another end", 79), (4, "src1", "es", None, 0), (5, "src2", "en", "x", 1)]
+    folder, _ = tables(documents=(docs, "doc_id long, source string, lang string, text string, n_chars long"), benchmark=([(8, opening + "then another end"), (9, opening + "then another end")], "item_id long, text string"))
+    found = {name: {r.doc_id: r.status for r in registry.queries()[name](spark, folder).collect()} for name in ("external_match", "novelty_status")}
+    assert found["external_match"] == {1: "no_match", 2: "match", 3: "unknown", 4: "no_match", 5: "no_match"}
+    assert found["novelty_status"] == {1: "no_match", 2: "match", 3: "unknown", 4: "no_match", 5: "no_match"}
+    assert {(r.candidate_id, r.slot, r.reserved) for r in registry.queries()["reserve_slot"](spark, folder).collect()} == {(2, 1, False), (3, 2, False), (1, 3, False), (5, 4, False), (4, 5, False)}
