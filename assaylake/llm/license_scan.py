@@ -1,8 +1,9 @@
 """Licence scans by sentence rules, in DataFrame expressions alone.
 
-A text is split into sentences, each normalised to lower-case words; sentences that are known map to
+A text is cut into sentences of lower-case words at [.!?:] and blank lines; known sentences map to
 identifiers, and the sequence of a document's identifiers is matched against ordered licence rules
-(a rule is a run of identifiers). A rule that lies inside a longer one that matched gives no match
+(a rule is a run of identifiers). A sentence may end at a line's end or a semicolon, but a known one
+goes on over them, so that wrapped texts and commented headers are found as well as notices on one line. A rule that lies inside a longer one that matched gives no match
 of its own. One pass over the rows, without a shuffle.
 """
 
@@ -12,8 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-ENDS = r"[.!?:;]+[ \t\r\n]+|\n+"
-NOT_WORD = r"[^\p{L}\p{N}\x01]+"
+ENDS = r"[.!?:]+[;.!?:]*[ \t\r\n]+|\n(?:[^\p{L}\p{N}\n]*+\n)+"
+LINES = r";+[ \t\r\n]+|\n"  # a sentence may end here or go on
+NOT_WORD = r"[^\p{L}\p{N}\x01\x02]+"
 
 # Normalised sentences of public licence texts and notices, by identifier.
 SENTENCES = {
@@ -70,17 +72,21 @@ def shadowed_by(rule: int) -> list[int]:
     return [k for k in range(rule) if pattern(RULES[rule][2]) in pattern(RULES[k][2])]
 
 
-def sentences(text: Column) -> Column:
-    """Array of normalised sentences of a text."""
-    marked = F.regexp_replace(F.translate(text, UPPER, LOWER), ENDS, "\x01")
-    return F.split(F.regexp_replace(marked, NOT_WORD, " "), " ?\x01+ ?")
+# Any known sentence, the longest first, between two ends.
+ANY_KNOWN = r"(?<=[\x01\x02] ?)(?:" + "|".join(s.replace(" ", r"[ \x02]++") for s in sorted(KNOWN, key=len, reverse=True)) + r")(?= ?[\x01\x02])"
+
+
+def known_sentences(text: Column) -> Column:
+    """Array of the known sentences in a text, normalised, in order."""
+    marked = F.regexp_replace(F.regexp_replace(F.translate(text, UPPER, LOWER), ENDS, "\x01"), LINES, "\x02")
+    words = F.concat(F.lit("\x01"), F.regexp_replace(marked, NOT_WORD, " "), F.lit("\x01"))
+    return F.transform(F.regexp_extract_all(words, F.lit(ANY_KNOWN), F.lit(0)), lambda s: F.regexp_replace(s, r"[ \x02]+", " "))
 
 
 def identifiers(text: Column) -> Column:
     """Identifiers of a text's known sentences, in order."""
     names = F.create_map(*[F.lit(x) for pair in KNOWN.items() for x in pair])
-    known = F.filter(F.transform(sentences(text), lambda s: F.trim(s)), lambda s: s.isin(*KNOWN))
-    return F.transform(known, lambda s: F.element_at(names, s))
+    return F.transform(known_sentences(text), lambda s: F.element_at(names, s))
 
 
 def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
