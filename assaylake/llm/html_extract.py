@@ -4,8 +4,10 @@ Each text node has a root-to-leaf path of structural tags. Per path the page giv
 and the punctuation for each of its nodes; both ratios are smoothed along the page, fused into one
 score and cut at a threshold that follows their spread. The nodes on the paths above it are content;
 the smallest element that holds most of that content is the article, and its remaining blocks (short
-paragraphs too) are the text. Elements that HTML or their class, id or role name as something else
-(menus, forms, notices, comments ...) take no part.
+paragraphs too) are the text. Elements that HTML says are something else (menus, asides ...) take no
+part. A class, id or role with a word for page furniture makes an element suspect, and so does a form:
+its nodes wait unless it holds most of the content. If other words stand in the name too (related-work)
+and it lies in the article, the suspect comes back where its own ratios are not low beside the content's.
 """
 
 from __future__ import annotations
@@ -25,25 +27,33 @@ from assaylake.session import ship_package
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "noembed", "noframes", "xmp"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {"html", "body", "head", "address", "article", "aside", "blockquote", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "legend", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul", "caption"}
-FURNITURE = {"head", "nav", "menu", "footer", "aside", "form", "fieldset", "dialog", "button", "select", "option", "svg", "math", "object", "canvas", "audio", "video", "map", "datalist", "dir"}
+FURNITURE = {"head", "nav", "menu", "footer", "aside", "dialog", "button", "select", "option", "svg", "math", "object", "canvas", "audio", "video", "map", "datalist", "dir"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 WORDS = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adsense", "adslot", "banner", "sponsor", "sponsored", "promo", "promoted", "promotion", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "masthead", "header", "footer", "sidebar", "widget", "widgets", "related", "recommended", "cookie", "cookies", "consent", "gdpr", "notice", "notification", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "paywall", "share", "sharing", "social", "comment", "comments", "disqus", "respond", "reply", "replies", "form", "search", "login", "pager", "pagination", "skip", "hidden", "complementary", "contentinfo", "copyright", "disclaimer", "toolbar"}
+# Words that leave the sense of a furniture word as it is, and elements whose id names their text.
+NEUTRAL = {"area", "article", "articles", "bar", "block", "body", "bottom", "box", "btn", "button", "buttons", "container", "content", "count", "entry", "global", "group", "icon", "icons", "inner", "item", "items", "left", "link", "links", "list", "main", "media", "outer", "page", "panel", "post", "posts", "right", "row", "section", "site", "thread", "title", "top", "wrap", "wrapper"}
+TITLED = {"p", "h1", "h2", "h3", "h4", "h5", "h6"}
+FORMS = {"form", "fieldset"}
 ENDS_OF = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"ul", "ol", "dl", "table", "menu", "dir"}
 PUNCTUATION = re.compile("[.,;:!?…。，、；：！？]")
 MARKUP = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|$)|<[!?][^>]*(?:>|$)", re.S)
-NAMES = re.compile(r"(?:^|[\s\"'])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
+NAMES = re.compile(r"(?:^|[\s\"'])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 SPLIT_NAMES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 #: Share of the content's text that the article's element must hold.
 MOST = 0.7
+#: A suspect's ratios are low under this share of the content's.
+LOW = 0.75
+PLAIN, MIXED, SURE, FORM = range(4)
 
 
 class Element:
-    __slots__ = ("furniture", "parent", "path", "tag")
+    __slots__ = ("furniture", "kind", "parent", "path", "suspects", "tag")
 
-    def __init__(self, tag: str, parent: Element | None, furniture: bool):
-        self.tag, self.parent, self.furniture = tag, parent, furniture
+    def __init__(self, tag: str, parent: Element | None, furniture: bool, kind: int = PLAIN):
+        self.tag, self.parent, self.furniture, self.kind = tag, parent, furniture, kind
+        self.suspects: tuple[Element, ...] = (parent.suspects if parent else ()) + ((self,) if kind else ())
         self.path = f"{parent.path}/{tag}" if parent else tag
 
     def lineage(self) -> Iterator[Element]:
@@ -62,15 +72,19 @@ class Node:
         self.element, self.text, self.linked = element, text, linked
 
 
-def names_furniture(attributes: str) -> bool:
-    if not attributes or "=" not in attributes and "hidden" not in attributes.lower():
-        return False
-    if HIDDEN.search(attributes):
-        return True
+def suspicion(tag: str, attributes: str) -> int:
+    """SURE if a name has furniture words and neutral ones alone, MIXED if others stand beside them."""
+    kind = FORM if tag in FORMS else PLAIN
+    if "=" not in attributes:
+        return kind
     for found in NAMES.finditer(attributes):
-        if any(w.lower() in WORDS for w in SPLIT_NAMES.findall(found[1] or found[2] or found[3] or "")):
-            return True
-    return False
+        if found[1].lower() == "id" and tag in TITLED:
+            continue
+        for name in (found[2] or found[3] or found[4] or "").split():
+            words = {w.lower() for w in SPLIT_NAMES.findall(name) if not w.isdigit()}
+            if words & WORDS:
+                kind = max(kind, SURE if words <= WORDS | NEUTRAL else MIXED)
+    return kind
 
 
 def text_nodes(page: str) -> list[Node]:
@@ -130,8 +144,12 @@ def text_nodes(page: str) -> list[Node]:
         if here.tag == "head" and tag != "head":
             here = here.parent or root
         in_article = any(e.tag in ("article", "main") for e in here.lineage())
-        furniture = here.furniture or tag in FURNITURE or (tag == "header" and not in_article) or (tag not in ("html", "body", "main") and not (tag == "article" and not in_article) and names_furniture(found[3]))
-        here = Element(tag, here, furniture)
+        furniture = here.furniture or tag in FURNITURE or (tag == "header" and not in_article)
+        kind = PLAIN
+        if tag not in ("html", "body", "main") and not (tag == "article" and not in_article):
+            furniture = furniture or bool(HIDDEN.search(found[3]))
+            kind = suspicion(tag, found[3])
+        here = Element(tag, here, furniture, kind)
     pieces.append(page[at:])
     flush()
     return nodes
@@ -168,6 +186,30 @@ def content_nodes(nodes: list[Node]) -> list[Node]:
     return [n for n in nodes if scores[n.element.path] >= cut]
 
 
+def weights(content: list[Node]) -> dict[Element, int]:
+    """Length of the content's text in each element."""
+    weight: dict[Element, int] = {}
+    for n in content:
+        for e in n.element.lineage():
+            weight[e] = weight.get(e, 0) + len(n.text)
+    return weight
+
+
+def ratios(nodes: list[Node]) -> tuple[float, float]:
+    """Text length out of links and punctuation, a node."""
+    return sum(max(0, len(n.text) - n.linked) for n in nodes) / len(nodes), sum(len(PUNCTUATION.findall(n.text)) for n in nodes) / len(nodes)
+
+
+def cleared(nodes: list[Node]) -> set[Element]:
+    """Suspects round most of the content; a surely named one only if all text of the page is in suspects."""
+    if not any(n.element.suspects for n in nodes):
+        return set()
+    content = content_nodes(nodes)
+    weight, total = weights(content), sum(len(n.text) for n in content)
+    free = any(not [e for e in n.element.suspects if e.kind == SURE] for n in nodes)
+    return {e for n in nodes for e in n.element.suspects if weight.get(e, 0) >= MOST * total and not (free and e.kind == SURE)}
+
+
 def main_text(page: str | None) -> str:
     """Blocks of the article joined by two newlines; empty where there is none."""
     if not page:
@@ -175,11 +217,13 @@ def main_text(page: str | None) -> str:
     nodes = [n for n in text_nodes(page) if not n.element.furniture]
     if not nodes:
         return ""
-    content = content_nodes(nodes)
-    weight: dict[Element, int] = {}
-    for n in content:
-        for e in n.element.lineage():
-            weight[e] = weight.get(e, 0) + len(n.text)
+    clear = cleared(nodes)
+    suspects = {n: [e for e in n.element.suspects if e not in clear] for n in nodes}
+    free = [n for n in nodes if not suspects[n]]
+    if not free:
+        return ""
+    content = content_nodes(free)
+    weight = weights(content)
     total = sum(len(n.text) for n in content)
     named = [e for e in weight if e.tag in ("article", "main") and 2 * weight[e] >= total]
     if named:
@@ -188,15 +232,22 @@ def main_text(page: str | None) -> str:
         article = max((e for e in weight if weight[e] >= MOST * total), key=lambda e: (e.path.count("/"), weight[e]))
         if article.tag in BLOCK and article.parent is not None and article.tag in ("p", "li", "blockquote", "pre", *HEADINGS):
             article = article.parent
+    length, marks = ratios(content)
+    if article.tag not in ("#", "html", "body"):
+        held: dict[Element, list[Node]] = {}
+        for n in nodes:
+            for e in suspects[n]:
+                held.setdefault(e, []).append(n)
+        clear |= {e for e, own in held.items() if e.kind == MIXED and all(a >= LOW * b for a, b in zip(ratios(own), (length, marks), strict=True))}
     blocks = []
     for n in nodes:
         up = list(n.element.lineage())
-        if article not in up:
+        if article not in up or any(e not in clear for e in suspects[n]):
             continue
         inner = up[: up.index(article)]
         if any(e.tag == "header" for e in inner) and not any(e.tag in HEADINGS for e in inner):
             continue
-        if not named and n.element.tag not in HEADINGS and 2 * n.linked > len(n.text):
+        if not named and n.element.tag not in HEADINGS and 2 * n.linked > len(n.text) and not (2 * len(n.text) >= length and PUNCTUATION.search(n.text)):
             continue
         blocks.append(n.text)
     return "\n\n".join(blocks)
