@@ -43,9 +43,11 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a local one for a local session without it."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = getattr(spark.sparkContext, "_assaylake_scratch", None)
         if not root:
             root = "file://" + tempfile.mkdtemp(prefix="spark-assaylake-", dir=os.environ.get("TMPDIR", "/tmp"))
@@ -53,16 +55,32 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str = "t") -> DataFrame:
+def _written(spark: SparkSession) -> dict[str, str | None]:
+    """Paths of the tables that materialize() wrote and nobody dropped, with the catalogue's name of a bucketed one."""
+    context = spark.sparkContext
+    if not hasattr(context, "_assaylake_tables"):
+        context._assaylake_tables = {}
+    return context._assaylake_tables
+
+
+def materialize(df: DataFrame, name: str = "t", buckets: tuple[int, str] | None = None) -> DataFrame:
     """Write a frame as a Parquet table in the shared folder and read it back; cuts lineage, survives lost executors.
 
-    The shuffles of the write are of no use afterwards: a collection of the driver's garbage lets Spark's
-    cleaner delete their files now rather than at some later time.
+    With buckets (how many, by which column) the table is bucketed: grouping by that column then needs no
+    exchange. The shuffles of the write are of no use afterwards: a collection of the driver's garbage lets
+    Spark's cleaner delete their files now rather than at some later time.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/assaylake/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    writer, table = df.write.option("compression", "zstd"), None
+    if buckets is None:
+        writer.parquet(path)
+        out = spark.read.schema(df.schema).parquet(path)
+    else:
+        table = f"assaylake_{uuid.uuid4().hex}"
+        df.repartition(*buckets).write.option("compression", "zstd").option("path", path).format("parquet").bucketBy(*buckets).saveAsTable(table)
+        out = spark.table(table)
+    _written(spark)[path] = table
     out._assaylake_path = path
     out.isEmpty()  # until a further job has run, the scheduler still refers to the write's plan
     gc.collect()
@@ -70,9 +88,37 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     return out
 
 
-def drop_materialized(df: DataFrame) -> None:
-    """Delete a table that materialize() wrote, once nothing reads it any more."""
-    spark, path = df.sparkSession, df._assaylake_path
+def _drop(spark: SparkSession, path: str, table: str | None) -> None:
+    if table is not None:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def drop_materialized(*frames: DataFrame) -> None:
+    """Delete tables that materialize() wrote, once nothing reads them any more."""
+    for df in frames:
+        path = df._assaylake_path
+        if path in _written(df.sparkSession):
+            _drop(df.sparkSession, path, _written(df.sparkSession).pop(path))
+
+
+class Scratch:
+    """Tables of one piece of work: materialize() through it, and all that it wrote goes when the work ends.
+
+    What the work returns must not read them: materialize the result by itself before.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.frames = spark, []
+
+    def materialize(self, df: DataFrame, name: str = "t", buckets: tuple[int, str] | None = None) -> DataFrame:
+        self.frames.append(materialize(df, name, buckets))
+        return self.frames[-1]
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *problem) -> None:
+        drop_materialized(*self.frames)
