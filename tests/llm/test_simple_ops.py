@@ -64,6 +64,34 @@ def test_packing_holds_every_id_once(spark, sf, which):
         assert at <= 4096
 
 
+def test_packing_keeps_null_and_repeated_ids(spark):
+    """Ids above 2 ** 53 beside null ones, and rows that repeat: each row is packed for itself, equal rows in several groups."""
+    big = (1 << 53) + 1
+    docs = [(big, "the of and"), (None, "the of and"), (None, None), (big, "other words")] + [(7, "the of and that")] * 500 + [(None, "")] * 300
+    rows = packing.pack(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), WORDS, group_pieces=64).collect()
+    tokenizer = Tokenizer.from_file(WORDS)
+    count = lambda xs: {x: xs.count(x) for x in set(xs)}
+    want = [(d, zlib.crc32(np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 2], "<u4").tobytes())) for d, t in docs]
+    assert count([(r.doc_id, r.ids_crc32) for r in rows]) == count(want)
+    copies = count([r.sequence_id >> 32 for r in rows if r.doc_id == 7])
+    assert len(copies) > 5 and max(copies.values()) < 150
+    assert len({(r.sequence_id, r.offset) for r in rows}) == len(rows)
+
+
+@pytest.mark.parametrize("entries", [4, 1000])
+def test_encoder_equals_the_library(monkeypatch, entries):
+    """Batches of odd texts with a cache that is full after a few words, and with one that holds them all."""
+    monkeypatch.setattr(packing, "CACHE_ENTRIES", entries)
+    spec = open(WORDS).read()
+    encoder, tokenizer = packing.Encoder(spec), Tokenizer.from_str(spec)
+    assert encoder.split is not None and encoder.split("it's x'9²é!") == ["it", "'s", "x", "'", "9", "²", "é", "!"]
+    for texts in (ODD, [], [None], ODD[::-1], ["mit'sx 'll ''d don'tl ×÷ÿſª º_-—"], ODD[5:]):
+        ids, bounds = encoder.batch_ids(texts, 2)
+        assert len(bounds) == len(texts) + 1 and bounds[-1] == len(ids)
+        for text, a, b in zip(texts, bounds, bounds[1:]):
+            assert ids[a:b].tolist() == [*tokenizer.encode(text or "", add_special_tokens=False).ids, 2], text
+
+
 def test_packing_empty(spark):
     assert packing.pack(odd(spark).limit(0), WORDS).collect() == []
 
