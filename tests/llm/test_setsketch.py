@@ -22,26 +22,33 @@ def plain_sets(text, width):
 
 def plain_components(docs, width):
     sets = [(d, plain_sets(t, width)) for d, t in docs]
-    parent = list(range(len(docs)))
+    parent, counts = list(range(len(docs))), {}
 
     def root(i):
         while parent[i] != i:
             i = parent[i]
         return i
 
-    by = {}
-    for i, (_, s) in enumerate(sets):
-        for x in s:
-            by.setdefault(x, []).append(i)
-    pairs = {(i, j) for group in by.values() if len(group) < 400 for k, i in enumerate(group) for j in group[k + 1 :]}
-    for i, j in pairs:
-        a, b = sets[i][1], sets[j][1]
-        if root(i) != root(j) and 5 * min(len(a), len(b)) >= 4 * max(len(a), len(b)) and 100 * len(a & b) >= 80 * len(a | b):
+    sizes = np.array([len(s) for _, s in sets])
+    holders, of_id = {}, {}
+    for j, (d, s) in enumerate(sets):  # every pair with a shingle in common, by counting the common ones
+        shared = np.bincount(np.concatenate([holders[x][: counts[x]] for x in s if x in holders] or [np.zeros(0, int)]), minlength=j) if j else np.zeros(0, int)
+        for i in np.flatnonzero((shared > 0) & (100 * shared >= 80 * (sizes[:j] + len(s) - shared))).tolist():
             parent[root(i)] = root(j)
+        if s and d is not None:
+            parent[root(of_id.setdefault(d, j))] = root(j)
+        for x in s:
+            if x not in holders:
+                holders[x], counts[x] = np.zeros(4, int), 0
+            if counts[x] == len(holders[x]):
+                holders[x] = np.concatenate([holders[x], np.zeros_like(holders[x])])
+            holders[x][counts[x]] = j
+            counts[x] += 1
     least = {}
     for i, (d, _) in enumerate(sets):
-        least[root(i)] = min(d, least.get(root(i), d))
-    return {(d, len(s), least[root(i)]) for i, (d, s) in enumerate(sets)}
+        if d is not None:
+            least[root(i)] = min(d, least.get(root(i), d))
+    return {(d, len(s), None if d is None else least[root(i)]) for i, (d, s) in enumerate(sets)}
 
 
 @pytest.mark.parametrize("width", [2, 5])
@@ -75,6 +82,47 @@ def test_odd_rows(spark):
     assert sorted((str(r.doc_id), r.kept) for r in null) == [("3", True), ("None", False)]
 
 
+def test_repeated_and_null_ids(spark):
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(3000)]
+    a, b, c = (" ".join(rng.choices(words, k=150)) for _ in range(3))
+    near = lambda t: t.replace(t.split()[70], "other", 1)
+    for docs in (
+        [(1, a), (1, b), (3, near(b))],
+        [(5, a), (5, b), (3, near(a)), (4, near(b)), (9, c)],
+        [(1, a), (None, near(a)), (2, near(near(a))), (None, c), (8, c), (7, ""), (7, b), (6, near(b))],
+    ):
+        frame = spark.createDataFrame(docs, "doc_id long, text string")
+        got = {tuple(r)[:3] for r in setsketch.near_duplicates(frame, 2).collect()}
+        assert got == plain_components(docs, 2)
+
+
+def test_many_sets_under_the_threshold_share_what_is_common(spark):
+    """Sets of one size that share three quarters of their words: no links but the planted ones are found, none is lost."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(5000)]
+    common = rng.choices(words, k=90)
+    docs = []
+    for i in range(300):
+        docs.append((i, " ".join(common + rng.choices(words, k=35))))
+    for i in range(0, 300, 7):
+        docs.append((1000 + i, docs[i][1].rsplit(" ", 4)[0]))
+    got = {tuple(r)[:3] for r in setsketch.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), 2).collect()}
+    assert got == plain_components(docs, 2)
+
+
+def test_word_hashes_tell_words_apart_in_blocks():
+    long = "a" * setsketch.TEXT_BLOCK
+    text = f"{long} b {long} {long[:-1]} b " + "x y " * setsketch.TEXT_BLOCK
+    words = text.encode().split()
+    hashes = setsketch.word_hashes(text.encode())
+    assert len(hashes) == len(words)
+    seen = {}
+    for w, h in zip(words, hashes.tolist(), strict=True):
+        assert seen.setdefault(w, h) == h
+    assert len(set(seen.values())) == len(seen)
+
+
 def test_registers_merge_and_estimate():
     rng = np.random.default_rng(8)
     pool = rng.integers(0, 1 << 63, 30_000, dtype=np.uint64)
