@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import threading
 import uuid
 import zipfile
 from pathlib import Path
@@ -12,6 +13,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE = Path(__file__).resolve().parent
+_scopes = threading.local()
 
 
 def local_session(cpus: int | str = 8, memory: str = "12g", app: str = "assaylake") -> SparkSession:
@@ -81,6 +83,8 @@ def materialize(df: DataFrame, name: str = "t", buckets: tuple[int, str] | None
         df.repartition(*buckets).write.option("compression", "zstd").option("path", path).format("parquet").bucketBy(*buckets).saveAsTable(table)
         out = spark.table(table)
     _written(spark)[path] = table
+    if _open_scopes():
+        _open_scopes()[-1].frames.append(out)
     out._assaylake_path = path
     out.isEmpty()  # until a further job has run, the scheduler still refers to the write's plan
     gc.collect()
@@ -104,21 +108,33 @@ def drop_materialized(*frames: DataFrame) -> None:
             _drop(df.sparkSession, path, _written(df.sparkSession).pop(path))
 
 
+def _open_scopes() -> list[Scratch]:
+    """The scopes that this thread is in, the innermost last."""
+    if not hasattr(_scopes, "stack"):
+        _scopes.stack = []
+    return _scopes.stack
+
+
 class Scratch:
-    """Tables of one piece of work: materialize() through it, and all that it wrote goes when the work ends.
+    """A scope whose end deletes every table that materialize() wrote inside it (in this thread), but those kept.
 
-    What the work returns must not read them: materialize the result by itself before.
+    What the work returns may read kept tables alone. With another scope around it, that one has them next.
     """
 
-    def __init__(self, spark: SparkSession):
-        self.spark, self.frames = spark, []
+    def __init__(self):
+        self.frames: list[DataFrame] = []
+        self.kept: list[DataFrame] = []
 
-    def materialize(self, df: DataFrame, name: str = "t", buckets: tuple[int, str] | None = None) -> DataFrame:
-        self.frames.append(materialize(df, name, buckets))
-        return self.frames[-1]
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.kept.append(df)
+        return df
 
     def __enter__(self) -> Scratch:
+        _open_scopes().append(self)
         return self
 
     def __exit__(self, *problem) -> None:
-        drop_materialized(*self.frames)
+        _open_scopes().pop()
+        drop_materialized(*[f for f in self.frames if all(f is not k for k in self.kept)])
+        if _open_scopes():
+            _open_scopes()[-1].frames += self.kept
