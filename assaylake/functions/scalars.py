@@ -97,15 +97,34 @@ def constraint_met(value: Column, operator: Column, first: Column, second: Colum
     return F.when(operator == "eq", value == first).when(operator == "ne", value != first).when(operator == "gt", value > first).when(operator == "gte", value >= first).when(operator == "lt", value < first).when(operator == "lte", value <= first).when(operator == "between", (value >= first) & (value <= second))
 
 
+# Words in a property's name that suggest its direction.
+MAXIMIZED = ["conductivity", "capacity", "voltage", "critical_temperature", "turnover", "selectivity", "durability", "absorption", "slme", "zt", "coercivity", "remanence", "curie", "polarization", "piezoelectric", "yield", "toughness", "uptake", "mobility"]
+MINIMIZED = ["energy_above_hull", "resistance", "overpotential", "degradation", "force", "leakage", "loss"]
+
+
 def direction_of(name: Column) -> Column:
-    """Optimisation direction that a property's name suggests; maximise markers go first."""
-    return F.when(name.rlike("(?i)strength|yield|efficiency|capacity|conductivity|toughness|stability"), "maximize").when(name.rlike("(?i)energy|cost|stress|force|error|toxicity|loss"), "minimize").otherwise("user_defined")
+    """Optimisation direction that a property's name suggests; the words for more go first."""
+    low = F.lower(name)
+    return F.when(low.rlike("|".join(MAXIMIZED)), "maximize").when(low.rlike("|".join(MINIMIZED)), "minimize").otherwise("user_defined")
 
 
 def frobenius_stress(xx: Column, yy: Column, zz: Column, yz: Column, xz: Column, xy: Column) -> Column:
     return F.sqrt(xx * xx + yy * yy + zz * zz + 2 * (yz * yz + xz * xz + xy * xy))
 
 
+def checked_stress(norm: Column, *components: Column) -> Column:
+    """A stated stress norm that agrees with its six components within 1e-9 (of 1 or the norm); null if it doesn't."""
+    own = frobenius_stress(*components)
+    return F.when(F.abs(norm - own) <= 1e-9 * F.greatest(F.lit(1.0), own), norm)
+
+
+def lattice_distance(first: Column, second: Column) -> Column:
+    """Frobenius distance of two 3 x 3 lattices; null for other shapes."""
+    shaped = lambda m: (F.size(m) == 3) & F.forall(m, lambda v: F.size(v) == 3)
+    squares = F.zip_with(F.flatten(first), F.flatten(second), lambda x, y: (x - y) * (x - y))
+    return F.when(shaped(first) & shaped(second), F.sqrt(total(squares)))
+
+
 def total(xs: Column) -> Column:
     return F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
 
@@ -193,6 +212,16 @@ def routing_text(value: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(value), r"[\s_-]+", " "))
 
 
+def spaced_text(value: Column) -> Column:
+    """Lower case with each run of white space as one blank."""
+    return F.trim(F.regexp_replace(F.lower(value), r"\s+", " "))
+
+
+def word_text(value: Column) -> Column:
+    """Lower case with each run of other signs than letters, digits and underscores as one blank."""
+    return F.trim(F.regexp_replace(F.lower(value), r"[^\p{L}\p{N}_]+", " "))
+
+
 def partial_date(value: Column) -> Column:
     """y-m-d, y-m or y from the first ten characters, else 1 January of any 19xx or 20xx there."""
     head = F.substring(F.trim(value), 1, 10)
@@ -212,7 +241,9 @@ def mentions(haystack: Column, needle: Column) -> Column:
 
 
 def identity_hash(*parts: Column) -> Column:
-    return F.sha2(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("\\N")) for p in parts]), 256)
+    """Hash of the parts as a JSON list of texts and nulls, so that no two lists of parts share a form."""
+    texts = F.to_json(F.array(*[p.cast("string") for p in parts]), {"ignoreNullFields": "false"})
+    return F.sha2(texts, 256)
 
 
 def sampling_seed(*parts: Column) -> Column:
@@ -228,4 +259,10 @@ def canonical_number(value: Column) -> Column:
 
 
 def is_missing(value: Column) -> Column:
+    """Whether a text is null or blank."""
     return value.isNull() | (F.trim(value) == "")
+
+
+def is_empty(value: Column) -> Column:
+    """Whether an array or map is null or has nothing."""
+    return value.isNull() | (F.size(value) == 0)

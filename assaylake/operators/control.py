@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from math import log, sqrt
+from operator import and_
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,16 +16,26 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Limits:
-    """Steps and clamps of the controller; history is how many improvements count as sustained."""
+    """Steps, clamps and tolerances of the controller; history is how many observations make a trend.
 
-    temperature: tuple[float, float] = (0.1, 2.0)
-    alpha: tuple[float, float] = (0.0, 1.0)
-    diversity: tuple[float, float] = (0.0, 1.0)
+    guided is for generators whose alpha is a guidance weight: more of it exploits, where a plain alpha
+    exploits by less.
+    """
+
+    temperature: tuple[float, float] = (0.01, 5.0)
+    unit: tuple[float, float] = (0.0, 1.0)
     history: int = 2
-    step: float = 0.1
+    improvement_epsilon: float = 1e-9
+    collapse_epsilon: float = 1e-6
+    alpha_step: float = 0.1
+    temperature_step: float = 0.2
+    mutation_step: float = 0.1
+    diversity_step: float = 0.05
+    guided: bool = False
 
 
-START = {"temperature": 1.0, "alpha": 0.5, "diversity": 0.2, "previous_collapse": 0.0, "recent": ()}
+START = {"temperature": 1.0, "alpha": 0.5, "mutation": 0.2, "diversity": 0.3, "previous_collapse": None, "recent": ()}
+CONTROLS = ("alpha", "temperature", "mutation", "diversity")
 
 
 def clamp(x: float, bounds: tuple[float, float]) -> float:
@@ -31,67 +45,160 @@ def clamp(x: float, bounds: tuple[float, float]) -> float:
 def step(state: dict, improvement: float, collapse: float, disagreement: bool, limits: Limits = Limits()) -> tuple[dict, list[str]]:
     """The next controls after one observation, and why they changed.
 
-    More collapse cools; sustained improvement exploits (less alpha); stagnation explores; disagreement diversifies.
+    One of three trends counts, the first that holds: more collapse than at the observation before
+    (there is none at the first) cools; improvements above the tolerance all through the window
+    exploit; improvements within the tolerance of zero all through it explore. Disagreement diversifies besides.
     """
     recent = (*state["recent"], improvement)[-limits.history :]
-    t, a, d, why = state["temperature"], state["alpha"], state["diversity"], []
-    if collapse > state["previous_collapse"]:
-        t, why = t - limits.step, [*why, "collapse_increased"]
-    if len(recent) == limits.history and all(x > 0 for x in recent):
-        a, why = a - limits.step, [*why, "sustained_improvement"]
-    elif len(recent) == limits.history and all(x <= 0 for x in recent):
-        a, why = a + limits.step, [*why, "stagnation"]
-    if disagreement:
-        d, why = d + limits.step, [*why, "disagreement"]
-    return {"temperature": clamp(t, limits.temperature), "alpha": clamp(a, limits.alpha), "diversity": clamp(d, limits.diversity), "previous_collapse": collapse, "recent": recent}, why
-
-
-def scheduler_trace(observations: DataFrame, branch: str = "branch_id", order: str = "round_index", limits: Limits = Limits()) -> DataFrame:
+    full, before = len(recent) == limits.history, state["previous_collapse"]
+    change, guide = dict.fromkeys(CONTROLS, 0.0), limits.alpha_step * limits.guided
+    if before is not None and collapse > before + limits.collapse_epsilon:
+        why = "collapse_increased"
+        change |= {"temperature": -limits.temperature_step, "mutation": -limits.mutation_step, "alpha": -guide}
+    elif full and min(recent) > limits.improvement_epsilon:
+        why = "sustained_improvement"
+        change["alpha"] = guide or -limits.alpha_step
+    elif full and max(map(abs, recent)) <= limits.improvement_epsilon:
+        why = "stagnation"
+        change |= {"temperature": limits.temperature_step, "mutation": limits.mutation_step, "diversity": limits.diversity_step, "alpha": -guide}
+    else:
+        why = "no_trend"
+    change["diversity"] += limits.diversity_step * disagreement
+    after = {k: clamp(state[k] + v, limits.temperature if k == "temperature" else limits.unit) for k, v in change.items()}
+    return {**after, "previous_collapse": collapse, "recent": recent}, [why, "disagreement"] if disagreement else [why]
+
+
+def bounded(parts: Iterator[pd.DataFrame] | list[pd.DataFrame], most: int, what: str) -> pd.DataFrame:
+    """A group's rows in one frame; raises beyond ``most`` rather than filling a worker's memory."""
+    kept, n = [], 0
+    for part in parts:
+        n += len(part)
+        if n > most:
+            raise ValueError(f"a {what} has more than {most} observations")
+        kept.append(part)
+    return pd.concat(kept, ignore_index=True)
+
+
+def scheduler_trace(observations: DataFrame, branch: str = "branch_id", order: str = "round_index", limits: Limits = Limits(), most: int = 1_000_000) -> DataFrame:
     """Controls after each observation of a branch in the order of its rounds (the batch twin of the stream).
 
-    A fold has to see a branch's rounds in order; branches are bounded by their search budget.
+    A fold has to see a branch's rounds in order; a branch of more than ``most`` observations is an error.
     """
 
     def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part, state, rows = part.sort_values(order, ignore_index=True), START, []
+        part, state, rows = bounded([part], most, "branch").sort_values(order, ignore_index=True), START, []
         for x in part.itertuples():
             state, why = step(state, x.objective_improvement, x.structural_collapse_rate, bool(x.high_disagreement), limits)
-            rows.append((getattr(x, branch), getattr(x, order), state["temperature"], state["alpha"], state["diversity"], ";".join(why)))
-        return pd.DataFrame(rows, columns=[branch, order, "temperature", "alpha", "diversity", "reasons"])
+            rows.append((getattr(x, branch), getattr(x, order), *(state[k] for k in CONTROLS), ";".join(why)))
+        return pd.DataFrame(rows, columns=[branch, order, *CONTROLS, "reasons"])
+
+    needed = observations.select(branch, order, "objective_improvement", "structural_collapse_rate", "high_disagreement")
+    return needed.groupBy(branch).applyInPandas(fold, f"{branch} {observations.schema[branch].dataType.simpleString()}, {order} long, {', '.join(f'{k} double' for k in CONTROLS)}, reasons string")
+
+
+def reward(weight: float, improvement: float | None, collapse: float, failed: bool) -> float:
+    """An arm's weight after an observation; an unknown improvement counts as none."""
+    gain = 0.0 if improvement is None or improvement != improvement else 0.2 * min(1.0, max(-1.0, improvement))
+    return min(1.5, max(0.0, weight + gain - 0.35 * min(1.0, max(0.0, collapse)) - 0.5 * failed))
+
 
-    return observations.groupBy(branch).applyInPandas(fold, f"{branch} {observations.schema[branch].dataType.simpleString()}, {order} long, temperature double, alpha double, diversity double, reasons string")
+@dataclass
+class Arms:
+    """State of one bundle's allocation: weights (the arms' priorities at first), uses and what each worker of the round has."""
 
+    weights: list[float]
+    used: list[int]
 
-def reward(weight: float, improvement: float, collapse: float, failed: bool) -> float:
-    return min(1.5, max(0.0, weight + 0.2 * min(1.0, max(-1.0, improvement)) - 0.35 * collapse - 0.5 * failed))
+    def choose(self) -> int:
+        """The arm with the greatest weight plus bonus for few uses; ties go to the first."""
+        total = 1 + sum(self.used)
+        bounds = [w + sqrt(2 * log(total + 1) / (n + 1)) for w, n in zip(self.weights, self.used, strict=True)]
+        arm = bounds.index(max(bounds))
+        self.used[arm] += 1
+        return arm
 
 
-def allocation_trace(observations: DataFrame, bundle: str, arms: int = 4) -> DataFrame:
-    """Upper-confidence allocation of evidence branches per bundle, each observation rewarding the arm that was chosen."""
+def allocate(part: pd.DataFrame, arms: Arms, order: str, worker: str | None) -> list[tuple[int, object, int, float]]:
+    """Rows (round, worker, arm, its weight after the observation) of one bundle.
+
+    All workers of a round choose before any of it is rewarded, in the order of their names, and a
+    worker that asks again in a round keeps its arm.
+    """
+    rows = []
+    for at, together in part.groupby(order, sort=True):
+        chosen: dict = {}
+        names = [getattr(x, worker) if worker else 0 for x in together.itertuples()]
+        for name in sorted(set(names)):
+            chosen[name] = arms.choose()
+        for name, x in sorted(zip(names, together.itertuples(), strict=True), key=lambda p: (p[0], p[1].Index)):
+            arm = chosen[name]
+            arms.weights[arm] = reward(arms.weights[arm], x.objective_improvement, x.structural_collapse_rate, bool(x.failed))
+            rows.append((int(at), name, arm, round(arms.weights[arm], 9)))
+    return rows
+
+
+def allocation_trace(observations: DataFrame, bundle: str, priorities: list[float], order: str = "round_index", worker: str | None = None, most: int = 1_000_000) -> DataFrame:
+    """Upper-confidence allocation of evidence branches per bundle, each observation rewarding the arm that was chosen.
+
+    priorities are the arms' first weights. With a worker column several workers share one state. A
+    bundle of more than ``most`` observations is an error. failed is a column of the observations.
+    """
+    names = [bundle, order, *([worker] if worker else []), "arm", "weight"]
 
     def fold(part: pd.DataFrame) -> pd.DataFrame:
-        weight, used, rows = [0.5] * arms, [0] * arms, []
-        for x in part.sort_values("round_index").itertuples():
-            bound = [w + sqrt(2 * log(sum(used) + 1) / (n + 1)) for w, n in zip(weight, used, strict=True)]
-            arm = max(range(arms), key=lambda i: (bound[i], -i))
-            used[arm] += 1
-            weight[arm] = reward(weight[arm], x.objective_improvement, x.structural_collapse_rate, False)
-            rows.append((getattr(x, bundle), x.round_index, arm, round(weight[arm], 9)))
-        return pd.DataFrame(rows, columns=[bundle, "round_index", "arm", "weight"])
+        part = bounded([part], most, "bundle").sort_values([order, *([worker] if worker else [])], kind="stable", ignore_index=True)
+        found = allocate(part, Arms(list(priorities), [0] * len(priorities)), order, worker)
+        rows = [(part[bundle].iloc[0], at, *([name] if worker else []), arm, weight) for at, name, arm, weight in found]
+        return pd.DataFrame(rows, columns=names)
 
-    return observations.groupBy(bundle).applyInPandas(fold, f"{bundle} {observations.schema[bundle].dataType.simpleString()}, round_index long, arm int, weight double")
+    of = lambda c: f"{c} {observations.schema[c].dataType.simpleString()}"
+    schema = ", ".join([of(bundle), f"{order} long", *([of(worker)] if worker else []), "arm int", "weight double"])
+    return observations.groupBy(bundle).applyInPandas(fold, schema)
 
 
-def trend(observations: DataFrame, branch: str, order: str, improvement: str, collapse: str, history: int) -> DataFrame:
-    """Whether the last ``history`` improvements are all positive or none is, and the previous collapse rate."""
+def trend(observations: DataFrame, branch: str, order: str, improvement: str, collapse: str, limits: Limits = Limits()) -> DataFrame:
+    """Whether the last improvements are all above the tolerance or all within it of zero, whether collapse grew, and the previous collapse rate."""
     by = Window.partitionBy(branch).orderBy(order)
-    last = by.rowsBetween(-(history - 1), 0)
-    full = F.count("*").over(last) == history
-    return observations.select(branch, order, (full & (F.min(improvement).over(last) > 0)).alias("sustained"), (full & (F.max(improvement).over(last) <= 0)).alias("stagnant"), F.lag(collapse).over(by).alias("previous_collapse"))
+    last = by.rowsBetween(-(limits.history - 1), 0)
+    full = F.count(improvement).over(last) == limits.history
+    before = F.lag(collapse).over(by)
+    sustained = full & (F.min(improvement).over(last) > limits.improvement_epsilon)
+    stagnant = full & (F.max(F.abs(improvement)).over(last) <= limits.improvement_epsilon)
+    grew = F.coalesce(F.col(collapse) > before + limits.collapse_epsilon, F.lit(False))
+    return observations.select(branch, order, sustained.alias("sustained"), stagnant.alias("stagnant"), grew.alias("collapse_increased"), before.alias("previous_collapse"))
 
 
-def cover(rows: DataFrame, key: list[str], order: str, value: str) -> DataFrame:
-    """+1, 0 or -1 of each set against the one before on one maximised axis: by their best members."""
-    best = rows.groupBy(*key, order).agg(F.max(value).alias("best"))
-    before = F.lag("best").over(Window.partitionBy(*key).orderBy(order))
-    return best.withColumn("improvement", F.when(before.isNull(), None).otherwise(F.signum(F.col("best") - before)).cast("long"))
+def cover(rows: DataFrame, key: list[str], order: str, axes: list[str]) -> DataFrame:
+    """key, order and improvement of each set over the one before: +1 if it covers that one and isn't covered by it, -1 the other way round, else 0.
+
+    A set covers another if for each member of that one it has a member at least as good on all (maximised)
+    axes. On one axis the best members decide. On several, both sets are first reduced to the members that
+    no other one covers, by a pass over blocks and one over what they leave. The first set has null.
+    """
+    before = F.lag(order).over(Window.partitionBy(*key).orderBy(order))
+    if len(axes) == 1:
+        best = rows.groupBy(*key, order).agg(F.max(axes[0]).alias("best"))
+        last = F.lag("best").over(Window.partitionBy(*key).orderBy(order))
+        return best.select(*key, order, F.signum(F.col("best") - last).cast("long").alias("improvement"))
+    points = rows.select(*key, order, *axes).dropna(subset=axes).distinct().withColumn("_block", F.pmod(F.xxhash64(*axes), F.lit(32)))
+
+    def tops(part: pd.DataFrame) -> pd.DataFrame:
+        x = part[axes].to_numpy(float)
+        kept: list[int] = []
+        for i in np.lexsort(x.T[::-1])[::-1]:
+            if not (kept and (x[kept] >= x[i]).all(1).any()):
+                kept.append(i)
+        return part.iloc[sorted(kept)]
+
+    edge = points.groupBy(*key, order, "_block").applyInPandas(tops, points.schema).withColumn("_block", F.lit(0).cast("long"))
+    edge = edge.groupBy(*key, order).applyInPandas(tops, edge.schema).drop("_block")
+    steps = points.select(*key, order).distinct().withColumn("_before", before)
+    side = lambda name, as_: edge.select(*key, F.col(order).alias(name), F.struct(*axes).alias(as_))
+    now, old = steps.join(side(order, "_new"), [*key, order]), side("_before", "_old")
+    pairs = now.join(old, [*key, "_before"])
+    new_wins = reduce(and_, [F.col(f"_new.{a}") >= F.col(f"_old.{a}") for a in axes])
+    old_wins = reduce(and_, [F.col(f"_old.{a}") >= F.col(f"_new.{a}") for a in axes])
+    of_old = pairs.groupBy(*key, order, "_old").agg(F.max(new_wins.cast("int")).alias("_c")).groupBy(*key, order).agg(F.min("_c").alias("_up"))
+    of_new = pairs.groupBy(*key, order, "_new").agg(F.max(old_wins.cast("int")).alias("_c")).groupBy(*key, order).agg(F.min("_c").alias("_down"))
+    out = steps.join(of_old, [*key, order], "left").join(of_new, [*key, order], "left")
+    return out.select(*key, order, F.when(F.col("_before").isNotNull(), F.col("_up") - F.col("_down")).cast("long").alias("improvement"))

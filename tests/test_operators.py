@@ -1,5 +1,8 @@
 """Operators on small hand-made tables with expected values."""
 
+import math
+import random
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -98,18 +101,79 @@ def test_mixed_units_and_upsert(spark):
     assert {r.id: r.outcome for r in contracts.immutable_upsert(old, new, "id", "digest").collect()} == {1: "unchanged", 2: "conflict", 3: "insert", 4: "conflict"}
 
 
-def test_formulas():
+def test_formulas(spark):
     parse = chemistry.formula_counts
-    assert parse("Fe2(SO4)3")[0] == {"Fe": 2.0, "S": 3.0, "O": 12.0}
-    assert parse("Li0.5CoO2")[0] == {"Li": 0.5, "Co": 1.0, "O": 2.0}
-    assert [parse(x)[1] for x in ("", "Fe)", "(Fe", "fe", "Fe0")] == ["empty_formula", "unbalanced_brackets", "unbalanced_brackets", "unknown_character", "misplaced_or_zero_amount"]
-    assert chemistry.reduced_key(parse("Fe4O6")[0]) == "Fe2O3" and chemistry.reduced_key({"Li": 0.5}) is None
+    assert parse("Fe2(SO4)3")[0] == {"Fe": 2.0, "S": 3.0, "O": 12.0} and list(parse("Fe2(SO4)3")[0]) == ["O", "S", "Fe"]
+    assert parse("Li0.5CoO2")[0] == {"Li": 0.5, "Co": 1.0, "O": 2.0} and parse("Li.5 Co")[0] == {"Li": 0.5, "Co": 1.0}
+    broken = {"": "empty_formula", None: "empty_formula", "Fe)": "unbalanced_brackets", "(Fe": "unbalanced_brackets", "fe": "unknown_character", "Fe0": "misplaced_or_zero_amount", "2Fe": "misplaced_or_zero_amount", "Xx2O3": "unknown_element", "Zz": "unknown_element", "[Fe]": "unknown_character", "()": "empty_formula"}
+    assert {f: parse(f)[1] for f in broken} == broken
+    frame = spark.createDataFrame([({"Fe": 4.0, "O": 6.0},), ({"Li": 0.5},), ({"H": 2.0, "O": 1.0},)], "m map<string,double>")
+    found = frame.select(chemistry.reduced_formula(F.col("m")).alias("r"), chemistry.chemical_system(F.map_keys("m"), 2).alias("s")).collect()
+    assert [tuple(x) for x in found] == [("Fe2O3", "Fe-O"), (None, None), ("H2O", "H-O")]
+    kinds = "key string, reduced string, reps array<struct<kind string, canonical boolean, value string>>, formulas array<string>"
+    rows = [("K 1", "R", [], ["F"]), (" ", "R", [], ["F"]), (None, None, [("formula", False, "x"), ("formula", True, "C O")], ["F"]), (None, "", [], ["F"]), (None, None, [], [])]
+    scope = spark.createDataFrame(rows, kinds).select(chemistry.composition_scope(*map(F.col, ("key", "reduced", "reps", "formulas"))))
+    assert [x[0] for x in scope.collect()] == ["K1", "R", "CO", "F", None]
 
 
 def test_scheduler_step():
-    state, _ = control.step(control.START, 0.1, 0.0, False)
-    state, why = control.step(state, 0.2, 0.0, False)
-    assert state["alpha"] == 0.4 and why == ["sustained_improvement"]
+    def run(observations, limits=control.Limits()):
+        state, out = control.START, []
+        for improvement, collapse, disagreement in observations:
+            state, why = control.step(state, improvement, collapse, disagreement, limits)
+            out.append((tuple(state[k] for k in control.CONTROLS), why))
+        return out
+
+    assert run([(0.1, 0.0, False), (0.2, 0.0, False)])[-1] == ((0.4, 1.0, 0.2, 0.3), ["sustained_improvement"])
+    assert run([(0.0, 0.5, False)])[-1][1] == ["no_trend"]  # a first collapse has none before it
+    cooled = run([(0.1, 0.0, False), (0.2, 0.5, False)])[-1]
+    assert cooled == ((0.5, 0.8, 0.1, 0.3), ["collapse_increased"])  # and sustained improvement doesn't count then
+    assert run([(0.1, 0.0, False), (0.2, 5e-7, False)])[-1][1] == ["sustained_improvement"]  # within the tolerance
+    assert run([(-1.0, 0.0, False), (-2.0, 0.0, False)])[-1][1] == ["no_trend"]  # worse isn't stagnant
+    explored = run([(0.0, 0.0, False), (1e-10, 0.0, True)])[-1]
+    assert explored == ((0.5, 1.2, 0.3, 0.4), ["stagnation", "disagreement"])
+    guided = control.Limits(guided=True)
+    assert run([(0.1, 0.0, False), (0.2, 0.0, False)], guided)[-1][0][0] == 0.6
+    assert run([(0.0, 0.0, False), (0.0, 0.0, False)], guided)[-1][0] == (0.4, 1.2, 0.3, 0.35)
+    assert run([(0.0, 0.0, False), (0.0, 0.5, False)], guided)[-1][0] == (0.4, 0.8, 0.1, 0.3)
+    assert run([(0.0, 0.0, True)] * 200)[-1][0] == (0.5, 5.0, 1.0, 1.0)
+
+
+def test_allocation(spark):
+    """Against a plain loop: first weights are priorities, failures count, workers of a round share one state."""
+    rng = random.Random(3)
+    rows = [(b, r, w, rng.uniform(-2, 2), rng.random(), rng.random() < 0.3) for b in (1, 2) for r in range(30) for w in ("x", "y")]
+    frame = spark.createDataFrame(rows, "bundle_id long, round_index long, worker string, objective_improvement double, structural_collapse_rate double, failed boolean")
+    first = [0.9, 0.65, 0.6]
+    got = {(r.bundle_id, r.round_index, r.worker): (r.arm, r.weight) for r in control.allocation_trace(frame, "bundle_id", first, worker="worker").collect()}
+    for b in (1, 2):
+        weight, used = list(first), [0, 0, 0]
+        for r in range(30):
+            chosen = {}
+            for w in ("x", "y"):
+                score = [weight[i] + math.sqrt(2 * math.log(2 + sum(used)) / (used[i] + 1)) for i in range(3)]
+                chosen[w] = score.index(max(score))
+                used[chosen[w]] += 1
+            for _, _, w, gain, collapse, failed in (x for x in rows if x[:2] == (b, r)):
+                arm = chosen[w]
+                weight[arm] = min(1.5, max(0.0, weight[arm] + 0.2 * max(-1, min(1, gain)) - 0.35 * collapse - 0.5 * failed))
+                assert got[b, r, w] == (arm, round(weight[arm], 9))
+    with pytest.raises(Exception, match="more than 10 observations"):
+        control.allocation_trace(frame, "bundle_id", first, worker="worker", most=10).collect()
+
+
+def test_allocation_stream_equals_batch(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(b, r, rng.uniform(-2, 2), rng.random(), rng.random() < 0.3) for b in (1, 2) for r in range(1, 13)]
+    frame = spark.createDataFrame(rows, "bundle_id long, round_index long, objective_improvement double, structural_collapse_rate double, failed boolean")
+    for low, high in ((0, 5), (5, 12)):
+        frame.where(f"round_index > {low} and round_index <= {high}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = controllers.allocation_stream(stream, [0.9, 0.8]).writeStream.format("memory").queryName("arms").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    query.processAllAvailable()
+    query.stop()
+    want = control.allocation_trace(frame, "bundle_id", [0.9, 0.8])
+    assert sorted(map(tuple, spark.table("arms").collect())) == sorted(map(tuple, want.collect()))
 
 
 def test_stream_equals_batch(spark, tmp_path):
