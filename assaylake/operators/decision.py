@@ -6,9 +6,13 @@ from functools import reduce
 from itertools import count
 from operator import and_, or_
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+FRONT_BLOCKS = 32  # of a group, reduced each by itself before its fronts are counted
+
 
 def criterion_status(rows: DataFrame, keys: list[str], condition: str, value: str, low: str, high: str, validator: str) -> DataFrame:
     """Per key available, conflicting (several values) or incomparable (several condition sets); nothing is averaged.
@@ -29,32 +33,69 @@ def gate_rollup(gates: DataFrame, keys: list[str], gate: str = "gate") -> DataFr
 
 
 def condition_groups(rows: DataFrame, keys: list[str], signature: list[Column]) -> DataFrame:
-    """Key of comparability of each entity: the hash of its criteria's signatures in order."""
-    each = F.concat_ws("|", *[F.coalesce(s.cast("string"), F.lit("\\N")) for s in signature])
-    return rows.groupBy(*keys).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(each)), ";"), 256).alias("group_id"), F.count("*").alias("n_criteria"))
+    """Key of comparability of each entity: the hash of its criteria's signatures in order, as a JSON list of JSON lists."""
+    each = F.to_json(F.array(*[s.cast("string") for s in signature]))
+    return rows.groupBy(*keys).agg(F.sha2(F.to_json(F.array_sort(F.collect_list(each))), 256).alias("group_id"), F.count("*").alias("n_criteria"))
+
+
+def front_levels(rows: DataFrame, group: str, worst: str, best: str) -> DataFrame:
+    """(group, level): the greatest worst value of each front on one axis, front after front.
+
+    A level is the greatest worst value among the rows whose best lies below the level before. Only
+    rows with a worst value above that of every row with a lesser best can be a level: these are found
+    per block of a group first, and one pass over what is left of all blocks gives the levels.
+    """
+
+    def steps(part: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        low, high = part[worst].to_numpy(), part[best].to_numpy()
+        order = np.lexsort((-low, high))
+        low, high = np.maximum.accumulate(low[order]), high[order]
+        rise = np.concatenate([[True], low[1:] > low[:-1]])
+        return low[rise], high[rise]
+
+    def stairs(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
+        low, high = steps(part)
+        return pa.table({group: pa.array([key[0].as_py()] * len(low), part.schema.field(group).type), worst: low, best: high})
+
+    def descend(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
+        low, high = steps(part)
+        levels, at = [], len(low)
+        while at > 0:
+            levels.append(low[at - 1])
+            at = int(np.searchsorted(high, levels[-1], side="left"))
+        return pa.table({group: pa.array([key[0].as_py()] * len(levels), part.schema.field(group).type), "level": pa.array(levels, pa.float64())})
+
+    kind = rows.schema[group].dataType.simpleString()
+    blocks = rows.select(group, F.col(worst).cast("double").alias(worst), F.col(best).cast("double").alias(best), F.pmod(F.xxhash64(worst, best), F.lit(FRONT_BLOCKS)).alias("_block"))
+    reduced = blocks.groupBy(group, "_block").applyInArrow(stairs, f"`{group}` {kind}, `{worst}` double, `{best}` double")
+    return reduced.groupBy(group).applyInArrow(descend, f"`{group}` {kind}, level double")
 
 
 def robust_fronts(rows: DataFrame, entity: str, group: str, axes: list[tuple[str, str]]) -> DataFrame:
     """(entity, front) where a row beats another only if its worst is at least the other's best on all axes and above on one.
 
     The relation is transitive, so fronts peel as ordinary ones do, until no row is left. axes are (worst, best)
-    columns; a row with a null one has no front, and a worst above its best is an error.
+    columns; a row with a null one has no front, and a worst above its best is an error. On one axis a
+    row's front is one more than the number of its group's levels above its best: a sort inside groups.
     """
     from assaylake.session import materialize
 
-    beats = reduce(and_, [F.col(f"b.{w}") >= F.col(f"a.{h}") for w, h in axes]) & reduce(or_, [F.col(f"b.{w}") > F.col(f"a.{h}") for w, h in axes])
     ends = [c for a in axes for c in a]
-    rest, out = materialize(rows.select(entity, group, *ends).dropna(subset=ends), "rest"), None
-    if not rest.where(reduce(or_, [F.col(w) > F.col(h) for w, h in axes])).isEmpty():
+    known = rows.select(entity, group, *ends).dropna(subset=ends)
+    if not known.where(reduce(or_, [F.col(w) > F.col(h) for w, h in axes])).isEmpty():
         raise ValueError("the worst value of a row is above its best")
+    if len(axes) == 1:
+        worst, best = axes[0]
+        levels = front_levels(known, group, worst, best).select(F.lit(None).cast(known.schema[entity].dataType).alias(entity), group, F.col("level").alias("_value"), F.lit(1).alias("_level"))
+        both = known.select(entity, group, F.col(best).cast("double").alias("_value"), F.lit(0).alias("_level")).union(levels)
+        above = Window.partitionBy(group).orderBy(F.desc("_value"), "_level").rowsBetween(Window.unboundedPreceding, 0)
+        return both.withColumn("front", (F.sum("_level").over(above) + 1).cast("long")).where("_level = 0").select(entity, "front")
+    beats = reduce(and_, [F.col(f"b.{w}") >= F.col(f"a.{h}") for w, h in axes]) & reduce(or_, [F.col(f"b.{w}") > F.col(f"a.{h}") for w, h in axes])
+    rest, out = materialize(known, "rest"), None
     for front in count(1):
         if rest.isEmpty():
             break
-        # On one axis the rows with the greatest worst value decide alone.
-        if len(axes) == 1:
-            top = rest.join(rest.groupBy(group).agg(F.max(axes[0][0]).alias("_w")), group).where(F.col(axes[0][1]) >= F.col("_w")).select(entity)
-        else:
-            top = rest.alias("a").join(rest.alias("b"), (F.col(f"a.{group}") == F.col(f"b.{group}")) & beats, "left_anti").select(entity)
+        top = rest.alias("a").join(rest.alias("b"), (F.col(f"a.{group}") == F.col(f"b.{group}")) & beats, "left_anti").select(entity)
         top = materialize(top.withColumn("front", F.lit(front).cast("long")), "front")
         out = top if out is None else out.unionByName(top)
         rest = materialize(rest.join(top, entity, "left_anti"), "rest")
@@ -62,13 +103,17 @@ def robust_fronts(rows: DataFrame, entity: str, group: str, axes: list[tuple[str
 
 
 def pool_scores(rows: DataFrame, entity: str, group: str, worst: str, weight: str) -> DataFrame:
-    """0 to 100 by weighted worst-case utility inside a group; a group of one has no score, a constant criterion counts half."""
-    w = Window.partitionBy(group, "criterion_id")
-    low, high = F.min(worst).over(w), F.max(worst).over(w)
+    """0 to 100 by weighted worst-case utility inside a group; a group of one has no score, a constant criterion counts half.
+
+    Extremes and sizes are aggregates with partial sums that are joined back, so a large group isn't one task.
+    """
+    low, high = F.col("_low"), F.col("_high")
+    ends = rows.groupBy(group, "criterion_id").agg(F.min(worst).alias("_low"), F.max(worst).alias("_high"))
     flat = F.abs(high - low) <= 1e-9 * F.greatest(F.abs(high), F.abs(low))
-    part = rows.withColumn("_p", F.when(flat, F.lit(0.5)).otherwise((F.col(worst) - low) / (high - low)))
+    part = rows.join(ends, [group, "criterion_id"]).withColumn("_p", F.when(flat, F.lit(0.5)).otherwise((F.col(worst) - low) / (high - low)))
     total = part.groupBy(group, entity).agg((100 * F.sum(F.col("_p") * F.col(weight)) / F.sum(weight)).alias("score"))
-    return total.withColumn("score", F.when(F.count("*").over(Window.partitionBy(group)) >= 2, F.col("score")))
+    size = total.groupBy(group).agg(F.count("*").alias("_n"))
+    return total.join(size, group).withColumn("score", F.when(F.col("_n") >= 2, F.col("score"))).drop("_n")
 
 
 def completeness(rows: DataFrame, keys: list[str], status: str = "status") -> DataFrame:

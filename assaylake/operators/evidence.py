@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assaylake.functions.scalars import constraint_met, reasons
+from assaylake.functions.sizes import dictionary
 
 
 def unambiguous(rows: DataFrame, keys: list[str], value: str = "value", unit: str = "unit") -> DataFrame:
@@ -15,12 +16,16 @@ def unambiguous(rows: DataFrame, keys: list[str], value: str = "value", unit: st
     return one.where("low = high").drop("low", "high")
 
 
-def property_aggregate(rows: DataFrame, keys: list[str], value: str, unit: str, source: str) -> DataFrame:
-    """Mean, count, sorted sources per key; mixed units (a missing one is a unit) give no mean but a warning."""
+def property_aggregate(rows: DataFrame, keys: list[str], value: str, unit: str, source: str, uncertainty: str | None = None, out_of_domain: str | None = None) -> DataFrame:
+    """Mean, count, sorted sources, largest uncertainty and whether any row is out of domain, per key; mixed units (a
+    missing one is a unit) give no mean and no uncertainty but a warning."""
     tag = F.coalesce(F.col(unit), F.lit("\0"))
-    out = rows.groupBy(*keys).agg(F.avg(value).alias("mean_value"), F.count(value).alias("n_values"), F.min(tag).alias("_low"), F.max(tag).alias("_high"), F.first(unit).alias("unit"), F.array_sort(F.collect_set(source)).alias("sources"))
+    more = [F.max(uncertainty).alias("max_uncertainty")] if uncertainty else []
+    more += [(F.max(F.coalesce(F.col(out_of_domain), F.lit(False)).cast("int")) == 1).alias("any_out_of_domain")] if out_of_domain else []
+    out = rows.groupBy(*keys).agg(F.avg(value).alias("mean_value"), F.count(value).alias("n_values"), F.min(tag).alias("_low"), F.max(tag).alias("_high"), F.first(unit).alias("unit"), F.array_sort(F.collect_set(source)).alias("sources"), *more)
     mixed = F.col("_low") != F.col("_high")
-    return out.select(*keys, F.when(~mixed, F.col("mean_value")).alias("mean_value"), "n_values", F.when(~mixed, F.col("unit")).alias("unit"), "sources", F.when(mixed, "mixed_units").alias("warning"))
+    only = lambda c: F.when(~mixed, F.col(c)).alias(c)
+    return out.select(*keys, only("mean_value"), "n_values", only("unit"), "sources", F.when(mixed, "mixed_units").alias("warning"), *[only("max_uncertainty")] * bool(uncertainty), *["any_out_of_domain"] * bool(out_of_domain))
 
 
 def expert_disagreement(rows: DataFrame, entity: str, exclude: tuple[str, ...] = ()) -> DataFrame:
@@ -50,14 +55,14 @@ def goal_score(rows: DataFrame, weights: DataFrame, entity: str) -> DataFrame:
     used = weights.where("weight > 0")
     wanted = used.count()
     worst = rows.groupBy(entity, "property_name").agg(F.min("normalized").alias("worst"))
-    joined = worst.join(F.broadcast(used), "property_name")  # one row a property of a goal
+    joined = worst.join(dictionary(used), "property_name")
     out = joined.groupBy(entity).agg((F.sum(F.col("weight") * F.col("worst")) / F.sum("weight")).alias("s"), F.count("worst").alias("n"))
     return out.select(entity, F.when(F.col("n") == wanted, F.col("s")).alias("goal_score"))
 
 
 def hard_constraints(rows: DataFrame, constraints: DataFrame, entity: str, entities: DataFrame) -> DataFrame:
     """Per entity the sorted reasons why it breaks constraints: a failing expert, mixed units or a missing property."""
-    each = rows.join(F.broadcast(constraints), "property_name")  # a few rows a goal
+    each = rows.join(dictionary(constraints), "property_name")
     met = constraint_met(F.col("value"), F.col("operator"), F.col("first"), F.col("second"))
     seen = each.groupBy(entity, "constraint_id").agg(F.min(met.cast("int")).alias("ok"), F.min("unit").alias("u1"), F.max("unit").alias("u2"))
     why = F.when(F.col("u1") != F.col("u2"), F.concat(F.lit("mixed_units:"), "constraint_id")).when(F.coalesce(F.col("ok"), F.lit(0)) == 0, F.concat(F.lit("violated:"), "constraint_id"))

@@ -22,7 +22,7 @@ def history_matches(rows: DataFrame, history: DataFrame, fingerprint: str) -> Da
 
 def snapshot_status(matches: DataFrame, provider_complete: DataFrame, entity: str) -> DataFrame:
     """match if a row matched; no_match only from a complete provider; else unknown."""
-    out = matches.join(F.broadcast(provider_complete), "provider", "left")  # a row a provider
+    out = matches.join(provider_complete, "provider", "left")
     status = F.when(F.col("matched") & F.col("complete"), "match").when(~F.col("matched") & F.coalesce("complete", F.lit(False)), "no_match").otherwise("unknown")
     return out.select(entity, "provider", status.alias("status"))
 

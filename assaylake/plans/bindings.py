@@ -31,6 +31,7 @@ SELECT l_orderkey, l_linenumber, l_partkey AS candidate_id, p_type AS role_id,
        floor(l_extendedprice / l_quantity * (CAST(1 AS DOUBLE) - l_discount) * 10000 + 0.5) / 10000 AS lower_bound,
        floor(l_extendedprice / l_quantity * (CAST(1 AS DOUBLE) + l_tax) * 10000 + 0.5) / 10000 AS upper_bound
 FROM {lineitem} JOIN {part} ON p_partkey = l_partkey""",
+    "b_case": "SELECT l_orderkey AS candidate_id, role_id, validator_id, cond_year, value, lower_bound, upper_bound FROM {b_observation}",
     "b_calibration": """
 SELECT o_orderpriority AS scope_id, o_orderkey AS sample_id,
        floor(abs(o_totalprice - net) / o_totalprice * 1000000 + 0.5) / 1000000 AS score
@@ -45,7 +46,6 @@ SELECT d.doc_id AS claim_id, d.source AS subject, 'reported_in' AS predicate, d.
        CASE WHEN l.doc_id IS NULL THEN 'uncertain' WHEN l.toxic = 1 THEN 'contradicts'
             WHEN l.quality = 1 THEN 'supports' ELSE 'null' END AS polarity, d.n_chars AS n_chars
 FROM {documents} d LEFT JOIN {labels} l ON l.doc_id = d.doc_id""",
-    "b_external": "SELECT item_id AS record_id, lower(trim(substr(text, 1, 60))) AS probe FROM {benchmark}",
     "b_scheduler_obs": """
 SELECT user_id AS branch_id, event_id, ts,
        CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS round_index,

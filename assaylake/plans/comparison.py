@@ -47,23 +47,29 @@ def kinds_changed(t):
     return kinds.where("a <> b").groupBy("o_custkey").agg(S.joined(F.array_sort(F.collect_list("kind"))).alias("changed"))
 
 
-TERM_ROWS = [(field, term) for field, terms in TERMS.items() for term in terms]
-TERM_SQL = "(VALUES " + ", ".join(f"('{f}', '{w}')" for f, w in TERM_ROWS) + ") v(field, term)"
+WEIGHTS = {"gnu": 4, "apache": 3, "rights": 2}
+TERM_ROWS = [(field, term, WEIGHTS.get(term, 1)) for field, terms in TERMS.items() for term in terms]
+TERM_SQL = "(VALUES " + ", ".join(f"('{f}', '{w}', {n})" for f, w, n in TERM_ROWS) + ") v(field, term, weight)"
 
 
-@query(f"""WITH m AS (SELECT doc_id, field, term FROM {{documents}} JOIN {TERM_SQL} ON regexp_matches(lower(text), '(^|[^a-z0-9])' || term || '([^a-z0-9]|$)')),
-s AS (SELECT doc_id, field, count(*) AS score FROM m GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, field) AS k, lead(score) OVER (PARTITION BY doc_id ORDER BY score DESC, field) AS next FROM s)
-SELECT doc_id, CASE WHEN score = next THEN 'general' ELSE field END AS field, score, score = coalesce(next, 0) AS ambiguous FROM r WHERE k = 1""")
+@query(f"""WITH m AS (SELECT doc_id, field, weight FROM {{documents}} JOIN {TERM_SQL} ON regexp_matches(lower(text), '(^|[^a-z0-9])' || term || '([^a-z0-9]|$)')),
+s AS (SELECT doc_id, field, sum(weight) AS score FROM m GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER w AS k, lead(score) OVER w AS next FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY score DESC, field))
+SELECT doc_id, CASE WHEN score = next THEN 'general' ELSE field END AS field, CAST(score AS BIGINT) AS score, score = coalesce(next, 0) AS ambiguous,
+       CASE WHEN score = next THEN 'low' WHEN score >= 6 AND score >= coalesce(next, 0) + 3 THEN 'high' ELSE 'medium' END AS confidence FROM r WHERE k = 1""")
 def term_route(t):
     from pyspark.sql import Window
 
-    terms = t.spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{f}', '{w}')" for f, w in TERM_ROWS) + " AS v(field, term)")
-    hits = t.documents.select("doc_id", F.lower("text").alias("text")).join(F.broadcast(terms), S.mentions(F.col("text"), F.col("term")))  # the term dictionary is a fixed table
-    scores = hits.groupBy("doc_id", "field").agg(F.count("*").alias("score"))
+    from assaylake.functions.sizes import dictionary
+
+    terms = t.spark.createDataFrame(TERM_ROWS, "field string, term string, weight long")
+    hits = t.documents.select("doc_id", F.lower("text").alias("text")).join(dictionary(terms), S.mentions(F.col("text"), F.col("term")))
+    scores = hits.groupBy("doc_id", "field").agg(F.sum("weight").alias("score"))
     w = Window.partitionBy("doc_id").orderBy(F.desc("score"), "field")
     best = scores.withColumn("k", F.row_number().over(w)).withColumn("next", F.lead("score").over(w)).where("k = 1")
     tie = F.coalesce(F.col("score") == F.col("next"), F.lit(False))
-    return best.select("doc_id", F.when(tie, "general").otherwise(F.col("field")).alias("field"), "score", tie.alias("ambiguous"))
+    confidence = F.when(tie, "low").when((F.col("score") >= 6) & (F.col("score") >= F.coalesce("next", F.lit(0)) + 3), "high").otherwise("medium")
+    return best.select("doc_id", F.when(tie, "general").otherwise(F.col("field")).alias("field"), "score", tie.alias("ambiguous"), confidence.alias("confidence"))
 
 
 @query("""SELECT p_partkey AS parent, round(x, 2) AS control FROM (SELECT p_partkey, unnest([0.5, 0.4, 0.6, 0.5 + p_size / 100.0]) AS x FROM {part}) GROUP BY 1, 2""".replace("round(x, 2)", "floor(least(0.9, x) * 100 + 0.5) / 100"))
@@ -72,6 +78,6 @@ def control_sweep(t):
     return t.part.select(F.col("p_partkey").alias("parent"), F.explode(points).alias("x")).select("parent", S.rounded(F.least(F.lit(0.9), F.col("x")), 2).alias("control")).distinct()
 
 
-@query("""SELECT o_orderkey, CAST('0x' || substr(sha256(concat_ws('|', '7', CAST(o_orderkey AS VARCHAR), o_orderpriority)), 1, 8) AS BIGINT) AS seed FROM {orders}""")
+@query("""SELECT o_orderkey, CAST('0x' || substr(sha256(CAST(to_json(['7', CAST(o_orderkey AS VARCHAR), o_orderpriority]) AS VARCHAR)), 1, 8) AS BIGINT) AS seed FROM {orders}""")
 def sampling_seed(t):
     return t.orders.select("o_orderkey", S.sampling_seed(F.lit(7), F.col("o_orderkey"), F.col("o_orderpriority")).alias("seed"))

@@ -8,14 +8,19 @@ from assaylake.functions import scalars as S
 from assaylake.operators import decision as O
 from assaylake.plans.registry import query
 
-CRIT = """crit AS (SELECT candidate_id, role_id, CASE WHEN count(DISTINCT cond_year) > 1 THEN 'incomparable' WHEN count(DISTINCT (value, lower_bound, upper_bound)) > 1 THEN 'conflicting' ELSE 'available' END AS status,
-min(value) AS v, min(lower_bound) AS lo, min(upper_bound) AS hi, min(cond_year) AS y, array_to_string(list_sort(list(DISTINCT validator_id)), ';') AS validators, count(*) AS n_observations
-FROM {b_observation} WHERE l_orderkey % 12 = 0 GROUP BY 1, 2)"""
+# A case is an order: its criteria are its items' part types, each under the year of shipping.
+CRIT = """crit AS (
+  SELECT candidate_id, role_id,
+         CASE WHEN count(DISTINCT cond_year) > 1 THEN 'incomparable'
+              WHEN count(DISTINCT (value, lower_bound, upper_bound)) > 1 THEN 'conflicting' ELSE 'available' END AS status,
+         min(value) AS v, min(lower_bound) AS lo, min(upper_bound) AS hi, min(cond_year) AS y,
+         array_to_string(list_sort(list(DISTINCT validator_id)), ';') AS validators, count(*) AS n_observations
+  FROM {b_case} GROUP BY 1, 2)"""
 AVAIL = f"{CRIT}, avail AS (SELECT candidate_id, role_id, y, lo, hi, v FROM crit WHERE status = 'available')"
 
 
 def criteria(t):
-    return O.criterion_status(t.b_observation, ["candidate_id", "role_id"], "cond_year", "value", "lower_bound", "upper_bound", "validator_id")
+    return O.criterion_status(t.b_case, ["candidate_id", "role_id"], "cond_year", "value", "lower_bound", "upper_bound", "validator_id")
 
 
 def available(t):
@@ -36,15 +41,22 @@ def hard_gate(t):
     return O.gate_rollup(t.b_observation.select("candidate_id", gate.alias("gate")), ["candidate_id"])
 
 
-@query(f"WITH {CRIT} SELECT role_id, sha256(string_agg(concat_ws('|', 'price', CAST(y AS VARCHAR)), ';' ORDER BY concat_ws('|', 'price', CAST(y AS VARCHAR)))) AS group_id, candidate_id, count(*) AS n_criteria FROM crit WHERE status = 'available' GROUP BY role_id, candidate_id")
+@query(f"WITH {CRIT} SELECT role_id, sha256(CAST(to_json(list_sort(list(CAST(to_json(['price', CAST(y AS VARCHAR)]) AS VARCHAR)))) AS VARCHAR)) AS group_id, candidate_id, count(*) AS n_criteria FROM crit WHERE status = 'available' GROUP BY role_id, candidate_id")
 def condition_groups(t):
     return O.condition_groups(criteria(t).where("status = 'available'"), ["role_id", "candidate_id"], [F.lit("price"), F.col("cond_year")])
 
 
-@query(f"""WITH RECURSIVE {AVAIL}, chain(candidate_id, role_id, front) AS (SELECT candidate_id, role_id, 1 FROM avail UNION SELECT b.candidate_id, b.role_id, c.front + 1 FROM chain c JOIN avail a ON a.candidate_id = c.candidate_id AND a.role_id = c.role_id JOIN avail b ON a.role_id = b.role_id AND a.y = b.y AND a.hi < b.lo)
-SELECT candidate_id, CAST(max(front) AS BIGINT) AS front FROM chain GROUP BY candidate_id""")
+@query(f"""WITH RECURSIVE {AVAIL},
+levels(role_id, y, level) AS (
+  SELECT role_id, y, max(-hi) FROM avail GROUP BY role_id, y
+  UNION ALL
+  SELECT l.role_id, l.y, (SELECT max(-a.hi) FROM avail a WHERE a.role_id = l.role_id AND a.y = l.y AND -a.lo < l.level) FROM levels l
+  WHERE EXISTS (SELECT 1 FROM avail a WHERE a.role_id = l.role_id AND a.y = l.y AND -a.lo < l.level))
+SELECT a.candidate_id, a.role_id, 1 + count(l.level) AS front FROM avail a
+LEFT JOIN levels l ON l.role_id = a.role_id AND l.y = a.y AND l.level > -a.lo GROUP BY 1, 2""")
 def robust_fronts(t):
-    return O.robust_fronts(available(t), "candidate_id", "group_id", [("worst", "best")])
+    rows = available(t).withColumn("entity", F.struct("candidate_id", "role_id"))
+    return O.robust_fronts(rows, "entity", "group_id", [("worst", "best")]).select("entity.candidate_id", "entity.role_id", "front")
 
 
 @query(f"""WITH {AVAIL}, s AS (SELECT candidate_id, role_id, y, -hi AS w, min(-hi) OVER p AS lo_, max(-hi) OVER p AS hi_, count(*) OVER p AS n FROM avail WINDOW p AS (PARTITION BY role_id, y)),
@@ -72,7 +84,7 @@ def citations(t):
     return out.select("doc_id", "item_id", status.alias("status"))
 
 
-@query("""SELECT DISTINCT role_id, name, sha256(concat_ws('|', role_id, name)) AS seed_id FROM (SELECT p_type AS role_id, lower(p_brand) AS name FROM {part} UNION ALL SELECT s_name, lower(s_name) FROM (SELECT CAST(s_suppkey AS VARCHAR) AS s_name FROM {supplier}))""")
+@query("""SELECT DISTINCT role_id, name, sha256(CAST(to_json([role_id, name]) AS VARCHAR)) AS seed_id FROM (SELECT p_type AS role_id, lower(p_brand) AS name FROM {part} UNION ALL SELECT s_name, lower(s_name) FROM (SELECT CAST(s_suppkey AS VARCHAR) AS s_name FROM {supplier}))""")
 def seed_union(t):
     seeds = t.part.select(F.col("p_type").alias("role_id"), F.lower("p_brand").alias("name"))
     given = t.supplier.select(F.col("s_suppkey").cast("string").alias("role_id"), F.col("s_suppkey").cast("string").alias("name"))

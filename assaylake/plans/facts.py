@@ -31,7 +31,7 @@ def scan_contract(t):
     return out.select("event_id", "status", S.joined(F.col("reasons")).alias("reasons"))
 
 
-@query("""SELECT o_orderkey, sha256(concat_ws('|', CAST(o_orderkey AS VARCHAR), CAST(o_custkey AS VARCHAR), o_orderstatus, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR), o_orderpriority)) AS digest FROM {orders}""")
+@query("""SELECT o_orderkey, sha256(CAST(to_json([CAST(o_orderkey AS VARCHAR), CAST(o_custkey AS VARCHAR), o_orderstatus, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR), o_orderpriority]) AS VARCHAR)) AS digest FROM {orders}""")
 def content_digest(t):
     return t.orders.select("o_orderkey", S.identity_hash(F.col("o_orderkey"), F.col("o_custkey"), F.col("o_orderstatus"), F.col("o_totalprice").cast("decimal(18,2)"), F.col("o_orderpriority")).alias("digest"))
 
@@ -50,12 +50,14 @@ def evidence_lookup(t):
     return keys.join(wanted, "candidate_id", "left_semi").select("evidence_id", "candidate_id", "method_class", "status")
 
 
-@query("""SELECT candidate_id, role_id, CASE WHEN count(DISTINCT unit) = 1 THEN floor(avg(value) * 10000 + 0.5) / 10000 END AS mean_value, count(value) AS n_values,
-CASE WHEN count(DISTINCT unit) = 1 THEN min(unit) END AS unit, array_to_string(list_sort(list(DISTINCT validator_id)), ';') AS sources, CASE WHEN count(DISTINCT unit) > 1 THEN 'mixed_units' END AS warning
-FROM {b_observation} WHERE cond_year >= 1997 GROUP BY ALL""".replace("GROUP BY ALL", "GROUP BY candidate_id, role_id"))
+@query("""SELECT candidate_id, role_id, cond_year, CASE WHEN count(DISTINCT unit) = 1 THEN floor(avg(value) * 10000 + 0.5) / 10000 END AS mean_value, count(value) AS n_values,
+       CASE WHEN count(DISTINCT unit) = 1 THEN min(unit) END AS unit, array_to_string(list_sort(list(DISTINCT validator_id)), ';') AS sources, CASE WHEN count(DISTINCT unit) > 1 THEN 'mixed_units' END AS warning,
+       CASE WHEN count(DISTINCT unit) = 1 THEN floor(max(upper_bound - lower_bound) * 10000 + 0.5) / 10000 END AS max_uncertainty, bool_or(value > 2000) AS any_out_of_domain
+FROM {b_observation} GROUP BY candidate_id, role_id, cond_year""")
 def property_aggregate(t):
-    out = E.property_aggregate(t.b_observation.where("cond_year >= 1997"), ["candidate_id", "role_id"], "value", "unit", "validator_id")
-    return out.withColumn("mean_value", S.rounded(F.col("mean_value"))).withColumn("sources", S.joined(F.col("sources")))
+    rows = t.b_observation.withColumn("width", F.col("upper_bound") - F.col("lower_bound")).withColumn("far", F.col("value") > 2000)
+    out = E.property_aggregate(rows, ["candidate_id", "role_id", "cond_year"], "value", "unit", "validator_id", "width", "far")
+    return out.withColumn("mean_value", S.rounded(F.col("mean_value"))).withColumn("max_uncertainty", S.rounded(F.col("max_uncertainty"))).withColumn("sources", S.joined(F.col("sources")))
 
 
 @query("""SELECT l_partkey AS candidate_id, l_suppkey AS expert_id, min(l_tax) AS value, min(l_linestatus) AS unit FROM {lineitem} GROUP BY 1, 2 HAVING count(DISTINCT (l_tax, l_linestatus)) = 1""")

@@ -8,7 +8,10 @@ from assaylake.functions import scalars as S
 from assaylake.operators import novelty as O
 from assaylake.plans.registry import query
 
-EXT = """ext AS (SELECT d.doc_id, d.source AS provider, e.record_id IS NOT NULL AS matched FROM (SELECT doc_id, source, lower(trim(substr(text, 1, 60))) AS probe FROM {documents}) d LEFT JOIN (SELECT probe, min(record_id) AS record_id FROM {b_external} GROUP BY 1) e USING (probe)),
+EXT = r"""ext AS (
+  SELECT d.doc_id, d.source AS provider, e.record_id IS NOT NULL AS matched
+  FROM (SELECT doc_id, source, trim(regexp_replace(lower(text), '[ \t\n\v\f\r]+', ' ', 'g')) AS probe FROM {documents}) d
+  LEFT JOIN (SELECT trim(regexp_replace(lower(text), '[ \t\n\v\f\r]+', ' ', 'g')) AS probe, min(item_id) AS record_id FROM {benchmark} GROUP BY 1) e USING (probe)),
 st AS (SELECT doc_id, provider, CASE WHEN substr(provider, 4) IN ('7', '13') THEN 'unknown' WHEN matched THEN 'match' ELSE 'no_match' END AS status FROM ext)"""
 
 
@@ -72,14 +75,33 @@ def funnel(t):
     return t.documents.groupBy("lang").agg(F.count("*").alias("raw"), F.count_if(ok).alias("parsed"), F.countDistinct(F.when(ok, F.sha2("text", 256))).alias("exact_unique"), F.count_if(ok & (F.col("n_chars") <= 5000)).alias("within_limits"))
 
 
-@query("""SELECT a.p_partkey AS a, b.p_partkey AS b, CASE WHEN v <= 0.03 AND l <= 0.02 AND g <= 1 THEN 'strict' WHEN l <= 0.2 AND g <= 5 AND v <= 0.03 THEN 'ambiguous' WHEN l <= 0.2 AND g <= 5 THEN 'scaled' ELSE 'distinct' END AS relation
-FROM {part} a JOIN {part} b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey < b.p_partkey, LATERAL (SELECT abs(a.p_retailprice - b.p_retailprice) / ((a.p_retailprice + b.p_retailprice) / 2) AS v, abs(a.p_size - b.p_size) / 50.0 AS l, CAST(abs(a.p_size - b.p_size) AS DOUBLE) AS g) x WHERE v <= 0.1""")
-def pair_relation(t):
-    side = lambda n: t.part.select(F.col("p_partkey").alias(n), "p_brand", "p_type", F.col("p_retailprice").alias(f"v{n}"), F.col("p_size").alias(f"s{n}"))
-    pairs = side("a").join(side("b"), ["p_brand", "p_type"]).where("a < b")
+RELATION = """CASE WHEN v <= 0.03 AND l <= 0.02 AND g <= 1 THEN 'strict' WHEN l <= 0.2 AND g <= 5 AND v <= 0.03 THEN 'ambiguous' WHEN l <= 0.2 AND g <= 5 THEN 'scaled' ELSE 'distinct' END"""
+PAIRS = """{part} a JOIN {part} b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey < b.p_partkey,
+LATERAL (SELECT abs(a.p_retailprice - b.p_retailprice) / ((a.p_retailprice + b.p_retailprice) / 2) AS v, abs(a.p_size - b.p_size) / 50.0 AS l, CAST(abs(a.p_size - b.p_size) AS DOUBLE) AS g) x"""
+
+
+def near_pairs(t):
+    """Pairs of one brand and type that aren't distinct: an angle gap of at most 5 bounds them, so it is a key of the join."""
+    side = lambda n: t.part.select(F.col("p_partkey").alias(n), "p_brand", "p_type", F.col("p_retailprice").alias(f"v{n}"), F.col("p_size").alias(f"s{n}"), F.floor(F.col("p_size") / 6).alias("cell"))
+    pairs = side("a").withColumn("cell", F.explode(F.sequence(F.col("cell") - 1, F.col("cell") + 1))).join(side("b"), ["p_brand", "p_type", "cell"]).where("a < b")
     volume = F.abs(F.col("va") - F.col("vb")) / ((F.col("va") + F.col("vb")) / 2)
     gap = F.abs(F.col("sa") - F.col("sb"))
-    return pairs.where(volume <= 0.1).select("a", "b", O.pair_relation(volume, gap / 50.0, gap.cast("double")).alias("relation"))
+    return pairs.select("p_brand", "p_type", "a", "b", O.pair_relation(volume, gap / 50.0, gap.cast("double")).alias("relation")).where("relation <> 'distinct'")
+
+
+@query(f"SELECT a.p_partkey AS a, b.p_partkey AS b, {RELATION} AS relation FROM {PAIRS} WHERE {RELATION} <> 'distinct'")
+def pair_relation(t):
+    return near_pairs(t).select("a", "b", "relation")
+
+
+@query(f"SELECT a.p_brand, a.p_type, {RELATION} AS relation, count(*) AS n_pairs FROM {PAIRS} GROUP BY 1, 2, 3")
+def pair_counts(t):
+    """All pairs of a brand and type by relation; distinct ones are counted, not made."""
+    near = near_pairs(t).groupBy("p_brand", "p_type", "relation").agg(F.count("*").alias("n_pairs"))
+    of = near.groupBy("p_brand", "p_type").agg(F.sum("n_pairs").alias("near"))
+    every = t.part.groupBy("p_brand", "p_type").agg(F.expr("count(*) * (count(*) - 1) div 2").alias("n"))
+    far = every.join(of, ["p_brand", "p_type"], "left").select("p_brand", "p_type", F.lit("distinct").alias("relation"), (F.col("n") - F.coalesce("near", F.lit(0))).alias("n_pairs"))
+    return near.unionByName(far.where("n_pairs > 0"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_quantity > 45 THEN 'size:too_many_atoms' WHEN l_returnflag = 'R' THEN 'domain:element_not_allowed' WHEN l_discount > 0.08 THEN 'condition:system_mismatch' END AS rejection FROM {lineitem}""")

@@ -97,12 +97,12 @@ def latest_record(t):
     return O.latest_record(rows, "o_custkey", ["o_orderdate"], "o_totalprice")
 
 
-@query("SELECT DISTINCT l_partkey, l_suppkey, sha256(concat_ws('|', CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR))) AS ref FROM {lineitem}")
+@query("SELECT DISTINCT l_partkey, l_suppkey, sha256(CAST(to_json([CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR)]) AS VARCHAR)) AS ref FROM {lineitem}")
 def unique_refs(t):
     return t.lineitem.select("l_partkey", "l_suppkey").distinct().withColumn("ref", S.identity_hash(F.col("l_partkey"), F.col("l_suppkey")))
 
 
-@query("""SELECT user_id, array_to_string(list_sort(list_filter(['signup', 'purchase', 'error'], lambda x: NOT list_contains(have, x))), ';') AS missing FROM (SELECT user_id, list(DISTINCT event_type) AS have FROM {events} WHERE event_id % 20 = 0 GROUP BY 1)""")
+@query("""SELECT user_id, array_to_string(list_sort(list_filter(['signup', 'purchase', 'error'], lambda x: NOT list_contains(have, x))), ';') AS missing FROM (SELECT user_id, list(DISTINCT event_type) AS have FROM {events} GROUP BY 1)""")
 def required_missing(t):
     have = t.events.groupBy("user_id").agg(F.collect_set("event_type").alias("have"))
     required = F.array(*map(F.lit, ("signup", "purchase", "error")))
