@@ -49,9 +49,9 @@ def fk_audit(t):
 
 
 @query("""SELECT c.c_custkey AS child, CASE WHEN max(CASE WHEN p.c_custkey IS NULL THEN 1 ELSE 0 END) = 1 THEN 'missing_parent' WHEN c.c_custkey % 9 <= max(p.c_custkey % 9) THEN 'version_not_advanced' ELSE 'ok' END AS status
-FROM (SELECT c_custkey, unnest([c_custkey - 1, c_custkey * 2]) AS parent FROM {customer} WHERE c_custkey % 2 = 0) c LEFT JOIN {customer} p ON p.c_custkey = parent GROUP BY c.c_custkey""")
+FROM (SELECT c_custkey, unnest([c_custkey - 1, c_custkey * 2]) AS parent FROM {customer}) c LEFT JOIN {customer} p ON p.c_custkey = parent GROUP BY c.c_custkey""")
 def lineage_audit(t):
-    links = t.customer.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("child"), F.explode(F.array(F.col("c_custkey") - 1, F.col("c_custkey") * 2)).alias("parent"))
+    links = t.customer.select(F.col("c_custkey").alias("child"), F.explode(F.array(F.col("c_custkey") - 1, F.col("c_custkey") * 2)).alias("parent"))
     known = t.customer.select(F.col("c_custkey").alias("parent"), (F.col("c_custkey") % 9).alias("version"))
     out = links.join(known, "parent", "left").groupBy("child").agg(F.max(F.col("version").isNull().cast("int")).alias("missing"), F.max("version").alias("latest"))
     status = F.when(F.col("missing") == 1, "missing_parent").when(F.col("child") % 9 <= F.col("latest"), "version_not_advanced").otherwise("ok")
@@ -82,10 +82,12 @@ def history_summary(t):
     return t.events.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.countDistinct("user_id").alias("candidates"), F.countDistinct(F.when(F.col("event_type") == "purchase", F.col("user_id"))).alias("experimental"), F.count_if(F.col("event_type") == "error").alias("failed_calls"))
 
 
-@query("SELECT o_orderkey, o_custkey FROM {orders} WHERE year(o_orderdate) * 12 + month(o_orderdate) = (SELECT max(year(o_orderdate) * 12 + month(o_orderdate)) FROM {orders})")
+@query("""WITH p AS (SELECT o_orderkey, o_custkey, CASE WHEN o_custkey % 3 > 0 THEN year(o_orderdate) * 12 + month(o_orderdate) END AS plan FROM {orders}), m AS (SELECT o_custkey, max(plan) AS last FROM p GROUP BY 1)
+SELECT o_orderkey, o_custkey FROM p JOIN m USING (o_custkey) WHERE last IS NULL OR plan = last""")
 def latest_plan(t):
-    rows = t.orders.withColumn("plan", F.year("o_orderdate") * 12 + F.month("o_orderdate"))
-    return rows.join(rows.agg(F.max("plan").alias("plan")), "plan", "left_semi").select("o_orderkey", "o_custkey")
+    """Orders of each customer's latest plan; a customer without a plan has all of them."""
+    plan = F.when(F.col("o_custkey") % 3 > 0, F.year("o_orderdate") * 12 + F.month("o_orderdate"))
+    return contracts.latest_plan(t.orders.select("o_orderkey", "o_custkey", plan.alias("plan")), ["o_custkey"], "plan").drop("plan")
 
 
 @query("SELECT p_partkey, expert_id, coalesce(status, 'failed') AS status FROM (SELECT p_partkey, unnest(['e0', 'e1']) AS expert_id FROM {part}) r LEFT JOIN (SELECT candidate_id, expert_id, 'success' AS status FROM {b_prediction}) s ON s.candidate_id = p_partkey AND s.expert_id = r.expert_id".replace("SELECT p_partkey, expert_id", "SELECT p_partkey, r.expert_id"))
@@ -93,3 +95,22 @@ def normalised_rows(t):
     asked = t.part.select("p_partkey", F.explode(F.array(F.lit("e0"), F.lit("e1"))).alias("expert_id"))
     got = t.b_prediction.select(F.col("candidate_id").alias("p_partkey"), "expert_id", F.lit("success").alias("status"))
     return asked.join(got, ["p_partkey", "expert_id"], "left").select("p_partkey", "expert_id", F.coalesce("status", F.lit("failed")).alias("status"))
+
+
+@query("""WITH r AS (SELECT source, lang IN ('en', 'fr') AND n_chars >= 50 AND (n_chars < 400 OR doc_id % 2 = 0) AND source <> 'src3' AS ok FROM {documents})
+SELECT source, count(CASE WHEN ok THEN 1 END) AS n_valid, count(CASE WHEN NOT coalesce(ok, false) THEN 1 END) AS n_invalid FROM r GROUP BY 1""")
+def structured_evidence(t):
+    """Documents as evidence rows under a contract for each source but src3: two record types, three fields."""
+    filled = F.array_compact(F.array(F.lit("title"), F.when(F.col("n_chars") >= 50, "abstract"), F.when((F.col("n_chars") < 400) | (F.col("doc_id") % 2 == 0), "provenance")))
+    rows = t.documents.select("source", F.col("lang").alias("record_type"), filled.alias("keys"))
+    terms = t.documents.select("source").distinct().where("source <> 'src3'")
+    terms = terms.withColumn("allowed_types", F.array(F.lit("en"), F.lit("fr"))).withColumn("required", F.array(F.lit("abstract"), F.lit("provenance")))
+    return contracts.structured_evidence(rows, terms)[1]
+
+
+@query("""SELECT 'claims' AS "table", count(*) AS n_rows FROM {labels} UNION ALL SELECT 'records', count(DISTINCT doc_id % 100000) FROM {documents}""")
+def index_manifest(t):
+    """An index of records after an upsert of the same records with newer rows, and of claims."""
+    old = t.documents.select((F.col("doc_id") % 100000).alias("record_id"), F.col("doc_id").alias("version"))
+    index = contracts.upsert_index(old, old.withColumn("version", F.col("version") + 1), "record_id", "version")
+    return contracts.index_manifest(records=index, claims=t.labels)

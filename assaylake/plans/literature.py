@@ -13,15 +13,15 @@ KEY = "CASE WHEN doc_id % 3 = 0 THEN 'doi:10.1/' || CAST(doc_id // 6 AS VARCHAR)
 STEER = "SELECT claim_id, subject, object, polarity FROM {b_claim} WHERE polarity IN ('supports', 'contradicts') AND n_chars >= 200"
 
 
-@query(f"""WITH r AS (SELECT {KEY} AS key, doc_id, source, lang, n_chars, doc_id % 17 = 0 AS retracted FROM {{documents}})
-SELECT key, max(n_chars) AS n_chars, array_to_string(list_sort(list(DISTINCT source)), ';') AS sources, bool_or(retracted) AS retracted, arg_min(lang, doc_id) AS lang, count(*) AS n_merged FROM r GROUP BY 1""")
+@query(f"""WITH r AS (SELECT {KEY} AS key, doc_id, source, lang, n_chars, lower(trim(split_part(text, chr(10), 1))) AS title, doc_id % 17 = 0 AS retracted FROM {{documents}})
+SELECT key, max(n_chars) AS n_chars, array_to_string(list_sort(list(DISTINCT source)), ';') AS sources, bool_or(retracted) AS retracted, arg_min(lang, doc_id) AS lang, first(title ORDER BY length(title) DESC, title) AS title, count(*) AS n_merged FROM r GROUP BY 1""")
 def record_fusion(t):
     sixth = F.floor(F.col("record_id") / 6).cast("string")
     rows = t.b_record.join(t.documents.select(F.col("doc_id").alias("record_id"), "n_chars"), "record_id")
     doi = S.normal_doi(F.when(F.col("record_id") % 3 == 0, F.concat(F.lit("https://doi.org/10.1/"), sixth)))
     pmid = F.when(F.col("record_id") % 3 == 1, sixth)
     rows = rows.withColumn("key", O.identity_key(doi, pmid, F.lit(None).cast("string"), F.col("title"), F.col("publication_year"))).withColumn("sources", F.col("provider")).withColumn("retracted", F.col("record_id") % 17 == 0)
-    out = O.fuse_records(rows, "key", ["record_id"], [], ["n_chars"], ["sources"], ["retracted"], ["lang"])
+    out = O.fuse_records(rows, "key", ["record_id"], ["title"], ["n_chars"], ["sources"], ["retracted"], ["lang"])
     return out.withColumn("sources", S.joined(F.col("sources")))
 
 
@@ -72,17 +72,57 @@ def claim_graph(t):
 @query(f"""WITH e AS ({STEER} UNION ALL SELECT n_nationkey + 1000000, lower(CASE n_regionkey WHEN 0 THEN 'en' WHEN 1 THEN 'fr' WHEN 2 THEN 'de' ELSE 'es' END), n_name, 'supports' FROM {{nation}})
 SELECT a.subject AS start, a.object AS middle, b.object AS "end", count(*) AS n_paths FROM e a JOIN e b ON a.object = b.subject AND a.subject <> b.object GROUP BY 1, 2, 3""")
 def two_hop(t):
+    return paths(t).groupBy("start", "middle", "end").agg(F.count("*").alias("n_paths"))
+
+
+def paths(t):
     claims = t.b_claim.where("polarity in ('supports', 'contradicts') and n_chars >= 200").select("claim_id", "subject", "object")
     lang = F.coalesce(F.get(F.array(F.lit("en"), F.lit("fr"), F.lit("de")), F.col("n_regionkey").cast("int")), F.lit("es"))
     hubs = t.nation.select((F.col("n_nationkey") + 1000000).alias("claim_id"), lang.alias("subject"), F.col("n_name").alias("object"))
-    return O.two_hop(claims.unionByName(hubs)).groupBy("start", "middle", "end").agg(F.count("*").alias("n_paths"))
+    return O.two_hop(claims.unionByName(hubs))
+
+
+GRAPH = """g AS (SELECT subject, object, count(CASE WHEN polarity = 'supports' THEN 1 END) AS p, count(CASE WHEN polarity IN ('contradicts', 'null') THEN 1 END) AS n, bool_or(n_chars % 5 = 0) AS c FROM {b_claim} WHERE polarity <> 'uncertain' OR n_chars % 3 = 0 GROUP BY 1, 2)"""
+
+
+def relations(t):
+    """Relations of decided claims and a third of the uncertain ones; some have conditions."""
+    claims = t.b_claim.where("polarity <> 'uncertain' or n_chars % 3 = 0")
+    counts = [F.count_if(F.col("polarity") == "supports").alias("positive"), F.count_if(F.col("polarity").isin("contradicts", "null")).alias("negative")]
+    return claims.groupBy("subject", "object").agg(*counts, (F.max((F.col("n_chars") % 5 == 0).cast("int")) == 1).alias("has_conditions"))
 
 
-@query("""WITH g AS (SELECT subject, object, count(CASE WHEN polarity = 'supports' THEN 1 END) AS p, count(CASE WHEN polarity = 'contradicts' THEN 1 END) AS n FROM {b_claim} GROUP BY 1, 2),
-b AS (SELECT subject, object, 'conflict' AS kind, 0.95 AS priority FROM g WHERE p > 0 AND n > 0 UNION ALL SELECT subject, object, 'avoidance', 0.9 FROM g WHERE n > 0 AND p = 0 UNION ALL SELECT subject, object, 'support', 0.8 FROM g WHERE p > 0)
+@query(f"""WITH {GRAPH}, b AS (
+SELECT subject, object, 'conflict' AS kind, 0.95 AS priority FROM g WHERE p > 0 AND n > 0 UNION ALL SELECT subject, object, 'avoidance', 0.9 FROM g WHERE n > 0 AND p = 0
+UNION ALL SELECT subject, object, 'composition', 0.82 FROM g WHERE NOT (n > 0 AND p = 0) UNION ALL SELECT subject, object, 'condition', 0.8 FROM g WHERE c AND NOT (n > 0 AND p = 0))
 SELECT subject, object, kind, CAST(priority AS DOUBLE) AS priority FROM b ORDER BY priority DESC, subject, object, kind LIMIT 40""")
 def evidence_branches(t):
-    return O.branches(O.claim_graph(t.b_claim), 40)
+    return O.branches(relations(t), 40)
+
+
+@query(f"""WITH {GRAPH}, b AS (
+SELECT subject, object, 'conflict' AS kind, 0.95 AS priority FROM g WHERE p > 0 AND n > 0 UNION ALL SELECT subject, object, 'avoidance', 0.9 FROM g WHERE n > 0 AND p = 0
+UNION ALL SELECT subject, object, kind, priority FROM g, (VALUES ('exact_recheck', 0.85), ('analog', 0.8), ('mechanism_alternative', 0.75)) v(kind, priority) WHERE NOT (n > 0 AND p = 0))
+SELECT subject, object, kind, CAST(priority AS DOUBLE) AS priority FROM b ORDER BY priority DESC, subject, object, kind LIMIT 60""")
+def medicinal_branches(t):
+    return O.branches(relations(t), 60, medicinal=True)
+
+
+@query(f"""WITH e AS ({STEER} UNION ALL SELECT n_nationkey + 1000000, lower(CASE n_regionkey WHEN 0 THEN 'en' WHEN 1 THEN 'fr' WHEN 2 THEN 'de' ELSE 'es' END), n_name, 'supports' FROM {{nation}})
+SELECT DISTINCT a.subject, b.object, 'underexplored' AS kind, CAST(0.65 AS DOUBLE) AS priority FROM e a JOIN e b ON a.object = b.subject AND a.subject <> b.object ORDER BY 1, 2 LIMIT 50""")
+def path_branches(t):
+    return O.path_branches(paths(t), 50)
+
+
+@query(r"""WITH s AS (SELECT subject || CASE claim_id % 5 WHEN 0 THEN '  Oxide' WHEN 1 THEN ' kinase' ELSE '' END AS name, predicate, false AS o FROM {b_claim} UNION ALL SELECT CASE WHEN claim_id % 4 = 0 THEN 'Fe' WHEN claim_id % 4 = 1 THEN 'band gap' ELSE object END, predicate, true FROM {b_claim}),
+t AS (SELECT lower(regexp_replace(name, '\s+', ' ', 'g')) AS name, name = 'Fe' AS fe, o FROM s WHERE name IS NOT NULL)
+SELECT CASE WHEN regexp_matches(name, '\bkinase\b') THEN 'target' WHEN regexp_matches(name, '\boxide\b') THEN 'material' WHEN fe THEN 'element' WHEN o AND regexp_matches(name, '\bgap\b') THEN 'property' ELSE 'other' END AS node_type, name,
+       count(CASE WHEN NOT o THEN 1 END) AS n_subject, count(CASE WHEN o THEN 1 END) AS n_object FROM t GROUP BY 1, 2""".replace("\\\\", "\\"))
+def claim_nodes(t):
+    n = F.col("claim_id")
+    subject = F.concat("subject", F.when(n % 5 == 0, "  Oxide").when(n % 5 == 1, " kinase").otherwise(""))
+    object_ = F.when(n % 4 == 0, "Fe").when(n % 4 == 1, "band gap").otherwise(F.col("object"))
+    return O.claim_nodes(t.b_claim.select(subject.alias("subject"), "predicate", object_.alias("object")))
 
 
 @query(f"""WITH s AS ({STEER}) SELECT c.subject, c.object, count(*) AS n_claims, count(s.claim_id) AS n_steerable, count(*) = count(s.claim_id) AS closed FROM {{b_claim}} c LEFT JOIN s USING (claim_id) GROUP BY 1, 2""")

@@ -76,3 +76,44 @@ def write_report_csv(rows: DataFrame, path: str) -> None:
 def append_events(rows: DataFrame, path: str) -> None:
     """Append-only audit log."""
     rows.write.mode("append").parquet(path)
+
+
+def latest_plan(rows: DataFrame, keys: list[str], plan: str) -> DataFrame:
+    """Rows of the latest plan of each key; all rows of a key that has none."""
+    last = rows.groupBy(*keys).agg(F.max(plan).alias("_last"))
+    return rows.join(last, keys).where(F.col("_last").isNull() | (F.col(plan) == F.col("_last"))).drop("_last")
+
+
+def structured_evidence(rows: DataFrame, contracts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Valid evidence rows, and per source the numbers of valid and invalid ones.
+
+    rows: source, record_type, keys (the fields that are filled); contracts (a dictionary): source,
+    allowed_types, required. A source without a contract has no valid row; invalid rows are counted, not kept.
+    """
+    from assaylake.functions.sizes import dictionary
+
+    of = contracts.select("source", F.col("allowed_types").alias("_types"), F.col("required").alias("_required"))
+    ok = F.array_contains("_types", F.col("record_type")) & (F.size(F.array_except("_required", "keys")) == 0)
+    judged = rows.join(dictionary(of), "source", "left").withColumn("_ok", F.coalesce(ok, F.lit(False))).drop("_types", "_required")
+    counts = judged.groupBy("source").agg(F.count_if("_ok").alias("n_valid"), F.count_if(~F.col("_ok")).alias("n_invalid"))
+    return judged.where("_ok").drop("_ok"), counts
+
+
+def index_manifest(**tables: DataFrame) -> DataFrame:
+    """Number of rows of each table of an index."""
+    counts = [rows.agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("table"), "n_rows") for name, rows in sorted(tables.items())]
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.unionByName(c)
+    return out
+
+
+def write_report(rows: DataFrame, path: str, run: str = "run_id") -> DataFrame:
+    """Write a report as JSON, a folder a run, and return the inventory of its files: path, n_bytes, sha256.
+
+    Runs that the report doesn't have stay as they are; a run that it has is replaced.
+    """
+    spark = rows.sparkSession
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(run).json(path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").load(path)
+    return files.select("path", F.col("length").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))
