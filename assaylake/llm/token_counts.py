@@ -20,10 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assaylake.llm.workers import give_back, slices
 from assaylake.session import ship_package
 
 SPACE_MARK = "▁"
 LONGEST_CACHED = 64  # characters; longer pre-tokens are encoded each time
+BATCH_BYTES = 1 << 23  # of text in a slice of a batch
 CACHE_ENTRIES = 300_000  # of a worker's tier two
 
 _worker: dict = {}
@@ -84,10 +86,16 @@ def _cache(model, table) -> TierTwo:
 
 
 def frequent_table(docs: DataFrame, model: bytes, text_col: str, frequent: int, sample_docs: int) -> tuple[bytes, bytes]:
-    """Tier one: the frequent pre-tokens of a bounded sample, newline-joined, and their lengths as uint16."""
+    """Tier one: the frequent pre-tokens of a bounded sample, newline-joined, and their lengths as uint16.
+
+    The sample has about sample_docs rows from all over the table; they stay where they are, and
+    only sums of their pre-tokens are shuffled.
+    """
     import sentencepiece
 
-    sample = docs.select(F.col(text_col).alias("t")).where("t is not null").limit(sample_docs)
+    share = sample_docs / max(1, docs.count())
+    sample = docs.select(F.col(text_col).alias("t"))
+    sample = (sample.sample(share, seed=3) if share < 1 else sample).where("t is not null")
     top = (
         sample.select(F.explode(F.split("t", "[ \n]+")).alias("w"))
         .where(f"length(w) between 1 and {LONGEST_CACHED}")
@@ -116,12 +124,13 @@ def count_tokens(docs: DataFrame, model_path: str, text_col: str = "text", limit
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _cache(shared, table)
-        for batch in batches:
+        for batch in slices(batches, 0, BATCH_BYTES):
             texts = batch.column(0)
             n = [count_text(t, cache) if t else 0 for t in texts.to_pylist()]
             sizes = pa.compute.fill_null(pa.compute.binary_length(texts), 0).cast(pa.int64())
             columns = [sizes, pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())]
             yield pa.RecordBatch.from_arrays([*(batch.column(i + 1) for i in range(len(kept))), *columns], [*kept, *made])
+        give_back()
 
     fields = [docs.schema[c] for c in kept]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "n_bytes long", "n_tokens long", "over_limit boolean"])
