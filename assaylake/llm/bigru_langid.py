@@ -11,20 +11,20 @@ language) and nothing else; prediction reads whole texts.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from assaylake.llm.workers import giving_back, slices
 from assaylake.session import ship_package
 
-LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 CHUNK, CONTEXT = 256, 16  # positions that a lane labels; bytes read before them in either direction
 LANES = 1024
+BATCH_BYTES = 1 << 22  # of text in a slice of a batch
 
 
 class Network:
@@ -162,19 +162,24 @@ class Network:
 
 
 def training_windows(labelled: DataFrame, per_language: int, window: int) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Languages, windows of bytes and their languages: a sample of texts by their hash, as many of each language.
+    """Languages, windows of bytes and their languages: at most ``per_language`` of each language, one a text.
 
-    labelled has text and lang, neither null. The fraction of each language follows its count over all
-    rows, so the sample stays bounded whatever the input.
+    labelled has text and lang, neither null. A text is drawn by its hash, and a text that repeats counts
+    once: the share drawn follows the number of different texts of the language over all rows, and
+    of what is drawn the least hashes stay.
     """
-    counts = {r.lang: r["count"] for r in labelled.where("text <> ''").groupBy("lang").count().collect()}
+    texts = labelled.where("text <> ''").select("lang", "text", F.xxhash64("text").alias("h"))
+    counts = {r.lang: r.n for r in texts.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
     languages = sorted(counts)
     if not languages:
         return [], np.zeros((0, window), np.uint8), np.zeros(0, np.int64)
-    share = F.create_map(*[F.lit(v) for k in languages for v in (k, min(1.0, per_language / counts[k]))])
-    draw = F.pmod(F.xxhash64("text"), F.lit(1_000_003)) / 1_000_003
+    share = F.create_map(*[F.lit(v) for k in languages for v in (k, min(1.0, 1.5 * per_language / counts[k]))])
+    draw = F.pmod("h", F.lit(1_000_003)) / 1_000_003
     start = F.pmod(F.xxhash64("text", F.lit(1)), F.greatest(F.lit(1), F.length("text") - window)) + 1
-    rows = labelled.where("text <> ''").where(draw <= F.element_at(share, F.col("lang"))).select("lang", F.expr("text").substr(start.cast("int"), F.lit(window)).alias("text"))
+    drawn = texts.where(draw <= F.element_at(share, F.col("lang"))).select("lang", "h", F.expr("text").substr(start.cast("int"), F.lit(window)).alias("text"))
+    once = drawn.groupBy("lang", "h").agg(F.min("text").alias("text"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1_000_003)), "h"))
+    rows = once.withColumn("_place", place).where(F.col("_place") <= per_language).select("lang", "text")
     found = sorted((r.lang, r.text) for r in rows.collect())
     order = np.random.default_rng(5).permutation(len(found))
     x, y = np.zeros((len(found), window), np.uint8), np.zeros(len(found), np.int64)
@@ -220,7 +225,7 @@ def predict(docs: DataFrame, net: Network, text_col: str = "text", rows_at_once:
     def label(texts: list[str | None]) -> tuple[list[str], list[float]]:
         model = shared.value
         names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-        use = [i for i, t in enumerate(texts) if t and LETTER.search(t)] if model.languages else []
+        use = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))] if model.languages else []
         if use:
             means = model.probabilities([texts[i].encode() for i in use])
             for i, best, value in zip(use, means.argmax(1).tolist(), means.max(1).tolist(), strict=True):
@@ -228,7 +233,7 @@ def predict(docs: DataFrame, net: Network, text_col: str = "text", rows_at_once:
         return names, scores
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 0, BATCH_BYTES):
             names, scores = [], []
             for at in range(0, batch.num_rows, rows_at_once):
                 found = label(batch.column(0).slice(at, rows_at_once).to_pylist())
@@ -237,4 +242,4 @@ def predict(docs: DataFrame, net: Network, text_col: str = "text", rows_at_once:
             yield pa.RecordBatch.from_arrays([*batch.columns[not keep_text :], pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*own, "lang_pred", "score"])
 
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in own), "lang_pred string", "score double"])
-    return docs.select(text_col, *kept).mapInArrow(run, schema)
+    return docs.select(text_col, *kept).mapInArrow(giving_back(run), schema)
