@@ -81,3 +81,63 @@ def test_ends_of_sentences(spark):
     apart = ["all rights\n\nreserved", "all rights.\nreserved", "no all rights reserved", "all rights reserved here", "all rights: reserved", " * all rights\n *\n * reserved"]
     whole = ["all rights\nreserved", "x;\nall rights reserved", "words\nall rights reserved\nwords", "# All rights\n#   reserved;", "a. all rights reserved; b"]
     assert found(spark, apart + whole) == [""] * len(apart) + ["All-rights-reserved"] * len(whole)
+
+
+LGPL21 = GPL2.replace("This program", "This library").replace("General Public License as", "Lesser General Public\nLicense as").replace("version 2 of", "version 2.1 of")
+AGPL3 = GPL3.replace("General Public License as", "Affero General Public License as")
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
+AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT,
+"""
+UNLICENSE = "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify,\n"
+MORE = {"LGPL-2.1-or-later": LGPL21, "AGPL-3.0-or-later": AGPL3, "MPL-2.0-notice": MPL, "ISC-text": ISC, "Unlicense-text": UNLICENSE}
+REFERENCES = {
+    "SPDX-License-Identifier: MIT": "MIT",
+    "// SPDX-License-Identifier: GPL-2.0-or-later\n#include <a.h>": "GPL-2.0-or-later-ref",
+    "/* spdx-license-identifier:Apache-2.0 */": "Apache-2.0",
+    "This file is part of X and licensed under the MIT License, see LICENSE.": "MIT",
+    "It was released under the terms of the BSD 3-Clause License in 2019.": "BSD-3-Clause-ref",
+    "Made available under the terms of the Eclipse Public License 2.0 which is here.": "EPL-2.0",
+    "published under CC0 1.0": "CC0-1.0",
+    "licensed\n * under the Boost Software License, Version 1.0": "BSL-1.0",
+    "licensed under GNU Lesser General Public License version 2.1": "LGPL-2.1",
+    "published under the Business Source License 1.1": "BUSL-1.1",
+    "the MIT license": "",
+    "unlicensed under the mit licenses": "",
+    "SPDX-License-Identifier: MITNFA": "",
+}
+
+
+def test_more_families_and_references(spark):
+    cases = [(name, start + "".join(f"{lead}{line}".rstrip() + "\n" for line in text.splitlines()) + stop) for name, text in MORE.items() for start, lead, stop in LEADERS.values()]
+    assert found(spark, [text for _, text in cases]) == [name for name, _ in cases]
+    assert found(spark, list(REFERENCES)) == list(REFERENCES.values())
+
+
+def test_gaps_inside_a_rule(spark):
+    """Other known sentences may stand between those of a rule, at most GAP of them."""
+    other = "All rights reserved.\n"
+    parts = GPL3.split("\n\n")
+    near = f"{parts[0]}\n\n{other * license_scan.GAP}{parts[1]}"
+    far = f"{parts[0]}\n\n{other * (license_scan.GAP + 1)}{parts[1]}"
+    assert found(spark, [near, far]) == ["GPL-3.0-or-later,All-rights-reserved", "All-rights-reserved"]
+
+
+def test_texts_equal_sql(spark, tmp_path):
+    import duckdb
+
+    texts = [start + "".join(f"{lead}{line}".rstrip() + end for line in text.splitlines()) + stop for text in [*TEXTS.values(), *MORE.values(), *REFERENCES] for start, lead, stop in LEADERS.values() for end in ("\n", "\r\n")]
+    docs = spark.createDataFrame(list(enumerate([*texts, None, "", "all rights reserved. all rights reserved\nall rights reserved;\n\nlicensed under mit"])), "doc_id long, text string")
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents"))
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents/*.parquet'")
+    want = sorted(db.sql(license_scan.duckdb_sql()).fetchall())
+    assert sorted(tuple(r) for r in license_scan.scan(docs).collect()) == want
