@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assaylake.functions.scalars import constraint_met, reasons
@@ -41,10 +41,12 @@ def expert_disagreement(rows: DataFrame, entity: str, exclude: tuple[str, ...] =
 
 
 def min_max(rows: DataFrame, value: str, by: list[str], name: str = "normalized", constant: float = 1.0) -> DataFrame:
-    """Min-max normalisation inside groups; a constant group gets ``constant``."""
-    w = Window.partitionBy(*by)
-    low, high = F.min(value).over(w), F.max(value).over(w)
-    return rows.withColumn(name, F.when(high > low, (F.col(value) - low) / (high - low)).when(F.col(value).isNotNull(), F.lit(constant)))
+    """Min-max normalisation inside groups; a constant group gets ``constant``. The ends are aggregates with partial sums, joined back."""
+    key = F.struct(*[F.col(c) for c in by])
+    ends = rows.groupBy(key.alias("_key")).agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
+    low, high = F.col("_low"), F.col("_high")
+    scaled = F.when(high > low, (F.col(value) - low) / (high - low)).when(F.col(value).isNotNull(), F.lit(constant))
+    return rows.join(ends, key.eqNullSafe(F.col("_key"))).withColumn(name, scaled).drop("_key", "_low", "_high")
 
 
 def goal_score(rows: DataFrame, weights: DataFrame, entity: str) -> DataFrame:

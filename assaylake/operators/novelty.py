@@ -39,13 +39,15 @@ def pair_relation(volume_gap, lattice_gap, angle_gap):
     return F.when(strict, "strict").when(scaled & (volume_gap <= 0.03), "ambiguous").when(scaled, "scaled").otherwise("distinct")
 
 
-def leader_groups(rows: DataFrame, block: str, entity: str, vector: str, tolerance: float) -> DataFrame:
+def leader_groups(rows: DataFrame, block: str, entity: str, vector: str, tolerance: float, most: int = 1_000_000) -> DataFrame:
     """Greedy leaders in the order of the ids inside blocks: a row joins the first leader within tolerance, else leads.
 
-    The relation isn't transitive: only leaders are compared. Blocks are bounded by the blocking key.
+    The relation isn't transitive: only leaders are compared, in order, so a block is one task's; one of more than ``most`` rows is an error.
     """
 
     def group(part: pd.DataFrame) -> pd.DataFrame:
+        if len(part) > most:
+            raise ValueError(f"a block has more than {most} rows")
         part = part.sort_values(entity, ignore_index=True)
         x = np.stack(part[vector].to_numpy()).astype(float)
         leaders: list[int] = []

@@ -6,8 +6,6 @@ import math
 from functools import reduce
 from operator import and_, or_
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,13 +27,16 @@ def first_front(rows: DataFrame, entity: str, shared: list[str], scoped: list[st
     """Rows that no other row dominates; scoped axes count only between rows of one scope (all maximised).
 
     Across scopes only shared axes are compared, so the relation isn't transitive and nothing may be
-    dropped early in general. On the shared axes alone it is: a row that another scope's row dominates
+    dropped early in general. Inside a scope it is: blocks drop what they dominate inside before the
+    survivors meet. On the shared axes alone it is, too: a row that another scope's row dominates
     is found against the distinct points of the shared axes, of which only the undominated ones and
     their scopes matter.
     """
+    from assaylake.operators.screening import non_dominated
+
     better = lambda axes, strict: (reduce(and_, [F.col(f"b.{a}") >= F.col(f"a.{a}") for a in axes]), reduce(or_, [F.col(f"b.{a}") > F.col(f"a.{a}") for a in axes]))[strict]
-    inside = (F.col(f"a.{scope}") == F.col(f"b.{scope}")) & better(shared + scoped, 0) & better(shared + scoped, 1)
-    left = rows.alias("a").join(rows.alias("b"), inside, "left_anti")
+    least = {f"_least_{a}": -F.col(a) for a in shared + scoped}
+    left = non_dominated(rows.withColumns(least), entity, scope, list(least)).drop(*least)
     points = rows.groupBy(*shared).agg(F.min(scope).alias("s1"), F.max(scope).alias("s2"))
     lead = points.orderBy(*[F.desc(a) for a in shared])
     staircase = lead if len(shared) < 2 else points.alias("a").join(points.alias("b"), better(shared, 0) & better(shared, 1) & (F.col("b.s1") != F.col("b.s2")), "left_anti")
@@ -44,22 +45,40 @@ def first_front(rows: DataFrame, entity: str, shared: list[str], scoped: list[st
 
 
 def nearest_distance(rows: DataFrame, entity: str, pool: str, axes: list[str]) -> DataFrame:
-    """Chebyshev distance to the nearest other row of the pool; a single row has 1.
+    """Chebyshev distance to the nearest other row of the pool; a single row has 1; rows with a null axis are left out.
 
-    One numpy pass a pool, in blocks of rows; pools are bounded by the caller (candidates of one round).
+    Equal points are one point: where several rows have it, the distance is 0. Others look for
+    neighbours in the cells around their own, in grids that double their width until the nearest one
+    lies within a cell's width; no pool is gathered.
     """
-
-    def near(part: pd.DataFrame) -> pd.DataFrame:
-        x = part[axes].to_numpy(float)
-        out = np.ones(len(x))
-        if len(x) > 1:
-            for i in range(0, len(x), 256):
-                d = np.abs(x[i : i + 256, None] - x[None]).max(2)
-                d[np.arange(len(d)), np.arange(i, i + len(d))] = np.inf
-                out[i : i + 256] = d.min(1)
-        return pd.DataFrame({entity: part[entity].to_numpy(), "diversity": out})
-
-    return rows.groupBy(pool).applyInPandas(near, f"{entity} {rows.schema[entity].dataType.simpleString()}, diversity double")
+    from assaylake.session import Scratch, materialize
+
+    with Scratch() as scratch:
+        known = rows.dropna(subset=axes).select(entity, pool, *[F.col(a).cast("double").alias(a) for a in axes])
+        points = known.groupBy(pool, *axes).agg(F.count("*").alias("_copies"))
+        spans = points.groupBy(pool).agg(*[F.min(a).alias(f"_low_{a}") for a in axes], F.greatest(F.lit(1e-300), *[F.max(a) - F.min(a) for a in axes]).alias("_span") if len(axes) > 1 else (F.max(axes[0]) - F.min(axes[0])).alias("_span"), F.count("*").alias("_n"))
+        points = materialize(points.join(spans, pool), "points")
+        wait = points.where("_copies = 1 and _n > 1").drop("_copies")
+        out = points.select(pool, *axes, F.when(F.col("_copies") > 1, 0.0).when(F.col("_n") == 1, 1.0).alias("_d")).where("_d is not null")
+        # Cells start with about one point each; a width of the whole span leaves nothing out.
+        rounds = (points.agg(F.max("_n")).first()[0] or 1).bit_length() // len(axes) + 2
+        for step in range(rounds, -1, -1):
+            width = F.col("_span") / (1 << step)
+            cell = lambda a: F.least(F.lit(1 << step), F.floor((F.col(a) - F.col(f"_low_{a}")) / width))  # noqa: B023, E731
+            near = points.select(pool, *[F.col(a).alias(f"_o_{a}") for a in axes], *[cell(a).alias(f"_c_{a}") for a in axes])
+            asked = wait
+            for a in axes:
+                asked = asked.withColumn(f"_c_{a}", F.explode(F.sequence(cell(a) - 1, cell(a) + 1)))
+            gap = F.greatest(*[F.abs(F.col(a) - F.col(f"_o_{a}")) for a in axes]) if len(axes) > 1 else F.abs(F.col(axes[0]) - F.col(f"_o_{axes[0]}"))
+            found = asked.join(near, [pool, *[f"_c_{a}" for a in axes]]).withColumn("_g", gap).where("_g > 0").groupBy(pool, *axes).agg(F.min("_g").alias("_d"), F.first("_span").alias("_s"))
+            near_enough = found.where(F.col("_d") <= F.col("_s") / (1 << step)).select(pool, *axes, "_d")
+            tried = materialize(wait.join(near_enough, [pool, *axes], "left"), "tried")
+            out = out.unionByName(tried.where("_d is not null").select(pool, *axes, "_d"))
+            wait = tried.where("_d is null").drop("_d")
+            if wait.isEmpty():
+                break
+        placed = known.join(out, [pool, *axes]).select(entity, F.col("_d").alias("diversity"))
+        return scratch.keep(materialize(placed, "nearest"))
 
 
 def selector_disagreement(rows: DataFrame, entity: str, scope: str, scoped: str) -> DataFrame:
