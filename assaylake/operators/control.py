@@ -35,6 +35,7 @@ class Limits:
 
 
 START = {"temperature": 1.0, "alpha": 0.5, "mutation": 0.2, "diversity": 0.3, "previous_collapse": None, "recent": ()}
+BLOCK = 4096  # members of a set that are compared at once
 CONTROLS = ("alpha", "temperature", "mutation", "diversity")
 
 
@@ -180,7 +181,9 @@ def cover(rows: DataFrame, key: list[str], order: str, axes: list[str]) -> DataF
         best = rows.groupBy(*key, order).agg(F.max(axes[0]).alias("best"))
         last = F.lag("best").over(Window.partitionBy(*key).orderBy(order))
         return best.select(*key, order, F.signum(F.col("best") - last).cast("long").alias("improvement"))
-    points = rows.select(*key, order, *axes).dropna(subset=axes).distinct().withColumn("_block", F.pmod(F.xxhash64(*axes), F.lit(32)))
+    points = rows.select(*key, order, *axes).dropna(subset=axes).distinct()
+    sizes = points.groupBy(*key, order).agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("_blocks"))
+    points = points.join(sizes, [*key, order]).withColumn("_block", F.pmod(F.xxhash64(*axes), F.col("_blocks"))).drop("_blocks")
 
     def tops(part: pd.DataFrame) -> pd.DataFrame:
         x = part[axes].to_numpy(float)
@@ -191,7 +194,9 @@ def cover(rows: DataFrame, key: list[str], order: str, axes: list[str]) -> DataF
         return part.iloc[sorted(kept)]
 
     edge = points.groupBy(*key, order, "_block").applyInPandas(tops, points.schema).withColumn("_block", F.lit(0).cast("long"))
-    edge = edge.groupBy(*key, order).applyInPandas(tops, edge.schema).drop("_block")
+    if not sizes.where("_blocks > 1").isEmpty():
+        edge = edge.groupBy(*key, order).applyInPandas(tops, edge.schema)
+    edge = edge.drop("_block")
     steps = points.select(*key, order).distinct().withColumn("_before", before)
     side = lambda name, as_: edge.select(*key, F.col(order).alias(name), F.struct(*axes).alias(as_))
     now, old = steps.join(side(order, "_new"), [*key, order]), side("_before", "_old")

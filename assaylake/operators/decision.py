@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-FRONT_BLOCKS = 32  # of a group, reduced each by itself before its fronts are counted
+FRONT_BLOCK = 1 << 16  # rows of a group that are reduced at once before its fronts are counted
 
 
 def criterion_status(rows: DataFrame, keys: list[str], condition: str, value: str, low: str, high: str, validator: str) -> DataFrame:
@@ -66,8 +66,13 @@ def front_levels(rows: DataFrame, group: str, worst: str, best: str) -> DataFram
         return pa.table({group: pa.array([key[0].as_py()] * len(levels), part.schema.field(group).type), "level": pa.array(levels, pa.float64())})
 
     kind = rows.schema[group].dataType.simpleString()
-    blocks = rows.select(group, F.col(worst).cast("double").alias(worst), F.col(best).cast("double").alias(best), F.pmod(F.xxhash64(worst, best), F.lit(FRONT_BLOCKS)).alias("_block"))
-    reduced = blocks.groupBy(group, "_block").applyInArrow(stairs, f"`{group}` {kind}, `{worst}` double, `{best}` double")
+    ends = rows.select(group, F.col(worst).cast("double").alias(worst), F.col(best).cast("double").alias(best))
+    sizes = rows.groupBy(group).agg(F.ceil(F.count("*") / F.lit(FRONT_BLOCK)).alias("_blocks"))
+    large = sizes.where("_blocks > 1")
+    if large.isEmpty():
+        return ends.groupBy(group).applyInArrow(descend, f"`{group}` {kind}, level double")
+    blocks = ends.join(sizes, group).withColumn("_block", F.pmod(F.xxhash64(worst, best), F.col("_blocks")))
+    reduced = blocks.select(group, worst, best, "_block").groupBy(group, "_block").applyInArrow(stairs, f"`{group}` {kind}, `{worst}` double, `{best}` double")
     return reduced.groupBy(group).applyInArrow(descend, f"`{group}` {kind}, level double")
 
 

@@ -56,7 +56,7 @@ def nearest_distance(rows: DataFrame, entity: str, pool: str, axes: list[str]) -
     with Scratch() as scratch:
         known = rows.dropna(subset=axes).select(entity, pool, *[F.col(a).cast("double").alias(a) for a in axes])
         points = known.groupBy(pool, *axes).agg(F.count("*").alias("_copies"))
-        spans = points.groupBy(pool).agg(*[F.min(a).alias(f"_low_{a}") for a in axes], F.greatest(F.lit(1e-300), *[F.max(a) - F.min(a) for a in axes]).alias("_span") if len(axes) > 1 else (F.max(axes[0]) - F.min(axes[0])).alias("_span"), F.count("*").alias("_n"))
+        spans = points.groupBy(pool).agg(*[F.min(a).alias(f"_low_{a}") for a in axes], F.greatest(F.lit(1e-300), *[F.max(a) - F.min(a) for a in axes]).alias("_span"), F.count("*").alias("_n"))
         points = materialize(points.join(spans, pool), "points")
         wait = points.where("_copies = 1 and _n > 1").drop("_copies")
         out = points.select(pool, *axes, F.when(F.col("_copies") > 1, 0.0).when(F.col("_n") == 1, 1.0).alias("_d")).where("_d is not null")

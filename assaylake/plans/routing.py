@@ -151,12 +151,12 @@ def batch_audit(t):
     return O.batch_violations(batches, children, parents).withColumn("violations", S.joined(F.col("violations")))
 
 
-@query("""WITH c AS (SELECT l_partkey, count(*) AS n_checks, arg_max(CAST(l_quantity AS DOUBLE), l_orderkey * 10 + l_linenumber) FILTER (l_linenumber <> 3) AS effect FROM {lineitem} WHERE l_partkey % 5 <> 0 GROUP BY 1)
+@query("""WITH c AS (SELECT l_partkey, count(*) AS n_checks, last(CAST(l_quantity AS DOUBLE) ORDER BY l_orderkey, l_linenumber, l_extendedprice, l_suppkey) FILTER (l_linenumber <> 3) AS effect FROM {lineitem} WHERE l_partkey % 5 <> 0 GROUP BY 1)
 SELECT p_partkey AS candidate_id, coalesce(n_checks, 0) AS n_checks, floor(coalesce(abs(p_size - effect), 0.5) * 10000 + 0.5) / 10000 AS disagreement FROM {part} LEFT JOIN c ON l_partkey = p_partkey""")
 def cross_checks(t):
     rows = t.part.select(F.col("p_partkey").alias("candidate_id"), F.col("p_size").cast("double").alias("expression_change"), F.lit(0.5).alias("disagreement"))
     effect = F.when(F.col("l_linenumber") != 3, F.col("l_quantity").cast("double"))
-    checks = t.lineitem.where("l_partkey % 5 <> 0").select(F.col("l_partkey").alias("candidate_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("position"), effect.alias("effect"))
+    checks = t.lineitem.where("l_partkey % 5 <> 0").select(F.col("l_partkey").alias("candidate_id"), F.struct("l_orderkey", "l_linenumber", "l_extendedprice", "l_suppkey").alias("position"), effect.alias("effect"))
     return O.cross_checks(rows, checks).select("candidate_id", "n_checks", S.rounded(F.col("disagreement")).alias("disagreement"))
 
 

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from assaylake.operators import control, decision, routing
+from assaylake.operators import control, decision, routing, selection
 from assaylake.sources import contracts, providers
 from assaylake.streaming import controllers
 
@@ -24,8 +24,9 @@ def plain_fronts(rows):
     return out
 
 
-@pytest.mark.parametrize("axes", [1, 2])
-def test_robust_fronts(spark, axes):
+@pytest.mark.parametrize(("axes", "block"), [(1, 1 << 16), (1, 20), (2, 20)])
+def test_robust_fronts(spark, monkeypatch, axes, block):
+    monkeypatch.setattr(decision, "FRONT_BLOCK", block)
     rng = random.Random(axes)
     rows = []
     for i in range(60 if axes == 2 else 300):
@@ -41,7 +42,9 @@ def test_robust_fronts(spark, axes):
         decision.robust_fronts(spark.createDataFrame([(1, "a", 2.0, 1.0)], "id long, g string, w0 double, h0 double"), "id", "g", [("w0", "h0")])
 
 
-def test_cover_of_sets(spark):
+@pytest.mark.parametrize("block", [4096, 2])
+def test_cover_of_sets(spark, monkeypatch, block):
+    monkeypatch.setattr(control, "BLOCK", block)
     rng = random.Random(5)
     rows = [(b, r, float(rng.randrange(5)), float(rng.randrange(5))) for b in "ab" for r in range(12) for _ in range(rng.randrange(1, 5))]
     got = {(x.b, x.r): x.improvement for x in control.cover(spark.createDataFrame(rows, "b string, r long, x double, y double"), ["b"], "r", ["x", "y"]).collect()}
@@ -132,3 +135,16 @@ def test_streams_of_counts_and_novelty(spark, tmp_path):
     assert sorted((str(r.window.start), r.kind, r.n) for r in counts) == [("2024-01-01 00:00:00", "a", 2), ("2024-01-01 01:00:00", "b", 1), ("2024-01-01 05:00:00", "a", 1)]
     novel = run(lambda s: controllers.history_novelty(s, history, "fingerprint"), "novel", "append")
     assert sorted((r.fingerprint, r.known) for r in novel) == [("x", True), ("x", True), ("y", False), ("z", False)]
+
+
+@pytest.mark.parametrize("axes", [["x"], ["x", "y"]])
+def test_nearest_distance(spark, axes):
+    rng = random.Random(len(axes))
+    rows = [(i, rng.choice("abc"), rng.choice([rng.random(), rng.randrange(3) / 2, 1e6 * rng.random()]), rng.random()) for i in range(150)] + [(900, "single", 1.0, 1.0), (901, "none", None, 1.0), (902, "same", 1.0, 2.0), (903, "same", 1.0, 2.0)]
+    frame = spark.createDataFrame(rows, "id long, pool string, x double, y double")
+    got = {r.id: r.diversity for r in selection.nearest_distance(frame, "id", "pool", axes).collect()}
+    points = {r[0]: (r[1], r[2:] if len(axes) == 2 else r[2:3]) for r in rows if r[2] is not None}
+    for i, (pool, p) in points.items():
+        gaps = [max(abs(a - b) for a, b in zip(p, q)) for j, (other, q) in points.items() if other == pool and j != i]
+        assert got.pop(i) == pytest.approx(min(gaps, default=1.0))
+    assert got == {}
