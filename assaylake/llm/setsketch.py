@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from assaylake.llm.components import components
 from assaylake.llm.workers import giving_back, slices
-from assaylake.session import materialize, ship_package
+from assaylake.session import Scratch, materialize, ship_package
 
 BANDS, ROWS = 26, 4  # at similarity 0.8 a pair misses every band with a chance of about 1e-6
 REGISTERS = BANDS * ROWS
@@ -37,7 +37,7 @@ MASKS = _rng.integers(0, 1 << 63, REGISTERS, dtype=np.uint64)
 BLOCK = 8192  # shingles hashed at once
 TEXT_BLOCK = 1 << 18  # bytes whose words are hashed at once
 BATCH_BYTES = 1 << 23  # of text in a slice of a batch
-SLOTS = 1 << 20  # of the shingle counts that order the rare-shingle search; a bound of what is sent to the workers
+SLOTS = 1 << 18  # of the shingle counts that order the rare-shingle search; a bound of what is sent to the workers
 NO_ID = -(1 << 63)  # stands for a null id in a join
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -304,6 +304,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     a null component and isn't kept, but links others. An empty table gives an empty result, and
     other columns are ignored.
     """
+    with Scratch() as scratch:
+        return scratch.keep(materialize(_near_duplicates(docs, width, percent, id_col, text_col), "judged"))
+
+
+def _near_duplicates(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     ship_package(docs.sparkSession)
     rows = materialize(sketches(docs, width, id_col, text_col), "sketches")
     # A class is a set that some documents have; its node is a number of its own, whatever their ids are.
