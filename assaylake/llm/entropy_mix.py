@@ -16,10 +16,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assaylake.session import materialize
+from assaylake.session import Scratch, materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
-BUCKETS = 4096  # of the hash order, per source
+BUCKET_BITS, BUCKET_ROWS = 12, 1 << 16  # of the hash order: at least so many buckets, so many rows a bucket
 MENDS = 3
 
 
@@ -60,7 +60,8 @@ def balance(units: DataFrame, targets: DataFrame, tolerance: float = 1e-12, roun
 
     Each Newton round sums exp(tilt) * size over all documents of a source (integers first, so reruns agree): the gradient is that sum
     less the target, the (diagonal) Hessian the sum itself. Steps are held within 1, which keeps the
-    first ones from running away; the rounds end when every relative gradient is within tolerance.
+    first ones from running away; the rounds end when every relative gradient is within tolerance, and
+    raise if it never is.
     """
     state = targets.withColumn("tilt", F.when(F.col("target") > 0, F.lit(0.0)))
     for _ in range(rounds):
@@ -73,16 +74,17 @@ def balance(units: DataFrame, targets: DataFrame, tolerance: float = 1e-12, roun
             return both.select("source", "source_size", "target", "tilt")
         step = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("gradient")))
         state = both.select("source", "source_size", "target", (F.col("tilt") - step).alias("tilt"))
-    return state
+    raise RuntimeError(f"the tilts didn't settle in {rounds} rounds")
 
 
 def whole_copies(units: DataFrame, solved: DataFrame, seed: int) -> DataFrame:
     """units with source_size, target, rate and copies (rate rounded so that the sums meet the targets)."""
+    bits = max(BUCKET_BITS, (units.count() // BUCKET_ROWS).bit_length())
     rate = F.coalesce(F.exp("tilt"), F.lit(0.0))
     whole = F.floor(F.col("rate") + 1e-9)
     chance = F.xxhash64(F.lit(seed), "doc_id", "size").bitwiseAND(F.lit((1 << 62) - 1))
     dealt = units.join(solved.select(F.col("source").alias("s"), "source_size", "target", rate.alias("rate")), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    dealt = dealt.withColumn("whole", whole).withColumn("chance", chance).withColumn("bucket", F.expr(f"shiftright(chance, {62 - BUCKETS.bit_length() + 1})"))
+    dealt = dealt.withColumn("whole", whole).withColumn("chance", chance).withColumn("bucket", F.shiftright("chance", 62 - bits))
     dealt = dealt.withColumn("mass", F.col("size") * F.col("n")).withColumn("want", F.col("target") - F.col("whole") * F.col("source_size"))
     # Where the hash order reaches the wanted words: first by buckets, then inside that bucket alone.
     sums = dealt.groupBy("source", "bucket", "want").agg(F.sum("mass").alias("in_bucket"))
@@ -113,9 +115,10 @@ def mix_units(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), sha
     repeat an id with the same source and size share one decision. An empty table gives an empty
     result. No unit gets more than ``cap`` copies, rounded up; a source without words gets target 0.
     """
-    units = materialize(with_sizes(docs, id_col, text_col, source_col), "sizes")
-    targets = source_targets(units, weights, share, cap)
-    return whole_copies(units, balance(units, targets), seed)
+    with Scratch() as scratch:
+        units = materialize(with_sizes(docs, id_col, text_col, source_col), "sizes")
+        targets = source_targets(units, weights, share, cap)
+        return scratch.keep(materialize(whole_copies(units, balance(units, targets), seed), "mix"))
 
 
 def decisions(docs: DataFrame, **options) -> DataFrame:
