@@ -14,13 +14,14 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import exp, sqrt
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assaylake.llm.workers import giving_back, slices
 from assaylake.session import ship_package
 
 # Element names of HTML by their role here, and words that name page furniture.
@@ -41,35 +42,66 @@ MARKUP = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"
 NAMES = re.compile(r"(?:^|[\s\"'])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 SPLIT_NAMES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+BATCH_BYTES = 1 << 23  # of pages in a slice of a batch
 #: Share of the content's text that the article's element must hold.
 MOST = 0.7
 #: A suspect's ratios are low under this share of the content's.
 LOW = 0.75
+#: A path of links in an article is no text under this share of the threshold.
+DIM = 0.1
 PLAIN, MIXED, SURE, FORM = range(4)
 
 
+class Page:
+    """Elements of a page, parents before children, its blocks of text, and its paths as numbers.
+
+    A path is the number of a (parent path, tag) pair, so a page costs time and memory by its length,
+    however deep its tags are nested.
+    """
+
+    def __init__(self):
+        self.elements: list[Element] = []
+        self.nodes: list[Node] = []
+        self.paths: dict[tuple[int, str], int] = {}
+        self.open: dict[str, int] = {}  # how often each tag is open where the parser stands
+        self.root = Element(self, "#", None, False)
+
+    def leave(self, at: Element, to: Element | None) -> Element:
+        """The element to, an ancestor of at, or the root; what lies between is closed."""
+        to = to or self.root
+        while at is not to and at.parent is not None:
+            self.open[at.tag] -= 1
+            at = at.parent
+        return at
+
+
 class Element:
-    __slots__ = ("furniture", "kind", "parent", "path", "suspects", "tag")
+    __slots__ = ("depth", "furniture", "in_article", "kind", "number", "parent", "path", "tag")
 
-    def __init__(self, tag: str, parent: Element | None, furniture: bool, kind: int = PLAIN):
+    def __init__(self, page: Page, tag: str, parent: Element | None, furniture: bool, kind: int = PLAIN):
         self.tag, self.parent, self.furniture, self.kind = tag, parent, furniture, kind
-        self.suspects: tuple[Element, ...] = (parent.suspects if parent else ()) + ((self,) if kind else ())
-        self.path = f"{parent.path}/{tag}" if parent else tag
-
-    def lineage(self) -> Iterator[Element]:
+        self.depth = parent.depth + 1 if parent else 0
+        self.in_article = bool(parent) and (parent.in_article or parent.tag in ("article", "main"))
+        self.path = page.paths.setdefault((parent.path if parent else -1, tag), len(page.paths))
+        self.number = len(page.elements)
+        page.elements.append(self)
+        page.open[tag] = page.open.get(tag, 0) + 1
+
+    def nearest(self, tags: set[str]) -> Element | None:
         at: Element | None = self
-        while at is not None:
-            yield at
+        while at is not None and at.tag not in tags:
             at = at.parent
+        return at
 
 
 class Node:
     """One block's text inside its element."""
 
-    __slots__ = ("element", "linked", "text")
+    __slots__ = ("element", "linked", "marks", "text")
 
     def __init__(self, element: Element, text: str, linked: int):
         self.element, self.text, self.linked = element, text, linked
+        self.marks = len(PUNCTUATION.findall(text))
 
 
 def suspicion(tag: str, attributes: str) -> int:
@@ -87,20 +119,20 @@ def suspicion(tag: str, attributes: str) -> int:
     return kind
 
 
-def text_nodes(page: str) -> list[Node]:
+def read_page(html_text: str) -> Page:
     """Blocks of text in page order with the element that holds them; scripts, styles and comments left out."""
-    at, root = 0, Element("#", None, False)
-    here, nodes, pieces, linked, anchors = root, [], [], 0, 0
+    page = Page()
+    at, here, pieces, linked, anchors = 0, page.root, [], 0, 0
 
     def flush() -> None:
         nonlocal pieces, linked
         if pieces and (text := " ".join(html.unescape("".join(pieces)).split())):
-            nodes.append(Node(here, text, linked))
+            page.nodes.append(Node(here, text, linked))
         pieces, linked = [], 0
 
-    while (found := MARKUP.search(page, at)) is not None:
+    while (found := MARKUP.search(html_text, at)) is not None:
         if found.start() > at:
-            pieces.append(piece := page[at : found.start()])
+            pieces.append(piece := html_text[at : found.start()])
             linked += len(piece.strip()) if anchors else 0
         at = found.end()
         if not (name := found[2]):
@@ -108,9 +140,9 @@ def text_nodes(page: str) -> list[Node]:
         tag, closing = name.lower(), bool(found[1])
         if tag in RAW:
             if not closing and not found[3].endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
-                close = page.find(">", end.start()) if end else -1
-                at = close + 1 if close >= 0 else len(page)
+                end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(html_text, at)
+                close = html_text.find(">", end.start()) if end else -1
+                at = close + 1 if close >= 0 else len(html_text)
             continue
         if tag == "a":
             anchors = 0 if closing else 1
@@ -123,50 +155,47 @@ def text_nodes(page: str) -> list[Node]:
             continue
         flush()
         if closing:
-            for e in here.lineage():
-                if e.tag == tag:
-                    here = e.parent or root
-                    break
+            if page.open.get(tag):
+                here = page.leave(here, here.nearest({tag}).parent)
             continue
         anchors = 0 if tag == "p" else anchors
-        if tag in ("html", "body") and any(e.tag == tag for e in here.lineage()):
+        if tag in ("html", "body") and page.open.get(tag):
             continue
         if tag in BLOCK:  # a block ends an open paragraph or heading, an item its predecessor
             stop = {"p"} | (HEADINGS if tag in HEADINGS else set())
             while here.tag in stop:
-                here = here.parent or root
-            for e in here.lineage():
-                if e.tag in SCOPES:
-                    break
-                if e.tag in ENDS_OF.get(tag, ()):
-                    here = e.parent or root
-                    break
+                here = page.leave(here, here.parent)
+            ends = ENDS_OF.get(tag, ())
+            if any(page.open.get(e) for e in ends):
+                item = here.nearest(SCOPES | ends)
+                if item.tag not in SCOPES:
+                    here = page.leave(here, item.parent)
         if here.tag == "head" and tag != "head":
-            here = here.parent or root
-        in_article = any(e.tag in ("article", "main") for e in here.lineage())
+            here = page.leave(here, here.parent)
+        in_article = here.in_article or here.tag in ("article", "main")
         furniture = here.furniture or tag in FURNITURE or (tag == "header" and not in_article)
         kind = PLAIN
         if tag not in ("html", "body", "main") and not (tag == "article" and not in_article):
             furniture = furniture or bool(HIDDEN.search(found[3]))
             kind = suspicion(tag, found[3])
-        here = Element(tag, here, furniture, kind)
-    pieces.append(page[at:])
+        here = Element(page, tag, here, furniture, kind)
+    pieces.append(html_text[at:])
     flush()
-    return nodes
+    return page
 
 
-def path_scores(nodes: list[Node]) -> dict[str, float]:
+def path_scores(nodes: list[Node]) -> dict[int, float]:
     """The fused ratio of each path: text length and punctuation a node, smoothed along the page."""
-    totals: dict[str, list[int]] = {}
+    totals: dict[int, list[int]] = {}
     for n in nodes:
         t = totals.setdefault(n.element.path, [0, 0, 0])
         t[0] += max(0, len(n.text) - n.linked)
-        t[1] += len(PUNCTUATION.findall(n.text))
+        t[1] += n.marks
         t[2] += 1
-    ratios = {p: (length / k, marks / k) for p, (length, marks, k) in totals.items()}
-    series = [ratios[n.element.path] for n in nodes]
+    ratio = {p: (length / k, marks / k) for p, (length, marks, k) in totals.items()}
+    series = [ratio[n.element.path] for n in nodes]
     kernel = [exp(-(d * d) / 2) for d in (-1, 0, 1)]
-    fused: dict[str, list[float]] = {}
+    fused: dict[int, list[float]] = {}
     for i, n in enumerate(nodes):
         near = [(w, series[i + d]) for w, d in zip(kernel, (-1, 0, 1), strict=True) if 0 <= i + d < len(nodes)]
         weight = sum(w for w, _ in near)
@@ -176,78 +205,103 @@ def path_scores(nodes: list[Node]) -> dict[str, float]:
     return {p: sum(v) / len(v) for p, v in fused.items()}
 
 
-def content_nodes(nodes: list[Node]) -> list[Node]:
-    """The nodes on paths whose fused ratio reaches the threshold."""
-    scores = path_scores(nodes)
+def threshold(nodes: list[Node], scores: dict[int, float]) -> float:
+    """The least fused ratio of content: it follows the mean and the spread of the nodes' ratios."""
     values = [scores[n.element.path] for n in nodes]
     mean = sum(values) / len(values)
     spread = sqrt(sum((v - mean) ** 2 for v in values) / len(values))
-    cut = min(max(mean - spread, spread / 2), max(values))
+    return min(max(mean - spread, spread / 2), max(values))
+
+
+def content_nodes(nodes: list[Node], scores: dict[int, float]) -> list[Node]:
+    """The nodes on paths whose fused ratio reaches the threshold."""
+    cut = threshold(nodes, scores)
     return [n for n in nodes if scores[n.element.path] >= cut]
 
 
-def weights(content: list[Node]) -> dict[Element, int]:
-    """Length of the content's text in each element."""
-    weight: dict[Element, int] = {}
-    for n in content:
-        for e in n.element.lineage():
-            weight[e] = weight.get(e, 0) + len(n.text)
-    return weight
+def summed(page: Page, nodes: list[Node], values: list[tuple[int, ...]]) -> list[list[int]]:
+    """Per element the sums of the values of the nodes in it and below it: children are added to parents, last ones first."""
+    out = [[0] * len(values[0]) for _ in page.elements]
+    for n, value in zip(nodes, values, strict=True):
+        own = out[n.element.number]
+        for i, v in enumerate(value):
+            own[i] += v
+    for e in reversed(page.elements[1:]):
+        above, own = out[e.parent.number], out[e.number]
+        for i, v in enumerate(own):
+            above[i] += v
+    return out
 
 
 def ratios(nodes: list[Node]) -> tuple[float, float]:
     """Text length out of links and punctuation, a node."""
-    return sum(max(0, len(n.text) - n.linked) for n in nodes) / len(nodes), sum(len(PUNCTUATION.findall(n.text)) for n in nodes) / len(nodes)
+    return sum(max(0, len(n.text) - n.linked) for n in nodes) / len(nodes), sum(n.marks for n in nodes) / len(nodes)
 
 
-def cleared(nodes: list[Node]) -> set[Element]:
+def inherited(page: Page, own) -> list[bool]:
+    """Per element whether own holds for it or for one that it lies in."""
+    out: list[bool] = []
+    for e in page.elements:
+        out.append(own(e) or (e.parent is not None and out[e.parent.number]))
+    return out
+
+
+def cleared(page: Page, nodes: list[Node], score: Callable) -> set[Element]:
     """Suspects round most of the content; a surely named one only if all text of the page is in suspects."""
-    if not any(n.element.suspects for n in nodes):
+    if not any(e.kind for e in page.elements):
         return set()
-    content = content_nodes(nodes)
-    weight, total = weights(content), sum(len(n.text) for n in content)
-    free = any(not [e for e in n.element.suspects if e.kind == SURE] for n in nodes)
-    return {e for n in nodes for e in n.element.suspects if weight.get(e, 0) >= MOST * total and not (free and e.kind == SURE)}
+    content = content_nodes(nodes, score(nodes))
+    weight, total = summed(page, content, [(len(n.text),) for n in content]), sum(len(n.text) for n in content)
+    sure = inherited(page, lambda e: e.kind == SURE)
+    free = any(not sure[n.element.number] for n in nodes)
+    return {e for e in page.elements if e.kind and weight[e.number][0] >= MOST * total and not (free and e.kind == SURE)}
 
 
-def main_text(page: str | None) -> str:
+def main_text(html_text: str | None, score: Callable[[list[Node]], dict[int, float]] = path_scores) -> str:
     """Blocks of the article joined by two newlines; empty where there is none."""
-    if not page:
+    if not html_text:
         return ""
-    nodes = [n for n in text_nodes(page) if not n.element.furniture]
+    page = read_page(html_text)
+    nodes = [n for n in page.nodes if not n.element.furniture]
     if not nodes:
         return ""
-    clear = cleared(nodes)
-    suspects = {n: [e for e in n.element.suspects if e not in clear] for n in nodes}
-    free = [n for n in nodes if not suspects[n]]
+    clear = cleared(page, nodes, score)
+    suspect = inherited(page, lambda e: bool(e.kind) and e not in clear)
+    free = [n for n in nodes if not suspect[n.element.number]]
     if not free:
         return ""
-    content = content_nodes(free)
-    weight = weights(content)
+    scores = score(free)
+    content, cut = content_nodes(free, scores), threshold(free, scores)
+    weight = [w for (w,) in summed(page, content, [(len(n.text),) for n in content])]
     total = sum(len(n.text) for n in content)
-    named = [e for e in weight if e.tag in ("article", "main") and 2 * weight[e] >= total]
+    named = [e for e in page.elements if e.tag in ("article", "main") and weight[e.number] and 2 * weight[e.number] >= total]
     if named:
-        article = min(named, key=lambda e: (weight[e], -len(e.path)))
+        article = min(named, key=lambda e: (weight[e.number], -e.depth))
     else:
-        article = max((e for e in weight if weight[e] >= MOST * total), key=lambda e: (e.path.count("/"), weight[e]))
+        article = max((e for e in page.elements if weight[e.number] >= MOST * total), key=lambda e: (e.depth, weight[e.number]))
         if article.tag in BLOCK and article.parent is not None and article.tag in ("p", "li", "blockquote", "pre", *HEADINGS):
             article = article.parent
     length, marks = ratios(content)
-    if article.tag not in ("#", "html", "body"):
-        held: dict[Element, list[Node]] = {}
-        for n in nodes:
-            for e in suspects[n]:
-                held.setdefault(e, []).append(n)
-        clear |= {e for e, own in held.items() if e.kind == MIXED and all(a >= LOW * b for a, b in zip(ratios(own), (length, marks), strict=True))}
+    if article.tag not in ("#", "html", "body") and any(suspect):
+        held = summed(page, nodes, [(max(0, len(n.text) - n.linked), n.marks, 1) for n in nodes])
+        back = {e for e in page.elements if e.kind == MIXED and (h := held[e.number])[2] and h[0] >= LOW * length * h[2] and h[1] >= LOW * marks * h[2]}
+        clear = clear | back
+        suspect = inherited(page, lambda e: bool(e.kind) and e not in clear)
+    inside, header, heading = [False] * len(page.elements), [False] * len(page.elements), [False] * len(page.elements)
+    for e in page.elements:
+        up = e.parent.number if e.parent else None
+        inside[e.number] = e is article or (up is not None and inside[up])
+        if inside[e.number] and e is not article:
+            header[e.number] = e.tag == "header" or header[up]
+            heading[e.number] = e.tag in HEADINGS or heading[up]
     blocks = []
     for n in nodes:
-        up = list(n.element.lineage())
-        if article not in up or any(e not in clear for e in suspects[n]):
-            continue
-        inner = up[: up.index(article)]
-        if any(e.tag == "header" for e in inner) and not any(e.tag in HEADINGS for e in inner):
+        i = n.element.number
+        if not inside[i] or suspect[i] or (header[i] and not heading[i]):
             continue
-        if not named and n.element.tag not in HEADINGS and 2 * n.linked > len(n.text) and not (2 * len(n.text) >= length and PUNCTUATION.search(n.text)):
+        # Outside of headings, links count as text where their path's ratio or their own length and marks say so.
+        dim = 2 * n.linked > len(n.text) and (not named or scores.get(n.element.path, cut) < DIM * cut)
+        if dim and n.element.tag not in HEADINGS and not (2 * len(n.text) >= length and n.marks):
             continue
         blocks.append(n.text)
     return "\n\n".join(blocks)
@@ -264,9 +318,9 @@ def extract_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
     kept = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 0, BATCH_BYTES):
             texts = [main_text(p) for p in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(i + 1) for i in range(len(kept))), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], [*kept, "text", "n_chars"])
 
     schema = ", ".join([*(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in kept), "text string", "n_chars long"])
-    return pages.select(F.col(html_col).alias("html"), *kept).mapInArrow(extract, schema)
+    return pages.select(F.col(html_col).alias("html"), *kept).mapInArrow(giving_back(extract), schema)
