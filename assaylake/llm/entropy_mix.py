@@ -134,5 +134,6 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     keys = units.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "copies")
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     same = F.col(id_col).eqNullSafe(F.col("_id")) & F.col(source_col).eqNullSafe(F.col("_source")) & (size == F.col("_size"))
-    taken = docs.join(keys.withColumnRenamed("copies", "_copies"), same)
+    # Both sides grow alike, so the plan is the same at every size: a merge join, never a broadcast of the decisions.
+    taken = docs.join(keys.withColumnRenamed("copies", "_copies").hint("merge"), same)
     return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
