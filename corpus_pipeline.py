@@ -45,11 +45,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the byte strings that an earlier document holds; a text of which nothing is left goes."""
-    cut = rindex_dedup.remove_repeats(docs, with_bytes=True).where("n_removed > 0").select("doc_id", F.try_validate_utf8("kept_bytes").alias("_strict"), F.make_valid_utf8("kept_bytes").alias("_text"))
-    rest = docs.join(cut, "doc_id", "left")
-    text = F.when(F.col("_text").isNull(), F.col("text")).otherwise(F.coalesce("_strict", F.replace("_text", F.lit("�"), F.lit(""))))
-    out = rest.withColumn("text", text).where("_text is null or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
-    return out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(*docs.columns)
+    found = rindex_dedup.remove_repeats(docs, with_bytes=True, with_row=True)
+    kept = F.coalesce(F.try_validate_utf8("kept_bytes"), F.replace(F.make_valid_utf8("kept_bytes"), F.lit("\ufffd"), F.lit("")))
+    text = F.when(F.col("kept_bytes").isNull(), F.col("row.text")).otherwise(kept)
+    left = found.withColumn("_text", text).where("kept_bytes is null or _text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
+    made = {"text": F.col("_text"), "n_chars": F.coalesce(F.length("_text"), F.lit(0)).cast("long")}
+    return left.select(*[made.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
