@@ -122,12 +122,15 @@ class Encoder:
             return False
         return not text.encode().translate(None, self.ASCII) if text.isascii() else not self.other(text)
 
+    def words_in(self, text: str) -> list[str]:
+        return self.split(text.lower())
+
     def batch_ids(self, texts: list[str | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each followed by end_id, one after the other, and where each text's ids begin and end."""
         if len(self.words) > CACHE_ENTRIES:
             self.shrink()
         plain = [bool(text) and self.plain(text) for text in texts]
-        words = [self.split(text.lower()) if p else [] for text, p in zip(texts, plain, strict=True)]
+        words = [self.words_in(text) if p else [] for text, p in zip(texts, plain, strict=True)]
         self.learn([w for w in set(chain.from_iterable(words)) if w not in self.words])
         others = [self.library(text) for text, p in zip(texts, plain, strict=True) if text and not p]
         own = len(self.ends)  # entries of this batch alone: the end, then texts that went through the library whole

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaylake.llm import bigru_langid, entropy_mix, html_extract, license_scan, ogg_media, packing, rindex_dedup, setsketch, token_counts, weak_supervision
+from assaylake.llm import bigru_langid, entropy_mix, html_extract, license_scan, ogg_media, packing, rindex_dedup, setsketch, swap_packing, token_counts, weak_supervision
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op13_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return swap_packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
