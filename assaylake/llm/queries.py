@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaylake.llm import bigru_langid, entropy_mix, html_extract, license_scan, ogg_media, packing, prefix_trie, rindex_dedup, setsketch, swap_packing, token_counts, weak_supervision
+from assaylake.llm import bigru_langid, entropy_mix, html_extract, license_scan, ogg_media, packing, prefix_trie, rindex_dedup, setsketch, source_divergence, swap_packing, token_counts, weak_supervision
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.divergence(table(spark, sf_dir, "documents")).select(*source_divergence.RESULT)
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.shared_prefixes(table(spark, sf_dir, "conversations")).select(*prefix_trie.NODE)
 
@@ -71,4 +75,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": license_scan.duckdb_sql(), "op12_prefix_trie": prefix_trie.duckdb_sql()}
+    return {
+        "op2_license_scan": license_scan.duckdb_sql(),
+        "op11_divergence_audit": source_divergence.duckdb_sql(),
+        "op12_prefix_trie": prefix_trie.duckdb_sql(),
+    }
