@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from functools import reduce
-from itertools import count
-from operator import and_, or_
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assaylake.operators.fronts import all_fronts
+
 FRONT_BLOCK = 1 << 16  # rows of a group that are reduced at once before its fronts are counted
 
 
@@ -79,12 +80,10 @@ def front_levels(rows: DataFrame, group: str, worst: str, best: str) -> DataFram
 def robust_fronts(rows: DataFrame, entity: str, group: str, axes: list[tuple[str, str]]) -> DataFrame:
     """(entity, front) where a row beats another only if its worst is at least the other's best on all axes and above on one.
 
-    The relation is transitive, so fronts peel as ordinary ones do, until no row is left. axes are (worst, best)
-    columns; a row with a null one has no front, and a worst above its best is an error. On one axis a
-    row's front is one more than the number of its group's levels above its best: a sort inside groups.
+    The relation is transitive, so fronts are numbered as ordinary ones are. axes are (worst, best) columns;
+    a row with a null one has no front, and a worst above its best is an error. On one axis a row's
+    front is one more than the number of its group's levels above its best: a sort inside groups.
     """
-    from assaylake.session import materialize
-
     ends = [c for a in axes for c in a]
     known = rows.select(entity, group, *ends).dropna(subset=ends)
     if not known.where(reduce(or_, [F.col(w) > F.col(h) for w, h in axes])).isEmpty():
@@ -95,16 +94,7 @@ def robust_fronts(rows: DataFrame, entity: str, group: str, axes: list[tuple[str
         both = known.select(entity, group, F.col(best).cast("double").alias("_value"), F.lit(0).alias("_level")).union(levels)
         above = Window.partitionBy(group).orderBy(F.desc("_value"), "_level").rowsBetween(Window.unboundedPreceding, 0)
         return both.withColumn("front", (F.sum("_level").over(above) + 1).cast("long")).where("_level = 0").select(entity, "front")
-    beats = reduce(and_, [F.col(f"b.{w}") >= F.col(f"a.{h}") for w, h in axes]) & reduce(or_, [F.col(f"b.{w}") > F.col(f"a.{h}") for w, h in axes])
-    rest, out = materialize(known, "rest"), None
-    for front in count(1):
-        if rest.isEmpty():
-            break
-        top = rest.alias("a").join(rest.alias("b"), (F.col(f"a.{group}") == F.col(f"b.{group}")) & beats, "left_anti").select(entity)
-        top = materialize(top.withColumn("front", F.lit(front).cast("long")), "front")
-        out = top if out is None else out.unionByName(top)
-        rest = materialize(rest.join(top, entity, "left_anti"), "rest")
-    return out if out is not None else rest.select(entity, F.lit(1).cast("long").alias("front"))
+    return all_fronts(known, entity, group, [(F.col(w), F.col(h)) for w, h in axes])
 
 
 def pool_scores(rows: DataFrame, entity: str, group: str, worst: str, weight: str) -> DataFrame:

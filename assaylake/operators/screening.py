@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from functools import reduce
-from itertools import count
 from operator import and_, or_
 
 import numpy as np
@@ -12,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assaylake.functions.scalars import reasons
+from assaylake.operators.fronts import all_fronts
 from assaylake.session import materialize
 
 BLOCK = 2048  # rows of a group that one task compares with each other
@@ -89,43 +89,12 @@ def non_dominated(rows: DataFrame, entity: str, group: str, axes: list[str]) ->
     return left.alias("a").join(left.alias("b"), (F.col(f"a.{group}") == F.col(f"b.{group}")) & dominates(axes, "b", "a"), "left_anti")
 
 
-def _all_fronts(entity: str, axes: list[str]):
-    def number(part: pd.DataFrame) -> pd.DataFrame:
-        x = part[axes].to_numpy(float)
-        better = (x[:, None] <= x[None]).all(2) & (x[:, None] < x[None]).any(2)
-        front, rest, level = np.zeros(len(x), np.int64), np.ones(len(x), bool), 0
-        while rest.any():
-            level += 1
-            top = rest & ~better[rest].any(0)
-            front[top] = level
-            rest &= ~top
-        return pd.DataFrame({entity: part[entity].to_numpy(), "front": front})
-
-    return number
-
-
 def pareto_fronts(rows: DataFrame, entity: str, group: str, axes: list[str]) -> DataFrame:
-    """(entity, front): 1 for the non-dominated rows of each group, 2 for those without them, and so on.
+    """(entity, front): 1 for the non-dominated rows of each group (less is better), 2 for those without them, and so on.
 
-    Groups of at most BLOCK rows are numbered each in one task; larger ones are peeled front by front,
-    in blocks of that size. Rows with a null axis have no front.
+    Rows with a null axis have no front. See fronts.all_fronts for groups of any size.
     """
-    complete = reduce(and_, [F.col(a).isNotNull() for a in axes])
-    rest = materialize(rows.select(entity, group, *axes).where(complete), "rest")
-    sizes = rest.groupBy(group).agg((F.count("*") > BLOCK).alias("_large"))
-    sized = rest.join(sizes, group)
-    kind = rest.schema[entity].dataType.simpleString()
-    out = sized.where("not _large").drop("_large").groupBy(group).applyInPandas(_all_fronts(entity, axes), f"{entity} {kind}, front long")
-    if sizes.where("_large").isEmpty():
-        return out
-    rest = materialize(sized.where("_large").drop("_large"), "rest")
-    for front in count(1):
-        if rest.isEmpty():
-            break
-        top = materialize(non_dominated(rest, entity, group, axes).select(entity, F.lit(front).cast("long").alias("front")), "front")
-        out = out.unionByName(top)
-        rest = materialize(rest.join(top, entity, "left_anti"), "rest")
-    return out
+    return all_fronts(rows, entity, group, [(-F.col(a), -F.col(a)) for a in axes])
 
 
 def crowding(rows: DataFrame, entity: str, by: list[str], axes: list[str]) -> DataFrame:

@@ -59,6 +59,23 @@ def robust_fronts(t):
     return O.robust_fronts(rows, "entity", "group_id", [("worst", "best")]).select("entity.candidate_id", "entity.role_id", "front")
 
 
+OFFER = ["l_partkey AS candidate_id", "l_quantity AS quantity",
+         "floor(l_extendedprice / l_quantity * (CAST(1 AS DOUBLE) - l_discount) * 10000 + 0.5) / 10000 AS low",
+         "floor(l_extendedprice / l_quantity * (CAST(1 AS DOUBLE) + l_tax) * 10000 + 0.5) / 10000 AS high"]
+
+
+@query(f"""WITH RECURSIVE offers AS (SELECT DISTINCT {", ".join(OFFER)} FROM {{lineitem}}), ids AS MATERIALIZED (SELECT *, row_number() OVER () AS id FROM offers),
+beats AS MATERIALIZED (SELECT a.id AS better, b.id FROM ids a JOIN ids b ON b.candidate_id = a.candidate_id
+  AND a.high <= b.low AND a.quantity - 2 >= b.quantity + 2 AND (a.high < b.low OR a.quantity - 2 > b.quantity + 2)),
+chain(id, front) AS (SELECT id, 1 FROM ids UNION SELECT b.id, c.front + 1 FROM chain c JOIN beats b ON b.better = c.id)
+SELECT candidate_id, quantity, low, high, CAST(max(front) AS BIGINT) AS front FROM ids JOIN chain USING (id) GROUP BY ALL""")
+def robust_offer_fronts(t):
+    """Distinct offers of a part by two uncertain axes: a low price (between its bounds) and a large quantity (give or take two)."""
+    rows = t.lineitem.selectExpr(*OFFER).distinct().withColumn("offer", F.struct("candidate_id", "quantity", "low", "high"))
+    ends = {"w0": -F.col("high"), "b0": -F.col("low"), "w1": F.col("quantity") - 2, "b1": F.col("quantity") + 2}
+    return O.robust_fronts(rows.withColumns(ends), "offer", "candidate_id", [("w0", "b0"), ("w1", "b1")]).select("offer.*", "front")
+
+
 @query(f"""WITH {AVAIL}, s AS (SELECT candidate_id, role_id, y, -hi AS w, min(-hi) OVER p AS lo_, max(-hi) OVER p AS hi_, count(*) OVER p AS n FROM avail WINDOW p AS (PARTITION BY role_id, y)),
 k AS (SELECT candidate_id, role_id, y, CASE WHEN n >= 2 THEN CASE WHEN abs(hi_ - lo_) <= 1e-9 * greatest(abs(hi_), abs(lo_)) THEN 50.0 ELSE 100.0 * (w - lo_) / (hi_ - lo_) END END AS score FROM s)
 SELECT candidate_id, role_id || '|' || CAST(y AS VARCHAR) AS group_id, floor(score * 10000 + 0.5) / 10000 AS score, dense_rank() OVER (PARTITION BY role_id, y ORDER BY floor(score * 10000 + 0.5) DESC NULLS LAST) AS rank FROM k""")

@@ -81,6 +81,16 @@ def pareto_fronts(t):
     return O.pareto_fronts(t.b_screening, "candidate_id", "composition_key", AXES)
 
 
+@query(f"""WITH RECURSIVE chain(candidate_id, front) AS (
+  SELECT candidate_id, 1 FROM {{b_screening}}
+  UNION SELECT b.candidate_id, c.front + 1 FROM chain c
+  JOIN {{b_screening}} a ON a.candidate_id = c.candidate_id JOIN {{b_screening}} b ON {DOM})
+SELECT candidate_id, CAST(max(front) AS BIGINT) AS front FROM chain GROUP BY 1""")
+def pool_fronts(t):
+    """Fronts of all candidates as one pool."""
+    return O.pareto_fronts(t.b_screening.withColumn("pool", F.lit("all")), "candidate_id", "pool", AXES)
+
+
 @query(f"WITH RECURSIVE {FRONTS}, {CROWD} SELECT candidate_id, boundary, floor(crowding * 10000 + 0.5) / 10000 AS crowding FROM crowd")
 def crowding(t):
     fronts = O.pareto_fronts(t.b_screening, "candidate_id", "composition_key", AXES)

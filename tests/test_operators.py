@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from assaylake.functions import scalars as S
 from assaylake.operators import chemistry, control, evidence, novelty, screening, selection
+from assaylake.operators import fronts as fronts_module
 from assaylake.sources import contracts
 from assaylake.streaming import controllers
 
@@ -62,7 +63,8 @@ def test_relative_energy_keeps_under_offsets(spark):
 def test_fronts_crowding_and_large_groups(spark, monkeypatch):
     rows = spark.createDataFrame([(1, "c", -3.0, -1.0), (2, "c", -2.0, -2.0), (3, "c", -1.0, -3.0), (4, "d", -100.0, 0.0), (5, "c", 0.0, 0.0)], "id long, comp string, x double, y double")
     for block in (2048, 1):
-        monkeypatch.setattr(screening, "BLOCK", block)
+        monkeypatch.setattr(fronts_module, "MOST", block)
+        monkeypatch.setattr(fronts_module, "BLOCK", block)
         fronts = screening.pareto_fronts(rows, "id", "comp", ["x", "y"])
         assert {r.id: r.front for r in fronts.collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 2}
     out = {r.id: r for r in screening.crowding(rows.join(fronts, "id").where("front = 1"), "id", ["comp", "front"], ["x", "y"]).collect()}

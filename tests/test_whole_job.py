@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from oracle import TABLES, rows
 
-from assaylake.operators import decision, screening
+from assaylake.operators import decision, fronts, screening
 from assaylake.plans import registry
 
 
@@ -55,22 +55,19 @@ def test_required_events_of_every_user(spark, tables):
     assert rows(got.columns, got.collect()) == rows([c[0] for c in want.description], want.fetchall())
 
 
-def counted(monkeypatch, module, start):
-    """Lets a loop over fronts begin near its former end: what it did after that many fronts shows at once."""
-    monkeypatch.setattr(module, "count", lambda first: iter(range(first + start, first + start + 50)))
-
-
 def test_fronts_go_on_until_no_row_is_left(spark, monkeypatch):
-    chain = spark.createDataFrame([(i, "g", float(-i), float(-i)) for i in range(4)] + [(9, "g", None, 1.0)], "id long, g string, w double, b double")
-    assert {r.id: r.front for r in decision.robust_fronts(chain, "id", "g", [("w", "b")]).collect()} == {0: 1, 1: 2, 2: 3, 3: 4}
-    counted(monkeypatch, decision, 998)
-    assert {r.id: r.front for r in decision.robust_fronts(chain.selectExpr("*", "w AS w2", "b AS b2"), "id", "g", [("w", "b"), ("w2", "b2")]).collect()} == {0: 999, 1: 1000, 2: 1001, 3: 1002}
+    """A chain has as many fronts as rows, in groups that one task numbers and in larger ones."""
+    chain = spark.range(3000).selectExpr("id", "'g' AS g", "-1.0D * id AS w", "-1.0D * id AS b").union(spark.sql("SELECT 9999L, 'g', null, 1.0D"))
+    want = {i: i + 1 for i in range(3000)}
+    assert {r.id: r.front for r in decision.robust_fronts(chain, "id", "g", [("w", "b")]).collect()} == want
+    two = chain.selectExpr("*", "w AS w2", "b AS b2")
     with pytest.raises(ValueError):
         decision.robust_fronts(chain.selectExpr("id", "g", "w + 1 AS w", "b"), "id", "g", [("w", "b")])
-    monkeypatch.setattr(screening, "BLOCK", 2)
-    counted(monkeypatch, screening, 9_998)
-    found = {r.id: r.front for r in screening.pareto_fronts(chain.selectExpr("id", "g", "-w AS x", "-b AS y"), "id", "g", ["x", "y"]).collect()}
-    assert found == {0: 9_999, 1: 10_000, 2: 10_001, 3: 10_002}
+    for most, block in ((32_768, 8192), (1200, 500)):
+        monkeypatch.setattr(fronts, "MOST", most)
+        monkeypatch.setattr(fronts, "BLOCK", block)
+        assert {r.id: r.front for r in decision.robust_fronts(two, "id", "g", [("w", "b"), ("w2", "b2")]).collect()} == want
+        assert {r.id: r.front for r in screening.pareto_fronts(chain.selectExpr("id", "g", "-w AS x", "-b AS y"), "id", "g", ["x", "y"]).collect()} == want
 
 
 def test_external_match_is_of_whole_texts(spark, tables):
