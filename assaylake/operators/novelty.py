@@ -1,9 +1,7 @@
-"""Identity and novelty: duplicates, history and snapshot matches, status algebra, reserved slots, leader groups."""
+"""Identity and novelty: duplicates, history and snapshot matches, status algebra, reserved slots."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,32 +37,6 @@ def pair_relation(volume_gap, lattice_gap, angle_gap):
     return F.when(strict, "strict").when(scaled & (volume_gap <= 0.03), "ambiguous").when(scaled, "scaled").otherwise("distinct")
 
 
-def leader_groups(rows: DataFrame, block: str, entity: str, vector: str, tolerance: float, most: int = 1_000_000) -> DataFrame:
-    """Greedy leaders in the order of the ids inside blocks: a row joins the first leader within tolerance, else leads.
-
-    The relation isn't transitive: only leaders are compared, in order, so a block is one task's; one of more than ``most`` rows is an error.
-    """
-
-    def group(part: pd.DataFrame) -> pd.DataFrame:
-        if len(part) > most:
-            raise ValueError(f"a block has more than {most} rows")
-        part = part.sort_values(entity, ignore_index=True)
-        x = np.stack(part[vector].to_numpy()).astype(float)
-        leaders: list[int] = []
-        found = []
-        for i in range(len(x)):
-            near = np.flatnonzero(np.abs(x[leaders] - x[i]).max(1) <= tolerance) if leaders else []
-            if len(near):
-                found.append(leaders[near[0]])
-            else:
-                leaders.append(i)
-                found.append(i)
-        return pd.DataFrame({entity: part[entity], "leader": part[entity].to_numpy()[found]})
-
-    kind = rows.schema[entity].dataType.simpleString()
-    return rows.groupBy(block).applyInPandas(group, f"{entity} {kind}, leader {kind}")
-
-
 def reserve_slot(base: DataFrame, eligible: DataFrame, top_k: int) -> DataFrame:
     """(candidate_id, slot, reserved): the base ranking, with one eligible external no-match put in if none is there.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from assaylake.functions import scalars as S
+from assaylake.operators import leaders
 from assaylake.operators import novelty as O
 from assaylake.plans.registry import query
 
@@ -64,9 +65,33 @@ def reserve_slot(t):
     return O.reserve_slot(base, pool, 5)
 
 
-@query()
+#: A component under 0.0004 counts as not measured.
+MEASURED = "list_transform(embedding, lambda x: CASE WHEN abs(x) >= 0.0004 THEN CAST(x AS DOUBLE) END)"
+LEAD = f"""r AS (SELECT label, vec_id, {MEASURED} AS v, len(list_filter({MEASURED}, lambda x: x IS NULL)) = 0 AS known,
+  row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM {{embeddings}}),
+g(label, n, vec_id, leads, leader, unsure) AS (
+  SELECT DISTINCT label, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST([] AS STRUCT(id BIGINT, v DOUBLE[], known BOOLEAN)[]), CAST(NULL AS BIGINT), CAST([] AS BIGINT[]) FROM r
+  UNION ALL
+  SELECT label, n, vec_id, CASE WHEN joined IS NULL THEN list_append(leads, {{'id': vec_id, 'v': v, 'known': known}}) ELSE leads END, coalesce(joined, vec_id),
+    list_transform(list_filter(near, lambda l: NOT (l.known AND known) AND (joined IS NULL OR l.id < joined)), lambda l: l.id)
+  FROM (SELECT *, list_filter(near, lambda l: l.known AND known)[1].id AS joined FROM (
+    SELECT r.*, g.leads, list_filter(g.leads, lambda l: len(list_filter(list_zip(l.v, r.v), lambda z: abs(z[1] - z[2]) > 0.35)) = 0) AS near
+    FROM g JOIN r ON r.label = g.label AND r.n = g.n + 1)))"""
+
+
+def led(t):
+    measured = F.transform("embedding", lambda x: F.when(F.abs(x) >= 0.0004, x.cast("double")))
+    return leaders.leader_groups(t.embeddings.select("label", "vec_id", measured.alias("v")), "label", "vec_id", "v", 0.35)
+
+
+@query(f"WITH RECURSIVE {LEAD} SELECT vec_id, leader FROM g WHERE n > 0")
 def leader_groups(t):
-    return O.leader_groups(t.embeddings, "label", "vec_id", "embedding", 0.35)
+    return led(t)[0]
+
+
+@query(f"WITH RECURSIVE {LEAD} SELECT unnest(unsure) AS leader, vec_id FROM g WHERE n > 0")
+def ambiguous_pairs(t):
+    return led(t)[1]
 
 
 @query("""SELECT lang, count(*) AS raw, count(CASE WHEN n_chars >= 50 THEN 1 END) AS parsed, count(DISTINCT CASE WHEN n_chars >= 50 THEN text END) AS exact_unique, count(CASE WHEN n_chars BETWEEN 50 AND 5000 THEN 1 END) AS within_limits FROM {documents} GROUP BY 1""")
