@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from assaylake.functions import scalars as S
+from assaylake.operators import calibration
 from assaylake.operators import evidence as E
 from assaylake.operators import selection as O
 from assaylake.plans.registry import query
@@ -144,3 +145,51 @@ def coverage(t):
     artifact = O.conformal_quantile(scores.where("sample_id % 5 <> 0"), "scope_id", "score", 0.1)
     held = scores.where("sample_id % 5 = 0").join(artifact.select("scope_id", "quantile"), "scope_id")
     return held.groupBy("scope_id").agg(F.count("*").alias("n_held_out"), S.rounded(F.avg((F.col("score") <= F.col("quantile")).cast("double"))).alias("coverage"))
+
+
+#: A calibration run per priority, status and year of orders; what it may be used for is what its large orders held.
+CALIBRATED = """b_order AS (
+  SELECT o_orderkey, o_orderpriority AS scope_id, o_orderstatus AS revisions, CAST(year(o_orderdate) AS STRING) AS method, o_totalprice,
+    {words} AS elements, {types} AS composition
+  FROM {{orders}} JOIN {{lineitem}} ON l_orderkey = o_orderkey JOIN {{part}} ON p_partkey = l_partkey
+  GROUP BY o_orderkey, o_orderpriority, o_orderstatus, year(o_orderdate), o_totalprice),
+scored AS (SELECT b.*, s.score FROM b_order b JOIN {{b_calibration}} s ON s.sample_id = b.o_orderkey),
+sized AS (SELECT scope_id, revisions, method, count(*) AS n, CAST(ceil((count(*) + 1) * CAST(0.9 AS DOUBLE) - 1e-12) AS BIGINT) AS k FROM scored GROUP BY 1, 2, 3),
+placed AS (SELECT *, row_number() OVER (PARTITION BY scope_id, revisions, method ORDER BY score) AS r FROM scored),
+quantiles AS (SELECT s.scope_id, s.revisions, s.method, p.score AS quantile FROM sized s JOIN placed p
+  ON p.scope_id = s.scope_id AND p.revisions = s.revisions AND p.method = s.method AND p.r = s.k),
+artifacts AS (
+  SELECT q.scope_id || '|' || q.revisions || '|' || q.method AS artifact_id, q.scope_id, q.revisions, q.method, q.quantile, a.allowed_elements, a.allowed_compositions
+  FROM quantiles q JOIN (
+    SELECT scope_id, revisions, method, {all_words} AS allowed_elements, {all_types} AS allowed_compositions
+    FROM (SELECT *, {one_word} AS word FROM b_order WHERE o_totalprice > 480000) e GROUP BY 1, 2, 3) a
+  ON a.scope_id = q.scope_id AND a.revisions = q.revisions AND a.method = q.method
+  WHERE q.method <> '1996')"""
+IN_DUCK = CALIBRATED.format(
+    words="list_sort(list_distinct(flatten(list(string_split(p_name, ' ')))))", types="min(p_type)", all_words="list_distinct(list(word))", all_types="list_distinct(list(composition))", one_word="unnest(elements)",
+)
+IN_SPARK = CALIBRATED.format(
+    words="array_sort(array_distinct(flatten(collect_list(split(p_name, ' ')))))", types="min(p_type)", all_words="collect_set(word)", all_types="collect_set(composition)", one_word="explode(elements)",
+)
+
+
+@query(f"""WITH {IN_DUCK}, hits AS (
+  SELECT o.o_orderkey, min(a.artifact_id) AS artifact_id FROM b_order o JOIN artifacts a ON a.scope_id = o.scope_id AND a.revisions = o.revisions
+    AND a.method = o.method AND list_has_all(a.allowed_elements, o.elements) AND list_contains(a.allowed_compositions, o.composition) GROUP BY 1),
+checks AS (SELECT o.*, EXISTS (SELECT 1 FROM artifacts a WHERE a.scope_id = o.scope_id AND list_has_all(a.allowed_elements, o.elements)) AS inside,
+  EXISTS (SELECT 1 FROM artifacts a WHERE a.scope_id = o.scope_id AND list_contains(a.allowed_compositions, o.composition)) AS listed,
+  EXISTS (SELECT 1 FROM artifacts a WHERE a.scope_id = o.scope_id AND a.revisions = o.revisions) AS revised,
+  EXISTS (SELECT 1 FROM artifacts a WHERE a.scope_id = o.scope_id AND a.method = o.method) AS methodical FROM b_order o)
+SELECT c.o_orderkey AS candidate_id, h.artifact_id, floor((c.o_totalprice - a.quantile) * 10000 + 0.5) / 10000 AS lower_bound, floor((c.o_totalprice + a.quantile) * 10000 + 0.5) / 10000 AS upper_bound,
+  CASE WHEN h.artifact_id IS NOT NULL THEN '' WHEN inside AND listed AND revised AND methodical THEN 'no_single_artifact' ELSE array_to_string(list_sort(list_filter([
+    CASE WHEN NOT inside THEN 'chemistry_elements_out_of_scope' END, CASE WHEN NOT listed THEN 'reduced_composition_out_of_scope' END,
+    CASE WHEN NOT revised THEN 'expert_weight_revision_mismatch' END, CASE WHEN NOT methodical THEN 'dft_method_mismatch' END], lambda x: x IS NOT NULL)), ';') END AS reasons
+FROM checks c LEFT JOIN hits h USING (o_orderkey) LEFT JOIN artifacts a USING (artifact_id)""")
+def calibration_scope(t):
+    """Orders as requests: calibrated if one run of their priority, status and year covers all words and the type of their parts."""
+    needed = {n: getattr(t, n) for n in ("orders", "lineitem", "part", "b_calibration")}
+    same = {"reference_hash": F.lit("h"), "proxy_name": F.lit("price"), "unit": F.lit("USD")}
+    artifacts = t.spark.sql(f"WITH {IN_SPARK} SELECT * FROM artifacts", **needed).withColumns({**same, "coverage": F.lit(None).cast("double")})
+    asked = t.spark.sql(f"WITH {IN_SPARK} SELECT * FROM b_order", **needed).withColumns({**same, "candidate_id": F.col("o_orderkey"), "value": F.col("o_totalprice")})
+    found = calibration.assess_proxies(asked, artifacts)
+    return found.select("candidate_id", "artifact_id", S.rounded(F.col("lower_bound")).alias("lower_bound"), S.rounded(F.col("upper_bound")).alias("upper_bound"), S.joined(F.col("reasons")).alias("reasons"))
