@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from assaylake.functions import scalars as S
-from assaylake.operators import leaders
+from assaylake.operators import lattice, leaders
 from assaylake.operators import novelty as O
 from assaylake.plans.registry import query
 
@@ -129,6 +129,24 @@ def pair_counts(t):
     return near.unionByName(far.where("n_pairs > 0"))
 
 
+#: Parts as cells, by extremes and counts of their lines; parts of the largest size lack an angle, small ones share all.
+CELLS = """SELECT p_partkey AS cell_id, p_brand AS formula, floor(p_retailprice / 100) AS a, 5 + floor(max(l_discount) * 100 + 0.5) AS b,
+  5 + min(l_quantity) AS c, CASE WHEN p_size < 48 THEN 60 + floor(max(l_tax) * 500 + 0.5) END AS alpha, 60 + floor(min(l_tax) * 500 + 0.5) AS beta,
+  90 + floor(min(l_discount) * 100 + 0.5) AS gamma, floor(p_retailprice / 100) * 10 * (5 + min(l_quantity)) / 4 AS volume
+FROM {part} JOIN {lineitem} ON l_partkey = p_partkey GROUP BY p_partkey, p_brand, p_retailprice, p_size"""
+SAME = " AND ".join(f"x.{c} IS NOT DISTINCT FROM y.{c}" for c in ("formula", *lattice.PARAMETERS))
+
+
+@query(f"""WITH cells AS ({CELLS}), named AS (SELECT x.*, (SELECT min(y.cell_id) FROM cells y WHERE {SAME}) AS class FROM cells x),
+pairs AS (SELECT least(l.class, r.class) AS "left", greatest(l.class, r.class) AS "right", {lattice.relation_sql("l.", "r.")} AS relation
+  FROM named l JOIN named r ON l.formula = r.formula AND l.cell_id < r.cell_id)
+SELECT "left", "right", relation, count(*) AS n_pairs FROM pairs WHERE relation <> 'distinct' GROUP BY ALL""")
+def lattice_relation(t):
+    """Related pairs of parts of a brand by six lattice parameters and the volume of an atom."""
+    cells = t.spark.sql(CELLS, part=t.part, lineitem=t.lineitem)
+    return lattice.near_lattices(cells, "cell_id", "formula")[1]
+
+
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_quantity > 45 THEN 'size:too_many_atoms' WHEN l_returnflag = 'R' THEN 'domain:element_not_allowed' WHEN l_discount > 0.08 THEN 'condition:system_mismatch' END AS rejection FROM {lineitem}""")
 def output_contract(t):
     why = F.when(F.col("l_quantity") > 45, "size:too_many_atoms").when(F.col("l_returnflag") == "R", "domain:element_not_allowed").when(F.col("l_discount") > 0.08, "condition:system_mismatch")
