@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from assaylake.functions import scalars as S
 from assaylake.operators import control as O
 from assaylake.plans.registry import query
+from assaylake.streaming import arrivals
 
 
 # The arms' priorities and the trend window of the queries below.
@@ -127,3 +130,28 @@ def frontier(t):
     tier = F.when(F.col("event_type") == "error", 0).otherwise(1)
     w = Window.partitionBy("user_id").orderBy(tier, F.desc("value"), "event_id")
     return t.events.withColumn("slot", F.row_number().over(w).cast("long")).where("slot <= 4").select("user_id", "event_id", "slot")
+
+
+@query("""WITH e AS (SELECT user_id, ts, event_id, event_type, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM {events}),
+s AS (SELECT *, sum(CASE WHEN before IS NULL OR ts >= before + INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM e)
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS begins, strftime(max(ts) + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S') AS ends,
+  count(*) AS n, count(CASE WHEN event_type = 'error' THEN 1 END) AS n_errors FROM s GROUP BY user_id, session""")
+def event_sessions(t):
+    """Sessions of users; streaming.arrivals.session_counts gives the same on a stream."""
+    out = arrivals.session_counts(t.events, "ts", "user_id", "event_type")
+    at = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    return out.select("user_id", at("begin").alias("begins"), at("end").alias("ends"), "n", "n_errors")
+
+
+ARRIVED = """a AS (SELECT event_id, ts, user_id || ':' || event_type AS f, lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS before FROM {events} WHERE event_type <> 'purchase'),
+r AS (SELECT *, sum(CASE WHEN before IS NULL OR ts >= before + INTERVAL 6 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY f ORDER BY ts, event_id) AS run FROM a),
+h AS (SELECT user_id || ':view' AS f, min(event_id) AS history_id FROM {events} WHERE event_type = 'purchase' AND value > 90 GROUP BY 1)"""
+
+
+@query(f"""WITH {ARRIVED}, s AS (SELECT event_id, first_value(event_id) OVER (PARTITION BY f, run ORDER BY ts, event_id) AS first_id, history_id FROM r LEFT JOIN h USING (f))
+SELECT event_id, first_id, history_id, CASE WHEN history_id IS NOT NULL THEN 'history' WHEN first_id <> event_id THEN 'stream' ELSE 'new' END AS status FROM s""")
+def arrival_novelty(t):
+    """Events as arrivals: what a user did is new, known from a large purchase's history, or a repeat of the last six hours."""
+    arriving = t.events.where("event_type <> 'purchase'").withColumn("f", F.concat_ws(":", F.col("user_id").cast("string"), "event_type"))
+    history = t.events.where("event_type = 'purchase' AND value > 90").select(F.concat(F.col("user_id").cast("string"), F.lit(":view")).alias("f"), F.col("event_id").alias("history_id"))
+    return arrivals.arrival_novelty(arriving, history, "event_id", "f", "ts", timedelta(hours=6))
