@@ -266,3 +266,8 @@ def is_missing(value: Column) -> Column:
 def is_empty(value: Column) -> Column:
     """Whether an array or map is null or has nothing."""
     return value.isNull() | (F.size(value) == 0)
+
+
+def is_ascii_form(value: Column) -> Column:
+    """Whether a text has ASCII alone and nothing that could be a character reference."""
+    return ~value.rlike(r"[^\x00-\x7f]|&")

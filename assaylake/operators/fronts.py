@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assaylake.session import materialize
+from assaylake.session import materialize, ship_package
 
 BLOCK = 8192  # rows of a block of a large group
 MOST = 32_768  # rows of a group that one task numbers
@@ -132,6 +132,7 @@ def all_fronts(rows: DataFrame, entity: str, group: str, axes: list[tuple[Column
     Rows with a null axis have no front; equal rows share one; rows of a null group are a group, and
     rows may share an entity; an empty table gives no rows.
     """
+    ship_package(rows.sparkSession)
     values = {f"_{x}{k}": c.cast("double") for k, pair in enumerate(axes) for x, c in zip("wb", pair, strict=True)}
     # A group in a struct is never null in joins; rows are told apart by a number that is written once.
     known = rows.select(F.col(entity).alias("_e"), F.struct(F.col(group).alias("g")).alias("_g"), *[c.alias(n) for n, c in values.items()]).dropna(subset=list(values))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assaylake.session import Scratch, materialize
+from assaylake.session import Scratch, materialize, ship_package
 
 FIRST = 1024  # undecided rows of a cell that a round looks at
 
@@ -98,6 +98,7 @@ def leader_groups(rows: DataFrame, block: str, entity: str, vector: str, toleran
     null, or has a null component, leads itself; a null vector is compared with nothing. An ambiguous
     comparison is listed for leaders before the one that a row joins. An empty table gives empty results.
     """
+    ship_package(rows.sparkSession)
     k = len(axes)
     values = F.transform(vector, lambda x: x.cast("double"))
     plain = rows.select(F.struct(F.col(block).alias("b")).alias("_b"), F.col(entity).alias("_id"), values.alias("_v"))

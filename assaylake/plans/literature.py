@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from assaylake.functions import scalars as S
+from assaylake.functions.text_forms import normal_form as normal_form_of
 from assaylake.operators import literature as O
 from assaylake.plans.registry import query
 
@@ -35,6 +36,12 @@ def markup_clean(t):
     return t.pages.select("page_id", F.md5(S.clean_markup(F.col("html"))).alias("digest"))
 
 
+@query(r"""SELECT doc_id, md5(trim(regexp_replace(replace(lower(nfc_normalize(text)), 'ß', 'ss'), '[ \t\r\n\f\v\x1c-\x1f]+', ' ', 'g'))) AS digest, NOT regexp_matches(text, '[^\x00-\x7f]|&') AS plain FROM {documents}""")
+def normal_form(t):
+    """Digests of the documents' normal forms; the SQL holds for texts of Latin letters, as these are."""
+    return t.documents.select("doc_id", F.md5(normal_form_of(F.col("text"))).alias("digest"), S.is_ascii_form(F.col("text")).alias("plain"))
+
+
 @query("SELECT record_id, CASE " + " ".join(f"WHEN regexp_matches(lower(abstract), '{p}') THEN '{s}'" for s, p in STAGES.items()) + " ELSE 'unknown' END AS stage, regexp_matches(lower(title), 'licen[sc]e|idiot|fail') AS failure_term FROM {b_record}")
 def stage_classify(t):
     stage = F.coalesce(*[F.when(F.lower("abstract").rlike(p), F.lit(s)) for s, p in STAGES.items()], F.lit("unknown"))

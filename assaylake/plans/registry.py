@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from assaylake.plans.bindings import duck, view
 
 FLAGSHIP = "portfolio"
-MODULES = ("facts", "screening", "selector", "decision", "gates", "literature", "novelty", "comparison", "controller", "scalars", "claims", "routing", "providers")
+MODULES = ("facts", "screening", "selector", "decision", "gates", "literature", "novelty", "comparison", "controller", "scalars", "claims", "routing", "providers", "sinks")
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _sql: dict[str, str] = {}
 

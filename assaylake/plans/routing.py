@@ -171,7 +171,24 @@ def primary_properties(t):
     return O.primary_properties(features, stored, ["snapshot_id"])
 
 
-@query()
+def _replayed(k: int, last: int) -> str:
+    """SQL that takes round after round, each without what its branch took before."""
+    taken = lambda n: " UNION ALL ".join(f"SELECT branch, candidate_id FROM take{i}" for i in range(n)) or "SELECT branch, candidate_id FROM pool WHERE false"
+    rounds = [
+        f"take{n} AS MATERIALIZED (SELECT {n} AS round, branch, row_number() OVER (PARTITION BY branch ORDER BY score DESC, candidate_id) AS slot, candidate_id FROM pool p "
+        f"WHERE round_index <= {n} AND NOT EXISTS (SELECT 1 FROM ({taken(n)}) x WHERE x.branch = p.branch AND x.candidate_id = p.candidate_id) QUALIFY slot <= {k})"
+        for n in range(last + 1)
+    ]
+    return f"""WITH log AS (SELECT p_partkey % 6 AS round_index, p_partkey AS candidate_id, p_size, p_retailprice,
+    row_number() OVER (PARTITION BY p_name, p_type, p_size ORDER BY p_partkey % 6, p_partkey) AS n FROM {{part}} WHERE p_partkey % 9 <> 0),
+pool AS MATERIALIZED (SELECT round_index, candidate_id, 'target' AS branch, -abs(p_size - 25)::DOUBLE AS score FROM log WHERE n = 1
+  UNION ALL SELECT round_index, candidate_id, 'stability', -p_retailprice FROM log WHERE n = 1
+  UNION ALL SELECT round_index, candidate_id, 'novelty', p_retailprice FROM log WHERE n = 1 AND p_size > 10),
+{", ".join(rounds)}
+SELECT CAST(round AS BIGINT) AS round, branch, slot, candidate_id FROM ({" UNION ALL ".join(f"SELECT * FROM take{n}" for n in range(last + 1))})"""
+
+
+@query(_replayed(8, 5))
 def replay_rounds(t):
     """Three branches over the parts as an evaluated log of six rounds; a part's identity is its name and type."""
     log = t.part.select((F.col("p_partkey") % 6).alias("round_index"), F.col("p_partkey").alias("candidate_id"), F.concat_ws("|", "p_name", "p_type", F.col("p_size").cast("string")).alias("identity"), (F.col("p_partkey") % 9 != 0).alias("eligible"), "p_size", "p_retailprice")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from assaylake.operators.control import Arms, allocate
+from assaylake.session import ship_package
 
 STATUS = "CASE WHEN history_id IS NOT NULL THEN 'history' WHEN first_id <> {entity} THEN 'stream' ELSE 'new' END"
 
@@ -22,6 +23,7 @@ def _micros(time: Column) -> Column:
 
 def _timed(stream: DataFrame, time: str, late: str) -> DataFrame:
     """The stream with a watermark; times without a zone are taken in the session's."""
+    ship_package(stream.sparkSession)
     return stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
 
 
