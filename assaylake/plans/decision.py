@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from assaylake.functions import scalars as S
+from assaylake.operators import assessment
 from assaylake.operators import decision as O
 from assaylake.plans.registry import query
 
@@ -106,3 +107,52 @@ def seed_union(t):
     seeds = t.part.select(F.col("p_type").alias("role_id"), F.lower("p_brand").alias("name"))
     given = t.supplier.select(F.col("s_suppkey").cast("string").alias("role_id"), F.col("s_suppkey").cast("string").alias("name"))
     return seeds.unionByName(given).distinct().withColumn("seed_id", S.identity_hash(F.col("role_id"), F.col("name")))
+
+
+#: Lines as observations of an order's part types: unit prices under a year and status, and lots. Both engines read this.
+LINES = """SELECT l_orderkey AS candidate_id, p_type AS role_id, l_partkey || '/' || l_linenumber AS line, 'v' || (l_suppkey % 5) AS validator_id, l_quantity,
+  CASE WHEN l_tax > 0.075 THEN 'failed' WHEN l_tax > 0.065 THEN 'incomparable' ELSE 'success' END AS status,
+  CASE WHEN l_linenumber = 7 THEN 'EUR' ELSE 'USD' END AS unit, CASE WHEN l_discount < 0.005 THEN '' ELSE CAST(year(l_shipdate) AS STRING) END AS y, l_linestatus AS flag,
+  floor(l_extendedprice / l_quantity * 10000 + 0.5) / 10000 AS value,
+  floor(l_extendedprice / l_quantity * (CAST(1 AS DOUBLE) - l_discount) * 10000 + 0.5) / 10000 AS lower_bound,
+  floor(l_extendedprice / l_quantity * (CAST(1 AS DOUBLE) + l_tax) * 10000 + 0.5) / 10000 AS upper_bound
+FROM {lineitem} JOIN {part} ON p_partkey = l_partkey"""
+JUDGED = f"""lines AS ({LINES}), seen AS (
+  SELECT candidate_id, role_id, role_id || '/price' AS criterion_id, line || '/price' AS observation_id, value, lower_bound, upper_bound, NULL::DOUBLE AS low, NULL::DOUBLE AS high,
+    '{{"flag":"' || flag || '","year":"' || y || '"}}' AS scope, status, validator_id <> 'v4' AND unit = 'USD' AND y <> '' AND (role_id <> 'ECONOMY' OR flag = 'F') AS fits FROM lines
+  UNION ALL SELECT candidate_id, role_id, role_id || '/lot', line || '/lot', l_quantity, l_quantity, l_quantity, 5, 40, '{{}}', status, validator_id IN ('v0', 'v1') FROM lines),
+judged AS (SELECT *, fits AND status = 'success' AS ok, NOT fits OR status = 'incomparable' AS off FROM seen),
+whole AS (SELECT candidate_id, role_id, criterion_id, any_value(low) AS low, any_value(high) AS high, count(*) AS n, count(CASE WHEN ok THEN 1 END) AS n_ok,
+  bool_or(off) AS off, count(DISTINCT CASE WHEN ok THEN scope END) AS scopes, count(DISTINCT CASE WHEN ok THEN (value, lower_bound, upper_bound) END) AS values_,
+  min(CASE WHEN ok THEN value END) AS v, min(CASE WHEN ok THEN lower_bound END) AS lo, min(CASE WHEN ok THEN upper_bound END) AS hi, min(CASE WHEN ok THEN scope END) AS scope
+  FROM judged GROUP BY 1, 2, 3),
+statuses AS (SELECT *, CASE WHEN n_ok > 0 AND scopes = 1 THEN CASE WHEN values_ > 1 THEN 'conflicting' ELSE 'available' END WHEN scopes > 1 OR off THEN 'incomparable' ELSE 'unknown' END AS status FROM whole)"""
+
+
+def assessed(t):
+    lines = t.spark.sql(LINES, lineitem=t.lineitem, part=t.part)
+    same = ["candidate_id", "role_id", "validator_id", "status"]
+    price = lines.select(*same, F.concat("line", F.lit("/price")).alias("observation_id"), F.lit("unit_price").alias("property_name"), "unit", F.create_map(F.lit("year"), "y", F.lit("flag"), "flag").alias("conditions"), "value", "lower_bound", "upper_bound")
+    lot = lines.select(*same, F.concat("line", F.lit("/lot")).alias("observation_id"), F.lit("lot").alias("property_name"), F.lit("pieces").alias("unit"), F.expr("cast(map() as map<string,string>)").alias("conditions"), *[F.col("l_quantity").alias(c) for c in ("value", "lower_bound", "upper_bound")])
+    roles = t.part.select(F.col("p_type").alias("role_id")).distinct()
+    criteria = roles.selectExpr("role_id", "concat(role_id, '/price') AS criterion_id", "'unit_price' AS property_name", "'USD' AS unit", "array('v0', 'v1', 'v2', 'v3') AS validator_ids",
+                                "array('year', 'flag') AS required_context", "if(role_id = 'ECONOMY', map('flag', 'F'), null) AS target", "cast(null AS double) AS minimum", "cast(null AS double) AS maximum")
+    lots = roles.selectExpr("role_id", "concat(role_id, '/lot') AS criterion_id", "'lot' AS property_name", "'pieces' AS unit", "array('v0', 'v1') AS validator_ids", "cast(array() AS array<string>) AS required_context",
+                            "cast(null AS map<string,string>) AS target", "5D AS minimum", "40D AS maximum")
+    return assessment.assess_criteria(lines.select("candidate_id", "role_id").distinct(), criteria.unionByName(lots), price.unionByName(lot))
+
+
+@query(f"""WITH {JUDGED} SELECT candidate_id, role_id, criterion_id, status, CASE WHEN status = 'available' THEN v END AS value, CASE WHEN status = 'available' THEN lo END AS lower_bound,
+  CASE WHEN status = 'available' THEN hi END AS upper_bound, CASE WHEN status = 'available' THEN scope END AS conditions,
+  CASE WHEN scopes > 1 THEN 0 ELSE n_ok END AS n_accepted, n - CASE WHEN scopes > 1 THEN 0 ELSE n_ok END AS n_rejected,
+  CASE WHEN status = 'available' THEN CASE WHEN low IS NULL THEN 'not_configured' WHEN hi < low OR lo > high THEN 'fail' WHEN lo < low OR hi > high THEN 'unknown' ELSE 'pass' END
+       WHEN low IS NOT NULL OR status = 'conflicting' THEN 'unknown' ELSE 'not_configured' END AS hard_gate,
+  CASE status WHEN 'available' THEN 'CONDITION_COMPLETE_NAMED_VALIDATOR' WHEN 'conflicting' THEN 'CONFLICTING_NAMED_VALIDATORS'
+       WHEN 'incomparable' THEN 'UNIT_VALIDATOR_OR_CONDITION_MISMATCH' ELSE 'NO_SUCCESSFUL_NAMED_VALIDATOR' END AS reason_code FROM statuses""")
+def criterion_assessment(t):
+    return assessed(t)[0]
+
+
+@query(f"""WITH {JUDGED} SELECT j.candidate_id, j.role_id, j.criterion_id, j.observation_id, j.ok AND w.scopes = 1 AS accepted FROM judged j JOIN whole w USING (candidate_id, role_id, criterion_id)""")
+def criterion_verdicts(t):
+    return assessed(t)[1]

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from assaylake.functions import scalars as S
+from assaylake.operators import assessment
 from assaylake.operators import decision as O
 from assaylake.plans.registry import query
 from assaylake.sources import contracts
@@ -114,3 +116,51 @@ def index_manifest(t):
     old = t.documents.select((F.col("doc_id") % 100000).alias("record_id"), F.col("doc_id").alias("version"))
     index = contracts.upsert_index(old, old.withColumn("version", F.col("version") + 1), "record_id", "version")
     return contracts.index_manifest(records=index, claims=t.labels)
+
+
+#: Orders as evidence records and their lines as reported properties.
+RECORDS = """SELECT o_orderkey AS record_id, CASE WHEN o_totalprice > 5000 THEN o_custkey END AS candidate_id, o_orderpriority AS tool_name,
+  CASE WHEN o_orderstatus = 'P' THEN 'experimental' ELSE 'computational' END AS evidence_kind, o_totalprice > 150000 AS verified,
+  CASE WHEN o_totalprice > 420000 THEN 'failed' WHEN o_totalprice > 300000 THEN 'partial' ELSE 'success' END AS status,
+  CASE WHEN o_orderpriority < '2' THEN 'machine_learning' ELSE 'simulation' END AS method_class,
+  CASE WHEN o_orderstatus = 'P' AND o_totalprice > 200000 THEN 'experimental' WHEN year(o_orderdate) < 1996 THEN 'low' WHEN year(o_orderdate) < 1998 THEN 'medium' ELSE 'high' END AS fidelity,
+  o_totalprice > 60000 AS energy_ok, o_totalprice < 390000 AS force_ok, month(o_orderdate) AS m FROM {orders}"""
+FACTS = f"""rec AS ({RECORDS}), prop AS (SELECT l_orderkey AS record_id,
+  bool_or(named AND l_discount > 0.085) AS outside, bool_or(named AND l_returnflag = 'R' AND l_tax > 0.075) AS flagged,
+  bool_or(named AND l_tax = 0) AS unsure, bool_or(named AND (l_discount > 0.085 OR l_linestatus <> 'F')) AS uncalibrated
+  FROM (SELECT *, p_type IN ('SMALL', 'ECONOMY') AS named FROM {{lineitem}} JOIN {{part}} ON p_partkey = l_partkey) GROUP BY 1),
+f AS (SELECT rec.*, coalesce(outside, false) AS outside, coalesce(flagged, false) AS flagged, coalesce(unsure, false) AS unsure, coalesce(uncalibrated, false) AS uncalibrated,
+  fidelity IN ('medium', 'high') AS careful, method_class = 'machine_learning' AS learned FROM rec LEFT JOIN prop USING (record_id))"""
+
+
+@query(f"""WITH {FACTS} SELECT record_id, 'computed' AS requirement_id, array_to_string(list_sort(list_filter([
+  CASE WHEN candidate_id IS NULL THEN 'candidate_missing' END, CASE WHEN evidence_kind <> 'computational' THEN 'kind_mismatch' END,
+  CASE WHEN status = 'failed' THEN 'status_not_accepted' END, CASE WHEN tool_name = '5-LOW' THEN 'tool_not_allowed' END,
+  CASE WHEN careful AND m = 12 THEN 'parameters_hash_missing' END, CASE WHEN careful AND NOT (energy_ok AND force_ok) THEN 'not_converged' END,
+  CASE WHEN careful AND m = 11 THEN 'revision_missing' END, CASE WHEN learned AND m <= 2 THEN 'model_metadata_missing' END, CASE WHEN m = 7 THEN 'disqualifying_flag' END,
+  CASE WHEN outside THEN 'property_out_of_domain' END, CASE WHEN flagged THEN 'property_flag' END, CASE WHEN careful AND unsure THEN 'property_without_uncertainty' END,
+  CASE WHEN learned AND uncalibrated THEN 'property_not_calibrated' END, CASE WHEN fidelity = 'low' THEN 'fidelity_too_low' END], lambda x: x IS NOT NULL)), ';') AS reasons FROM f
+UNION ALL SELECT record_id, 'measured', array_to_string(list_sort(list_filter([
+  CASE WHEN candidate_id IS NULL THEN 'candidate_missing' END, CASE WHEN evidence_kind <> 'experimental' THEN 'kind_mismatch' END, CASE WHEN NOT verified THEN 'experiment_not_verified' END,
+  CASE WHEN status <> 'success' THEN 'status_not_accepted' END, CASE WHEN fidelity <> 'experimental' THEN 'experimental_fidelity_missing' END], lambda x: x IS NOT NULL)), ';') FROM f""")
+def evidence_compatibility(t):
+    """Orders as records against a computational and an experimental requirement; all reasons of each pair."""
+    lines = t.lineitem.join(t.part, F.col("p_partkey") == F.col("l_partkey"))
+    flags = F.when((F.col("l_returnflag") == "R") & (F.col("l_tax") > 0.075), F.array(F.lit("OUT_OF_DOMAIN"))).otherwise(F.array(F.lit("checked")))
+    one = F.struct(
+        F.lower("p_type").alias("name"), (F.col("l_discount") <= 0.085).alias("in_domain"), flags.alias("quality_flags"), F.lit(True).alias("numeric"), F.nullif("l_tax", F.lit(0.0)).alias("uncertainty"),
+        F.lit(None).cast("double").alias("low"), F.lit(1.0).alias("high"), F.when(F.col("l_linestatus") == "F", "fit").alias("calibration"),
+    )
+    properties = lines.select(F.col("l_orderkey").alias("record_id"), one.alias("p")).groupBy("record_id").agg(F.collect_set("p").alias("properties"))  # an order's few lines
+    model = F.struct(F.when(F.col("m") != 1, F.lit("net")).alias("name"), F.lit("1").alias("version"), F.when(F.col("m") != 2, F.array(F.lit("d1"))).alias("dataset_versions"), F.lit(True).alias("in_domain"), F.lit("conformal").alias("calibration"))
+    made = {
+        "gate_id": F.lit("g"), "operation": F.lit("relax"), "parameters_hash": F.when(F.col("m") != 12, "h"), "code_revision": F.when(F.col("m") != 11, "r"), "model": model,
+        "convergence": F.create_map(F.lit("energy"), "energy_ok", F.lit("force"), "force_ok"), "quality_flags": F.when(F.col("m") == 7, F.array(F.lit("Unresolved_Conflict"))),
+    }
+    records = t.spark.sql(RECORDS, orders=t.orders).withColumns(made).join(properties, "record_id", "left")
+    tools = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED"]
+    wanted = t.spark.createDataFrame([
+        ("computed", "g", "computational", ["success", "partial"], tools, None, [], ["Small", "Economy"], "medium"),
+        ("measured", "g", "experimental", ["success"], None, ["relax"], None, None, "experimental"),
+    ], "requirement_id string, gate_id string, evidence_kind string, statuses array<string>, tools array<string>, operations array<string>, method_classes array<string>, property_names array<string>, minimum_fidelity string")
+    return assessment.compatible_evidence(records, wanted).withColumn("reasons", S.joined(F.col("reasons")))
