@@ -55,7 +55,7 @@ def test_criteria(spark, seed):
         low = some(None, 0.5, 1.5)
         observations.append((i, f"c{rng.randrange(14)}", some("r1", "r2"), some("p", "p", "q", "z"), some("v1", "v1", "v2", None), some("eV", "eV", "m", "K", None), some({"T": "300", "x": "1"}, {"T": "300", "x": "1"}, {"T": "400", "x": "1"}, {"T": " "}, None), some("success", "success", "success", "failed", "incomparable", None), some(1.0, 1.0, 2.0), low, None if low is None else low + some(0.5, 1.0), "clash"))
     observations += observations[:20]
-    candidates.append(("cc", "r2"))
+    candidates += [("cc", "r2"), ("nobody's", "r1")]
     observations += [(900 + i, "cc", "r2", "p", v, "eV", {"T": "1"}, "success", x, x, x, None) for i, (v, x) in enumerate([("v1", 1.0), ("v3", 1.5)])]
     tables = [spark.createDataFrame(rows, schema) for rows, schema in ((candidates, CANDIDATES), (criteria, CRITERIA), (observations, OBSERVATIONS))]
     found, verdicts = assessment.assess_criteria(*tables)
