@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from assaylake.functions import scalars as S
+from assaylake.operators import pairing
 from assaylake.plans.registry import query
 
 TERMS = {"legal": ["rights", "license", "gnu"], "web": ["mit", "apache"], "contact": ["reserved", "version"]}
@@ -81,3 +82,51 @@ def control_sweep(t):
 @query("""SELECT o_orderkey, CAST('0x' || substr(sha256(CAST(to_json(['7', CAST(o_orderkey AS VARCHAR), o_orderpriority]) AS VARCHAR)), 1, 8) AS BIGINT) AS seed FROM {orders}""")
 def sampling_seed(t):
     return t.orders.select("o_orderkey", S.sampling_seed(F.lit(7), F.col("o_orderkey"), F.col("o_orderpriority")).alias("seed"))
+
+
+#: A customer's first three orders of either parity as the slots of a paired run; the customer's row stands for both runs.
+SLOTS = """SELECT pair_id, arm, pair_slot, candidate_id, value, CASE WHEN value > 490000 THEN 'other' ELSE 'seed' END AS batch_seed,
+  pair_slot + CASE WHEN value < 6000 THEN 1 ELSE 0 END AS stream_position FROM {b_pair} WHERE pair_slot < 3"""
+RUNS = """SELECT c_custkey AS pair_id, arm, CAST(3 AS BIGINT) AS n_candidates, 'seed' AS seed,
+  CASE WHEN c_acctbal < -900 THEN NULL WHEN c_acctbal > 9800 AND arm = 'on' THEN 'changed' ELSE 'h' || c_nationkey END AS runtime_hash FROM {customer} CROSS JOIN (SELECT 'off' AS arm UNION ALL SELECT 'on') a"""
+PAIRED = f"""slots AS ({SLOTS}), runs AS ({RUNS}), r AS (SELECT pair_id, bool_or(runtime_hash IS NULL) AS unattested, count(DISTINCT runtime_hash) > 1 AS differs FROM runs GROUP BY 1),
+h AS (SELECT pair_id, count(CASE WHEN arm = 'off' THEN 1 END) AS n_off, count(CASE WHEN arm = 'on' THEN 1 END) AS n_on, bool_or(arm = 'off' AND batch_seed <> 'seed') AS w_off, bool_or(arm = 'on' AND batch_seed <> 'seed') AS w_on FROM slots GROUP BY 1),
+m AS (SELECT pair_id, bool_or(n = 1) AS alone, bool_or(lo <> hi) AS moved FROM (SELECT pair_id, pair_slot, count(*) AS n, min(stream_position) AS lo, max(stream_position) AS hi FROM slots GROUP BY 1, 2) GROUP BY 1),
+audit AS (SELECT r.pair_id, array_to_string(list_sort(list_filter([
+  CASE WHEN coalesce(n_off, 0) <> 3 THEN 'off_slots_missing_or_repeated' END, CASE WHEN coalesce(n_on, 0) <> 3 THEN 'on_slots_missing_or_repeated' END, CASE WHEN w_off THEN 'off_wrong_batch_seed' END, CASE WHEN w_on THEN 'on_wrong_batch_seed' END,
+  CASE WHEN unattested THEN 'runtime_not_attested' END, CASE WHEN differs THEN 'runtime_differs' END, CASE WHEN alone THEN 'slot_sets_differ' END, CASE WHEN moved THEN 'stream_positions_differ' END], lambda x: x IS NOT NULL)), ';') AS reasons
+  FROM r LEFT JOIN h USING (pair_id) LEFT JOIN m USING (pair_id))"""
+
+
+def paired_runs(t):
+    customer = t.customer
+    return t.spark.sql(RUNS, customer=customer), t.spark.sql(SLOTS, b_pair=t.b_pair)
+
+
+@query(f"WITH {PAIRED} SELECT pair_id, reasons FROM audit")
+def pair_audit(t):
+    return pairing.audit_pairs(*paired_runs(t)).withColumn("reasons", S.joined(F.col("reasons")))
+
+
+@query(f"""WITH {PAIRED}, kinds AS (SELECT l_orderkey AS candidate_id, p_type, count(*) AS n FROM {{lineitem}} JOIN {{part}} ON p_partkey = l_partkey GROUP BY 1, 2),
+shares AS (SELECT candidate_id, p_type, n / sum(n) OVER (PARTITION BY candidate_id) AS f FROM kinds),
+good AS (SELECT a.pair_id, a.pair_slot, a.candidate_id AS x, b.candidate_id AS y, a.value AS u, b.value AS v FROM slots a JOIN slots b ON a.pair_id = b.pair_id AND a.pair_slot = b.pair_slot AND a.arm = 'off' AND b.arm = 'on' JOIN audit d ON d.pair_id = a.pair_id AND d.reasons = ''),
+gaps AS (SELECT x, y, sum(abs(coalesce(f, 0) - coalesce(g, 0))) / 2 AS tv, count(CASE WHEN f IS NULL OR g IS NULL THEN 1 END) AS changed FROM
+  (SELECT x, y, k.p_type, (SELECT f FROM shares s WHERE s.candidate_id = x AND s.p_type = k.p_type) AS f, (SELECT f FROM shares s WHERE s.candidate_id = y AND s.p_type = k.p_type) AS g
+   FROM good JOIN kinds k ON k.candidate_id = x OR k.candidate_id = y GROUP BY ALL) GROUP BY 1, 2)
+SELECT pair_id, pair_slot, x AS off_candidate, y AS on_candidate, floor((u - v) * 100 + 0.5) / 100 AS improvement,
+  CASE WHEN EXISTS (SELECT 1 FROM kinds WHERE candidate_id = x) AND EXISTS (SELECT 1 FROM kinds WHERE candidate_id = y) THEN floor(tv * 10000 + 0.5) / 10000 END AS total_variation,
+  CASE WHEN EXISTS (SELECT 1 FROM kinds WHERE candidate_id = x) AND EXISTS (SELECT 1 FROM kinds WHERE candidate_id = y) THEN changed END AS kinds_changed
+FROM good LEFT JOIN gaps USING (x, y)""")
+def pair_comparison(t):
+    """Slots of sound pairs: a lower price is an improvement; the orders' part types as distributions and as sets."""
+    kinds = t.lineitem.join(t.part, F.col("p_partkey") == F.col("l_partkey")).groupBy(F.col("l_orderkey").alias("candidate_id"), "p_type").agg(F.count("*").cast("double").alias("n"))
+    shares = kinds.groupBy("candidate_id").agg(F.map_from_entries(F.collect_list(F.struct("p_type", "n"))).alias("m")).select("candidate_id", S.fractions(F.col("m")).alias("shares"))  # the few types there are
+    runs, slots = paired_runs(t)
+    none = [F.lit(None).cast("double")] * 3
+    deltas = {
+        "improvement": lambda off, on: S.rounded(S.signed_improvement(off("value"), on("value"), F.lit("minimize"), *none), 2),
+        "total_variation": lambda off, on: S.rounded(S.total_variation(off("shares"), on("shares"))),
+        "kinds_changed": lambda off, on: F.size(F.array_except(F.map_keys(off("shares")), F.map_keys(on("shares")))) + F.size(F.array_except(F.map_keys(on("shares")), F.map_keys(off("shares")))),
+    }
+    return pairing.compare_pairs(runs, slots.join(shares, "candidate_id", "left"), deltas)
