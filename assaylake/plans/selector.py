@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from assaylake.functions import scalars as S
-from assaylake.operators import calibration
+from assaylake.operators import calibration, exploration
 from assaylake.operators import evidence as E
 from assaylake.operators import selection as O
 from assaylake.plans.registry import query
@@ -86,6 +86,36 @@ def disagreement_topk(t):
     return O.disagreement_top_k(rows, "candidate_id", "kind", 0.5, 4)
 
 
+@query(f"""WITH {DIS}, {POOL}, near AS (SELECT a.candidate_id, floor(coalesce(min(greatest(abs(a.size - b.size) / 50, abs(a.price - b.price) / 2000)), 1.0) * 1000 + 0.5) / 1000 AS diversity
+  FROM pool a LEFT JOIN pool b ON a.scope = b.scope AND a.candidate_id <> b.candidate_id GROUP BY 1),
+front AS (SELECT candidate_id FROM pool a WHERE NOT EXISTS (SELECT 1 FROM pool b WHERE b.candidate_id <> a.candidate_id
+  AND CASE WHEN a.scope = b.scope THEN b.size >= a.size AND b.price >= a.price AND (b.size > a.size OR b.price > a.price) ELSE b.size > a.size END)),
+facts AS (SELECT p.candidate_id, kind, CASE WHEN kind <> 'ECONOMY' THEN price END AS stability, -abs(size - 25) AS target, diversity, floor(score * 1000 + 0.5) / 1000 AS disagreement,
+  p.candidate_id IN (SELECT candidate_id FROM front) AS pareto FROM pool p JOIN near USING (candidate_id) LEFT JOIN dis USING (candidate_id)),
+plain AS (SELECT kind, 'stability' AS branch, candidate_id, stability AS score FROM facts UNION ALL SELECT kind, 'target', candidate_id, target FROM facts
+  UNION ALL SELECT kind, 'diversity', candidate_id, diversity FROM facts UNION ALL SELECT kind, 'pareto', candidate_id, target FROM facts WHERE pareto),
+best AS (SELECT *, row_number() OVER (PARTITION BY kind, branch ORDER BY score DESC, candidate_id) AS rank FROM plain WHERE score IS NOT NULL QUALIFY rank <= 4),
+stand AS (SELECT kind, 'stability' AS branch, candidate_id FROM facts WHERE kind IN (SELECT kind FROM facts GROUP BY 1 HAVING count(stability) = 0)
+  QUALIFY row_number() OVER (PARTITION BY kind ORDER BY pareto DESC, target DESC NULLS LAST, candidate_id) = 1),
+k AS (SELECT kind, candidate_id, disagreement AS score, row_number() OVER (PARTITION BY kind ORDER BY disagreement DESC, candidate_id) AS rank FROM facts WHERE disagreement >= 0.5 QUALIFY rank <= 4),
+u AS (SELECT kind, min(candidate_id) AS candidate_id FROM facts WHERE disagreement IS NULL GROUP BY 1),
+s AS (SELECT u.kind, u.candidate_id, NULL::DOUBLE AS score, least(coalesce(n, 0) + 1, 4) AS rank FROM u LEFT JOIN (SELECT kind, count(*) AS n FROM k GROUP BY 1) USING (kind))
+SELECT kind, branch, rank, candidate_id, score, NULL AS reason FROM best
+UNION ALL SELECT kind, branch, 1, candidate_id, NULL, '{exploration.FALLBACK}' FROM stand
+UNION ALL SELECT kind, 'disagreement', rank, candidate_id, score, NULL FROM k WHERE (kind, rank) NOT IN (SELECT (kind, rank) FROM s)
+UNION ALL SELECT kind, 'disagreement', rank, candidate_id, score, 'disagreement_unknown' FROM s""")
+def exploration_branches(t):
+    """Parents of each kind of part by five branches; the kind ECONOMY has no stability evidence."""
+    thousandths = lambda c: S.rounded(F.col(c), 3).alias(c)
+    rows = pool(t)
+    near = O.nearest_distance(rows.select("candidate_id", "scope", (F.col("size") / 50).alias("x"), (F.col("price") / 2000).alias("y")), "candidate_id", "scope", ["x", "y"]).select("candidate_id", thousandths("diversity"))
+    front = O.first_front(rows.select("candidate_id", "scope", "size", "price"), "candidate_id", ["size"], ["price"], "scope").select("candidate_id", F.lit(True).alias("pareto"))
+    apart = O.selector_disagreement(normalised(t), "candidate_id", "scope", "energy").select("candidate_id", S.rounded(F.col("score"), 3).alias("disagreement"))
+    facts = rows.join(near, "candidate_id").join(front, "candidate_id", "left").join(apart, "candidate_id", "left")
+    facts = facts.withColumn("stability", F.when(F.col("kind") != "ECONOMY", F.col("price"))).withColumn("target", -F.abs(F.col("size") - 25))
+    return exploration.explore(facts, "candidate_id", "kind", 4, 0.5)
+
+
 @query(f"""WITH {BRANCH}, f AS (SELECT candidate_id, least(1.0, coalesce(sum(CASE WHEN score IS NOT NULL THEN CASE branch WHEN 'disagreement' THEN 0.25 ELSE 1.0 END / (20 + rank) END), 0) / (3.95 / 21)) AS fused, count(*) AS n_branches FROM top GROUP BY 1)
 SELECT candidate_id, floor(fused * 10000 + 0.5) / 10000 AS fused, n_branches FROM f""")
 def rrf_rank(t):
