@@ -86,3 +86,33 @@ def mean_vector(rows: DataFrame, group: str, vector: str) -> DataFrame:
 def eligibility(rows: DataFrame, entity: str, **rules: Column) -> DataFrame:
     """rows with the sorted reasons array and eligible (no reason)."""
     return rows.withColumn("reasons", reasons(**rules)).withColumn("eligible", F.size("reasons") == 0)
+
+
+def control_vector(requests: DataFrame, features: DataFrame, utility: str, disagreement: DataFrame) -> DataFrame:
+    """The eight control values of each request, and why one has none.
+
+    requests (a row a candidate): candidate_id, cycle, expected and failed (arrays of expert ids),
+    previous_improvement, collapse_rate, alpha. features: candidate_id, expert_id, status (success,
+    partial or else) and the utility of each primary value (null where it serves no objective).
+    disagreement: candidate_id, disagreement, of successful values.
+
+    An expert is successful if one of its features is; failed, missing (expected without a feature) and
+    partial-only experts are counted as not successful, each once. Without a utility or disagreement the
+    neutral 0 stands; a candidate without any feature has null values and a reason.
+    """
+    ok = F.col("status") == "success"
+    seen = features.groupBy("candidate_id", "expert_id").agg(F.max(ok.cast("int")).alias("ok"), F.max((F.col("status") == "partial").cast("int")).alias("counted"))
+    asked = requests.select("candidate_id", F.explode(F.array_union(F.coalesce("expected", F.array().cast("array<string>")), F.coalesce("failed", F.array().cast("array<string>")))).alias("expert_id"), "failed")
+    asked = asked.select("candidate_id", "expert_id", F.coalesce(F.array_contains("failed", F.col("expert_id")), F.lit(False)).cast("int").alias("failed"))
+    both = seen.join(asked, ["candidate_id", "expert_id"], "full")
+    missing = F.col("ok").isNull()
+    off = (missing | (F.col("counted") == 1) | (F.col("failed") == 1)) & ~F.coalesce(F.col("ok") == 1, F.lit(False))
+    experts = both.groupBy("candidate_id").agg(F.count_if(F.col("ok") == 1).alias("n_successful"), F.count_if(off).alias("n_unsuccessful"), F.count("ok").alias("_seen"))
+    worst = features.where(ok).groupBy("candidate_id").agg(F.min(utility).alias("worst_utility"))
+    out = requests.join(experts, "candidate_id", "left").join(worst, "candidate_id", "left").join(disagreement.select("candidate_id", "disagreement"), "candidate_id", "left")
+    known = F.coalesce(F.col("_seen") > 0, F.lit(False))
+    values = {
+        "cycle": F.col("cycle").cast("double"), "n_successful": F.col("n_successful").cast("double"), "n_unsuccessful": F.col("n_unsuccessful").cast("double"), "worst_utility": F.coalesce("worst_utility", F.lit(0.0)),
+        "disagreement": F.coalesce("disagreement", F.lit(0.0)), "improved": F.coalesce((F.col("previous_improvement") > 0).cast("double"), F.lit(0.0)), "collapse_rate": F.col("collapse_rate"), "alpha": F.col("alpha"),
+    }
+    return out.select("candidate_id", *[F.when(known, v).alias(n) for n, v in values.items()], F.when(~known, "no_primary_feature").alias("reason"))

@@ -144,3 +144,33 @@ def aggregate_reconcile(t):
     stored = again.where("candidate_id % 7 <> 0").select("candidate_id", F.expr("if(candidate_id % 10 = 3, again + 1, again)").alias("stored"), F.col("n").alias("m"))
     status = F.when(F.col("m").isNull(), "missing").when((F.col("stored") == F.col("again")) & (F.col("m") == F.col("n")), "reconciled").otherwise("mismatch")
     return again.join(stored, "candidate_id", "left").select("candidate_id", status.alias("status"))
+
+
+STATES = """SELECT b.candidate_id, b.expert_id, b.property_name, b.value, b.unit, CASE WHEN f.force >= 0.095 THEN 'partial' ELSE 'success' END AS status
+FROM {b_property} b JOIN (SELECT candidate_id, expert_id, max(max_force) AS force FROM {b_prediction} GROUP BY 1, 2) f ON f.candidate_id = b.candidate_id AND f.expert_id = b.expert_id"""
+
+
+@query(f"""WITH s AS ({STATES}), good AS (SELECT * FROM s WHERE status = 'success'), util AS (SELECT candidate_id, min(CASE WHEN property_name = 'max_force' THEN -abs(value - 0.05)
+  WHEN property_name = 'stress' THEN CASE WHEN value BETWEEN 0.02 AND 0.06 THEN 1.0 ELSE -least(abs(value - 0.02), abs(value - 0.06)) END END) AS worst FROM good GROUP BY 1),
+d AS (SELECT candidate_id, max(CASE WHEN e >= 2 AND u1 = u2 THEN least(1.0, (hi - lo) / greatest(abs(hi), abs(lo), 1e-12)) ELSE 0 END) AS dis FROM (
+  SELECT candidate_id, property_name, min(value) lo, max(value) hi, count(DISTINCT expert_id) e, min(unit) u1, max(unit) u2 FROM good WHERE property_name <> 'energy' GROUP BY 1, 2) GROUP BY 1),
+x AS (SELECT candidate_id, expert_id, bool_or(status = 'success') AS ok FROM s GROUP BY 1, 2),
+n AS (SELECT p_partkey AS candidate_id, count(CASE WHEN ok THEN 1 END) AS good, count(CASE WHEN NOT coalesce(ok, false) THEN 1 END) AS bad, count(ok) AS seen
+  FROM (SELECT p_partkey, unnest(CASE WHEN p_size > 40 THEN ['e0', 'e1', 'e9'] ELSE ['e0', 'e1'] END) AS expert_id FROM {{part}}) a LEFT JOIN x ON x.candidate_id = a.p_partkey AND x.expert_id = a.expert_id GROUP BY 1)
+SELECT candidate_id, CASE WHEN seen > 0 THEN CAST(p_size AS DOUBLE) END AS cycle, CASE WHEN seen > 0 THEN CAST(good AS DOUBLE) END AS n_successful, CASE WHEN seen > 0 THEN CAST(bad AS DOUBLE) END AS n_unsuccessful,
+  CASE WHEN seen > 0 THEN floor(coalesce(worst, 0) * 10000 + 0.5) / 10000 END AS worst_utility, CASE WHEN seen > 0 THEN floor(coalesce(dis, 0) * 10000 + 0.5) / 10000 END AS disagreement,
+  CASE WHEN seen > 0 THEN CASE WHEN p_retailprice > 1000 THEN 1.0 ELSE 0.0 END END AS improved, CASE WHEN seen > 0 THEN p_size / 50.0 END AS collapse_rate, CASE WHEN seen > 0 THEN 0.5 END AS alpha,
+  CASE WHEN seen = 0 THEN 'no_primary_feature' END AS reason
+FROM n JOIN {{part}} ON p_partkey = candidate_id LEFT JOIN util USING (candidate_id) LEFT JOIN d USING (candidate_id)""")
+def control_vector(t):
+    """All eight control values of parts; predictions with large forces are partial, and large parts await a third expert."""
+    s = t.spark.sql(STATES, b_property=t.b_property, b_prediction=t.b_prediction)
+    is_force = F.col("property_name") == "max_force"
+    worth = S.controller_utility(F.col("value"), F.when(is_force, "target").otherwise("range"), F.lit(0.05), F.lit(0.02), F.lit(0.06))
+    features = s.withColumn("utility", F.when(F.col("property_name") != "energy", worth))
+    expected = F.when(F.col("p_size") > 40, F.array(*map(F.lit, ("e0", "e1", "e9")))).otherwise(F.array(F.lit("e0"), F.lit("e1")))
+    requests = t.part.select(F.col("p_partkey").alias("candidate_id"), F.col("p_size").alias("cycle"), expected.alias("expected"), F.lit(None).cast("array<string>").alias("failed"),
+                             (F.col("p_retailprice") - 1000).alias("previous_improvement"), (F.col("p_size") / 50.0).alias("collapse_rate"), F.lit(0.5).alias("alpha"))
+    spread = E.expert_disagreement(s.where("status = 'success'"), "candidate_id", exclude=("energy",))
+    out = E.control_vector(requests, features, "utility", spread)
+    return out.withColumns({c: S.rounded(F.col(c)) for c in ("worst_utility", "disagreement")})
