@@ -100,8 +100,8 @@ def control_vector(requests: DataFrame, features: DataFrame, utility: str, disag
     partial-only experts are counted as not successful, each once. Without a utility or disagreement the
     neutral 0 stands; a candidate without any feature has null values and a reason.
     """
-    ok = F.col("status") == "success"
-    seen = features.groupBy("candidate_id", "expert_id").agg(F.max(ok.cast("int")).alias("ok"), F.max((F.col("status") == "partial").cast("int")).alias("counted"))
+    ok = F.coalesce(F.col("status") == "success", F.lit(False))
+    seen = features.groupBy("candidate_id", "expert_id").agg(F.max(ok.cast("int")).alias("ok"), F.max(F.coalesce(F.col("status") == "partial", F.lit(False)).cast("int")).alias("counted"))
     asked = requests.select("candidate_id", F.explode(F.array_union(F.coalesce("expected", F.array().cast("array<string>")), F.coalesce("failed", F.array().cast("array<string>")))).alias("expert_id"), "failed")
     asked = asked.select("candidate_id", "expert_id", F.coalesce(F.array_contains("failed", F.col("expert_id")), F.lit(False)).cast("int").alias("failed"))
     both = seen.join(asked, ["candidate_id", "expert_id"], "full")
