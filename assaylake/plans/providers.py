@@ -107,3 +107,29 @@ def optimade_scan(t):
     item = F.to_json(F.struct(F.when(k > 0, F.concat(F.lit("m-"), i)).alias("id"), F.lit("structures").alias("type"), attributes.alias("attributes")))
     found = P.optimade(t.part.select(item.alias("p")), "p")
     return found.select("record_id", "unsupported", "n_sites", F.array_join("symbols", ",").alias("symbols"), F.col("lattice")[0][0].alias("edge"))
+
+
+UNITED = f"""u AS (
+  SELECT 0 AS rank, 'europe_pmc' AS provider, 'doi:10.1/' || (doc_id // 2) AS key, 'Title ' || {ID} AS title, n_chars AS cited, false AS gone FROM {{documents}}
+  UNION ALL SELECT 3, 'crossref', 'doi:10.1/' || (doc_id // 2), 'Crossref title ' || {ID}, n_chars * 2, n_chars > 5000 FROM {{documents}} WHERE lang = 'en'
+  UNION ALL SELECT 2, 'openalex', 'pmid:' || (doc_id // 3), 'Open ' || {ID}, 7, false FROM {{documents}} WHERE lang = 'de'
+  UNION ALL SELECT 1, 'pubmed', 'pmid:' || (doc_id // 3), 'Medical ' || {ID}, NULL, false FROM {{documents}} WHERE lang = 'es'
+  UNION ALL SELECT 4, 'arxiv', 'arxiv:24.' || {ID}, 'Preprint ' || {ID}, NULL, false FROM {{documents}} WHERE lang = 'fr')"""
+
+
+@query(f"""WITH {UNITED} SELECT key, arg_min(title, {{'n': -length(title), 't': title}}) AS title, max(cited) AS citation_count, string_agg(DISTINCT provider, ';' ORDER BY provider) AS providers,
+  bool_or(gone) AS is_retracted, CASE WHEN key LIKE 'doi:%' THEN substr(key, 5) END AS doi, count(*) AS n_merged FROM u GROUP BY key""")
+def united_records(t):
+    """Payloads of five providers made from the documents, scanned, united and fused by identity."""
+    i = F.col("doc_id").cast("string")
+    doi, pmid = F.concat(F.lit("10.1/"), F.floor(F.col("doc_id") / 2).cast("string")), F.floor(F.col("doc_id") / 3).cast("string")
+    docs = t.documents
+    of = lambda lang, payload: docs.where(F.col("lang") == lang).select(payload.alias("p"))
+    europe = docs.select(F.to_json(F.struct(i.alias("id"), doi.alias("doi"), F.concat(F.lit("Title "), i).alias("title"), F.col("n_chars").cast("string").alias("citedByCount"))).alias("p"))
+    crossref = of("en", F.to_json(F.struct(F.upper(doi).alias("DOI"), F.array(F.concat(F.lit("Crossref title "), i)).alias("title"), (F.col("n_chars") * 2).alias("is-referenced-by-count"), F.when(F.col("n_chars") > 5000, "retraction").otherwise("article").alias("type"))))
+    openalex = of("de", F.to_json(F.struct(F.concat(F.lit("W"), i).alias("id"), F.concat(F.lit("Open "), i).alias("title"), F.struct(F.concat(F.lit("https://pubmed.ncbi.nlm.nih.gov/"), pmid, F.lit("/")).alias("pmid")).alias("ids"), F.lit(7).alias("cited_by_count"))))
+    pubmed = of("es", F.concat(F.lit("<PubmedArticle><MedlineCitation><PMID>"), pmid, F.lit("</PMID><Article><ArticleTitle>Medical "), i, F.lit("</ArticleTitle></Article></MedlineCitation></PubmedArticle>")))
+    arxiv = of("fr", F.concat(F.lit("<entry><id>http://arxiv.org/abs/24."), i, F.lit("</id><title>Preprint "), i, F.lit("</title></entry>")))
+    scans = P.europe_pmc(europe, "p"), P.pubmed(pubmed, "p"), P.openalex(openalex, "p"), P.crossref(crossref, "p"), P.arxiv(arxiv, "p")
+    out = P.fuse_united(P.unite(*scans))
+    return out.select("key", "title", "citation_count", F.array_join("providers", ";").alias("providers"), "is_retracted", "doi", "n_merged")

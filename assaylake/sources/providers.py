@@ -242,3 +242,27 @@ def optimade(rows: DataFrame, payload: str) -> DataFrame:
     ok = F.col("unsupported").isNull()
     sites = F.when(ok, F.transform(at, lambda s: F.element_at(symbol, s)))
     return rows_.select("row", some(F.col("x.id")).alias("record_id"), some(a["chemical_formula_reduced"]).alias("formula"), F.when(ok, F.size(at)).alias("n_sites"), sites.alias("symbols"), F.when(ok, lattice).alias("lattice"), F.when(ok, positions).alias("positions"), "unsupported")
+
+
+def unite(*scans: DataFrame) -> DataFrame:
+    """Records of several scans in one table, with source_rank (the scan's place, which settles whose field comes first)."""
+    out = None
+    for rank, scan in enumerate(scans):
+        part = scan.select(*RECORD).withColumn("source_rank", F.lit(rank))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def fuse_united(records: DataFrame) -> DataFrame:
+    """One row per identity of united records: DOI, PMID, arXiv id, else title and year (see literature.fuse_records).
+
+    Titles and abstracts are the longest, citations the greatest, providers all, flags true if one is;
+    ids, venue and date are the first in the order of source_rank and record_id that are known.
+    """
+    from assaylake.operators.literature import fuse_records, identity_key
+
+    keyed = records.withColumn("key", identity_key(F.col("doi"), F.col("pmid"), F.col("arxiv_id"), F.lower("title"), F.col("publication_year")))
+    first = ["record_id", "doi", "pmid", "pmcid", "arxiv_id", "venue", "publication_date", "publication_year"]
+    names = keyed.withColumn("providers", F.col("provider"))
+    order = names.withColumn("_at", F.struct("source_rank", "record_id"))
+    return fuse_records(order, "key", ["_at"], ["title", "abstract"], ["citation_count"], ["providers"], ["is_retracted", "open_access"], first)
