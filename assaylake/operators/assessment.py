@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assaylake.functions.scalars import interval_gate, is_empty, is_missing, reasons
@@ -120,3 +120,67 @@ def compatible_evidence(records: DataFrame, requirements: DataFrame) -> DataFram
         "fidelity_too_low": ~lab & ~true(rank(F.col("fidelity")) >= rank(F.col("minimum_fidelity"))),
     }
     return both.select("record_id", "requirement_id", reasons(**{n: true(c) for n, c in rules.items()}).alias("reasons"))
+
+
+def explain(candidates: DataFrame, assessed: DataFrame) -> DataFrame:
+    """candidate_id, role_id, completeness (percent), uncertainty and the sorted codes why, why_not, tradeoffs, doubts and next_steps.
+
+    candidates (a row a candidate and role): candidate_id, role_id, origin, front, score, hard_gate,
+    model_disagreement, identity_status. assessed: the first table of assess_criteria. Uncertainty is
+    conflicting, unknown, bounded or point_only, in that order of precedence; a candidate without
+    criteria is point_only and 0 percent complete. Trade-offs and steps name the criterion before a colon.
+    """
+    has = lambda s: F.count_if(F.col("status") == s)
+    open_ = F.col("status") != "available"
+    named = lambda when, text: F.array_sort(F.collect_set(F.when(when, F.concat(F.col("criterion_id"), F.lit(":"), text))))
+    facts = assessed.groupBy("candidate_id", "role_id").agg(
+        F.count("*").alias("n"), *[has(s).alias(f"n_{s}") for s in CODES], F.count_if(~open_ & F.col("lower_bound").isNull()).alias("n_points"),
+        named(open_, F.col("status")).alias("tradeoffs"), named(open_, F.lit("run_named_validator")).alias("steps"),  # a role's few criteria
+    )
+    none = F.array().cast("array<string>")
+    rows = candidates.join(facts, ["candidate_id", "role_id"], "left").na.fill(0, ["n", "n_points", *[f"n_{s}" for s in CODES]])
+    some = lambda s: F.col(f"n_{s}") > 0
+    is_ = lambda c, v: F.coalesce(F.col(c) == v, F.lit(False))
+    open_n = F.col("n") - F.col("n_available")
+    uncertainty = F.when(some("conflicting"), "conflicting").when(open_n > 0, "unknown").when((F.col("n") > 0) & (F.col("n_points") == 0), "bounded").otherwise("point_only")
+    why = reasons(
+        SOURCE_BACKED_RETRIEVAL_SEED=is_("origin", "retrieval_seed"),
+        ROBUST_NON_DOMINATED_WITHIN_ROLE_AND_CONDITION=is_("front", 1),
+        OPERATOR_WEIGHTED_POOL_RELATIVE_SCORE_AVAILABLE=F.col("score").isNotNull(),
+        ALL_CONFIGURED_HARD_GATES_PASS=is_("hard_gate", "pass"),
+        NAMED_VALIDATOR_EVIDENCE_AVAILABLE=some("available"),
+        EXTERNAL_DATABASE_SCOPED_NO_MATCH_RETAINED_AS_CONTEXT_ONLY=is_("identity_status", "database_scoped_no_match"),
+    )
+    front = F.when(F.col("front") > 1, F.array(F.concat(F.lit("PARETO_FRONT_"), F.col("front").cast("string")))).otherwise(none)
+    why = F.array_sort(F.concat(why, front))
+    why_not = reasons(
+        DOMINATED_WITHIN_MATCHED_ROLE_AND_CONDITION=F.coalesce(F.col("front") > 1, F.lit(False)),
+        AT_LEAST_ONE_CONFIGURED_HARD_GATE_FAILS=is_("hard_gate", "fail"),
+        HARD_GATE_UNCERTAINTY_OR_MISSING_EVIDENCE=is_("hard_gate", "unknown"),
+        NO_CONDITION_COMPLETE_PERFORMANCE_EVIDENCE=~some("available"),
+        HIGH_MODEL_DISAGREEMENT=is_("model_disagreement", "high"),
+    )
+    doubts = reasons(
+        criterion_without_named_validator=some("unknown"), evidence_incomparable=some("incomparable"), validators_disagree=some("conflicting"), no_quantified_uncertainty=F.col("n_points") > 0,
+        models_disagree=is_("model_disagreement", "high"), identity_unresolved=is_("identity_status", "unknown"), no_match_is_no_proof=is_("identity_status", "database_scoped_no_match"),
+    )
+    steps = F.concat(F.coalesce("steps", none), reasons(resolve_model_disagreement=is_("model_disagreement", "high"), close_retrieval_seed=is_("origin", "retrieval_seed")))
+    return rows.select(
+        "candidate_id", "role_id", F.when(F.col("n") > 0, 100.0 * F.col("n_available") / F.col("n")).otherwise(0.0).alias("completeness"), uncertainty.alias("uncertainty"),
+        F.when(F.size(why) > 0, why).otherwise(F.array(F.lit("UNSCORED_CANDIDATE_RETAINED"))).alias("why"), why_not.alias("why_not"), F.coalesce("tradeoffs", none).alias("tradeoffs"), doubts.alias("doubts"), F.array_sort(steps).alias("next_steps"),
+    )
+
+
+def relaxation_failures(converged: Column, force: Column, distance: Column, volume_change: Column, stress: Column, same_atoms: Column, valid: Column, limits: dict[str, float]) -> Column:
+    """Sorted codes of what a relaxation broke (none: passed); limits: force, distance, volume_change, stress. Missing values fail."""
+    fails = lambda c: F.coalesce(c, F.lit(True))
+    return reasons(
+        optimizer_not_converged=fails(~converged),
+        final_force_above_target=fails(force > limits["force"]),
+        minimum_distance_below_safety_threshold=fails(distance < limits["distance"]),
+        volume_change_above_allowed_limit=fails(F.abs(volume_change) > limits["volume_change"]),
+        final_stress_unavailable=stress.isNull(),
+        final_stress_above_allowed_limit=F.coalesce(stress > limits["stress"], F.lit(False)),
+        relaxed_atom_count_changed=fails(~same_atoms),
+        invalid_relaxed_geometry=fails(~valid),
+    )

@@ -156,3 +156,31 @@ def criterion_assessment(t):
 @query(f"""WITH {JUDGED} SELECT j.candidate_id, j.role_id, j.criterion_id, j.observation_id, j.ok AND w.scopes = 1 AS accepted FROM judged j JOIN whole w USING (candidate_id, role_id, criterion_id)""")
 def criterion_verdicts(t):
     return assessed(t)[1]
+
+
+@query(f"""WITH {JUDGED}, per AS (SELECT candidate_id, role_id, count(*) AS n, count(CASE WHEN status = 'available' THEN 1 END) AS a, count(CASE WHEN status = 'conflicting' THEN 1 END) AS c, count(CASE WHEN status = 'incomparable' THEN 1 END) AS i,
+  count(CASE WHEN status = 'unknown' THEN 1 END) AS u, array_to_string(list_sort(list(CASE WHEN status <> 'available' THEN criterion_id || ':' || status END) FILTER (status <> 'available')), ';') AS tradeoffs,
+  coalesce(list(CASE WHEN status <> 'available' THEN criterion_id || ':run_named_validator' END) FILTER (status <> 'available'), []) AS steps,
+  max(CASE WHEN low IS NOT NULL AND status = 'available' THEN CASE WHEN hi < low OR lo > high THEN 'fail' WHEN lo < low OR hi > high THEN 'unknown' ELSE 'pass' END WHEN low IS NOT NULL THEN 'unknown' END) AS gate FROM statuses GROUP BY 1, 2),
+f AS (SELECT per.*, o_orderpriority, o_totalprice, o_orderstatus, CASE WHEN o_totalprice > 300000 THEN 1 WHEN o_totalprice > 100000 THEN 3 END AS front FROM per JOIN {{orders}} ON o_orderkey = candidate_id)
+SELECT candidate_id, role_id, floor(100.0 * a / n * 10000 + 0.5) / 10000 AS completeness, CASE WHEN c > 0 THEN 'conflicting' WHEN a < n THEN 'unknown' ELSE 'bounded' END AS uncertainty,
+  array_to_string(list_sort(list_filter([CASE WHEN o_orderstatus = 'P' THEN 'SOURCE_BACKED_RETRIEVAL_SEED' END, CASE WHEN front = 1 THEN 'ROBUST_NON_DOMINATED_WITHIN_ROLE_AND_CONDITION' END, CASE WHEN front > 1 THEN 'PARETO_FRONT_' || front END,
+    'OPERATOR_WEIGHTED_POOL_RELATIVE_SCORE_AVAILABLE', CASE WHEN gate = 'pass' THEN 'ALL_CONFIGURED_HARD_GATES_PASS' END, CASE WHEN a > 0 THEN 'NAMED_VALIDATOR_EVIDENCE_AVAILABLE' END,
+    CASE WHEN o_orderpriority = '1-URGENT' THEN 'EXTERNAL_DATABASE_SCOPED_NO_MATCH_RETAINED_AS_CONTEXT_ONLY' END], lambda x: x IS NOT NULL)), ';') AS why,
+  array_to_string(list_sort(list_filter([CASE WHEN front > 1 THEN 'DOMINATED_WITHIN_MATCHED_ROLE_AND_CONDITION' END, CASE WHEN gate = 'fail' THEN 'AT_LEAST_ONE_CONFIGURED_HARD_GATE_FAILS' END, CASE WHEN gate = 'unknown' THEN 'HARD_GATE_UNCERTAINTY_OR_MISSING_EVIDENCE' END,
+    CASE WHEN a = 0 THEN 'NO_CONDITION_COMPLETE_PERFORMANCE_EVIDENCE' END, CASE WHEN o_totalprice > 450000 THEN 'HIGH_MODEL_DISAGREEMENT' END], lambda x: x IS NOT NULL)), ';') AS why_not,
+  coalesce(tradeoffs, '') AS tradeoffs,
+  array_to_string(list_sort(list_filter([CASE WHEN u > 0 THEN 'criterion_without_named_validator' END, CASE WHEN i > 0 THEN 'evidence_incomparable' END, CASE WHEN c > 0 THEN 'validators_disagree' END, CASE WHEN o_totalprice > 450000 THEN 'models_disagree' END,
+    CASE WHEN o_orderpriority = '5-LOW' THEN 'identity_unresolved' END, CASE WHEN o_orderpriority = '1-URGENT' THEN 'no_match_is_no_proof' END], lambda x: x IS NOT NULL)), ';') AS doubts,
+  array_to_string(list_sort(list_concat(steps, list_filter([CASE WHEN o_totalprice > 450000 THEN 'resolve_model_disagreement' END, CASE WHEN o_orderstatus = 'P' THEN 'close_retrieval_seed' END], lambda x: x IS NOT NULL))), ';') AS next_steps FROM f""")
+def explanations(t):
+    """Codes that explain each order's part types: what speaks for and against them, what is open, and what to do next."""
+    found = assessed(t)[0]
+    gates = found.where("criterion_id LIKE '%/lot'").groupBy("candidate_id", "role_id").agg(F.max("hard_gate").alias("hard_gate"))
+    of = t.orders.select(
+        F.col("o_orderkey").alias("candidate_id"), F.when(F.col("o_orderstatus") == "P", "retrieval_seed").alias("origin"), F.when(F.col("o_totalprice") > 300000, 1).when(F.col("o_totalprice") > 100000, 3).alias("front"),
+        F.col("o_totalprice").alias("score"), F.when(F.col("o_totalprice") > 450000, "high").alias("model_disagreement"),
+        F.when(F.col("o_orderpriority") == "1-URGENT", "database_scoped_no_match").when(F.col("o_orderpriority") == "5-LOW", "unknown").alias("identity_status"),
+    )
+    out = assessment.explain(gates.join(of, "candidate_id"), found)
+    return out.withColumn("completeness", S.rounded(F.col("completeness"))).withColumns({c: S.joined(F.col(c)) for c in ("why", "why_not", "tradeoffs", "doubts", "next_steps")})

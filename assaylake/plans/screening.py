@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from assaylake.functions import scalars as S
+from assaylake.operators import assessment
 from assaylake.operators import screening as O
 from assaylake.plans.registry import query
 
@@ -135,3 +136,19 @@ def force_metrics(t):
     pairs = rows.join(rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("f").alias("g")), "vec_id")
     made = {"component": S.component_rmse, "vector": S.vector_rms, "largest": S.largest_vector_gap}
     return pairs.select("vec_id", *[S.rounded(f(F.col("f"), F.col("g"))).alias(n) for n, f in made.items()])
+
+
+LIMITS = {"force": 0.07, "distance": 3.0, "volume_change": 0.2, "stress": 0.06}
+
+
+@query("""SELECT p_partkey, CAST(n AS BIGINT) AS n_lines, array_to_string(list_sort(list_filter([CASE WHEN NOT coalesce(n >= 20, false) THEN 'optimizer_not_converged' END, CASE WHEN coalesce(force > 0.07, true) THEN 'final_force_above_target' END,
+  CASE WHEN coalesce(distance < 3, true) THEN 'minimum_distance_below_safety_threshold' END, CASE WHEN coalesce(abs(change) > 0.2, true) THEN 'volume_change_above_allowed_limit' END, CASE WHEN stress IS NULL THEN 'final_stress_unavailable' END,
+  CASE WHEN stress > 0.06 THEN 'final_stress_above_allowed_limit' END, CASE WHEN p_size = 13 THEN 'relaxed_atom_count_changed' END, CASE WHEN p_retailprice <= 901 THEN 'invalid_relaxed_geometry' END], lambda x: x IS NOT NULL)), ';') AS failures
+FROM (SELECT p_partkey, p_size, p_retailprice, n, force, distance, (p_size - 25) / 50.0 AS change, CASE WHEN p_size < 45 THEN stress END AS stress FROM {part} LEFT JOIN (
+  SELECT l_partkey, count(*) AS n, max(l_discount) AS force, min(l_quantity) AS distance, max(l_tax) AS stress FROM {lineitem} GROUP BY 1) ON l_partkey = p_partkey)""")
+def relaxation_gate(t):
+    """The whole strict gate on parts: convergence, force, distance, volume, stress, atoms and geometry."""
+    ends = t.lineitem.groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count("*").alias("n"), F.max("l_discount").alias("force"), F.min("l_quantity").alias("distance"), F.max("l_tax").alias("stress"))
+    rows = t.part.join(ends, "p_partkey", "left")
+    why = assessment.relaxation_failures(F.col("n") >= 20, F.col("force"), F.col("distance"), (F.col("p_size") - 25) / 50.0, F.when(F.col("p_size") < 45, F.col("stress")), F.col("p_size") != 13, F.col("p_retailprice") > 901, LIMITS)
+    return rows.select("p_partkey", F.col("n").alias("n_lines"), S.joined(why).alias("failures"))
