@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assaylake.functions.scalars import reasons
+from assaylake.session import materialize
 
 #: What a request and its artifact must have equal, beside the scope, and the reason where no artifact of the scope has it.
 EXACT = {
@@ -46,8 +47,10 @@ def assess_proxies(requests: DataFrame, artifacts: DataFrame) -> DataFrame:
     Requests that differ in value alone are matched once; repeated requests keep their rows.
     """
     what = F.struct(*KEYS, "elements", "composition")
+    # Both are read many times below: written once, so that their plans aren't repeated in each join.
+    artifacts = materialize(artifacts.select(*KEYS, "artifact_id", "allowed_elements", "allowed_compositions", "quantile", "coverage"), "artifacts")
     requests = requests.select("candidate_id", "value", *KEYS, "elements", "composition")
-    signed = requests.withColumn("_sid", F.sha2(F.to_json(what, {"ignoreNullFields": "false"}), 256))
+    signed = materialize(requests.withColumn("_sid", F.sha2(F.to_json(what, {"ignoreNullFields": "false"}), 256)), "requests")
     probes = signed.select("_sid", *KEYS, "elements", "composition").dropDuplicates(["_sid"])
     free = F.coalesce(F.size("allowed_compositions") <= 0, F.lit(True))
     fits = free | F.coalesce(F.array_contains("allowed_compositions", F.col("composition")), F.lit(False))
@@ -61,6 +64,7 @@ def assess_proxies(requests: DataFrame, artifacts: DataFrame) -> DataFrame:
     flagged = probes
     for name, (on, part) in checks.items():
         flagged = flagged.join(has(f"_{name}", on, part), on, "left")
+    flagged = materialize(flagged, "flagged")
     listed = artifacts.select("scope_id", F.explode("allowed_compositions").alias("composition"))
     flagged = flagged.join(has("_listed", ["scope_id", "composition"], listed), ["scope_id", "composition"], "left").join(has("_free", ["scope_id"], artifacts.where(free)), "scope_id", "left")
     inside = set_containment(probes, artifacts.select("scope_id", "artifact_id", "allowed_elements").distinct(), ["scope_id"], "_sid", "elements", "artifact_id", "allowed_elements")
