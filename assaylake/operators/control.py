@@ -10,9 +10,12 @@ from operator import and_
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from assaylake.session import ship_package
+
 
 @dataclass(frozen=True)
 class Limits:
@@ -36,6 +39,7 @@ class Limits:
 
 START = {"temperature": 1.0, "alpha": 0.5, "mutation": 0.2, "diversity": 0.3, "previous_collapse": None, "recent": ()}
 BLOCK = 4096  # members of a set that are compared at once
+OBSERVED = ("objective_improvement", "structural_collapse_rate", "failed")  # of an observation that rewards an arm
 CONTROLS = ("alpha", "temperature", "mutation", "diversity")
 
 
@@ -119,42 +123,60 @@ class Arms:
         return arm
 
 
-def allocate(part: pd.DataFrame, arms: Arms, order: str, worker: str | None) -> list[tuple[int, object, int, float]]:
-    """Rows (round, worker, arm, its weight after the observation) of one bundle.
+def allocated(rounds: list, names: list, improvements: list, collapses: list, failures: list, arms: Arms) -> list[tuple[int, object, int, float]]:
+    """Rows (round, worker, arm, its weight after the observation) of one bundle, from the columns of its observations.
 
     All workers of a round choose before any of it is rewarded, in the order of their names, and a
-    worker that asks again in a round keeps its arm.
+    worker that asks again in a round keeps its arm. Observations of an unknown round aren't taken.
     """
-    rows = []
-    for at, together in part.groupby(order, sort=True):
+    rows, at, count = [], 0, len(rounds)
+    order = [i for i in range(count) if rounds[i] is not None and rounds[i] == rounds[i]]
+    order.sort(key=lambda i: (rounds[i], names[i]))
+    while at < len(order):
+        end, now = at, rounds[order[at]]
         chosen: dict = {}
-        names = [getattr(x, worker) if worker else 0 for x in together.itertuples()]
-        for name in sorted(set(names)):
-            chosen[name] = arms.choose()
-        for name, x in sorted(zip(names, together.itertuples(), strict=True), key=lambda p: (p[0], p[1].Index)):
-            arm = chosen[name]
-            arms.weights[arm] = reward(arms.weights[arm], x.objective_improvement, x.structural_collapse_rate, bool(x.failed))
-            rows.append((int(at), name, arm, round(arms.weights[arm], 9)))
+        while end < len(order) and rounds[order[end]] == now:
+            if names[order[end]] not in chosen:
+                chosen[names[order[end]]] = arms.choose()
+            end += 1
+        for i in order[at:end]:
+            arm = chosen[names[i]]
+            arms.weights[arm] = reward(arms.weights[arm], improvements[i], collapses[i], bool(failures[i]))
+            rows.append((int(now), names[i], arm, round(arms.weights[arm], 9)))
+        at = end
     return rows
 
 
+def allocate(part: pd.DataFrame, arms: Arms, order: str, worker: str | None) -> list[tuple[int, object, int, float]]:
+    """allocated() over the rows of a frame."""
+    names = part[worker].tolist() if worker else [0] * len(part)
+    return allocated(part[order].tolist(), names, *(part[c].tolist() for c in OBSERVED), arms)
+
+
 def allocation_trace(observations: DataFrame, bundle: str, priorities: list[float], order: str = "round_index", worker: str | None = None, most: int = 1_000_000) -> DataFrame:
     """Upper-confidence allocation of evidence branches per bundle, each observation rewarding the arm that was chosen.
 
     priorities are the arms' first weights. With a worker column several workers share one state. A
     bundle of more than ``most`` observations is an error. failed is a column of the observations.
     """
-    names = [bundle, order, *([worker] if worker else []), "arm", "weight"]
-
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part = bounded([part], most, "bundle").sort_values([order, *([worker] if worker else [])], kind="stable", ignore_index=True)
-        found = allocate(part, Arms(list(priorities), [0] * len(priorities)), order, worker)
-        rows = [(part[bundle].iloc[0], at, *([name] if worker else []), arm, weight) for at, name, arm, weight in found]
-        return pd.DataFrame(rows, columns=names)
+    ship_package(observations.sparkSession)
+    keys = [bundle, order, *([worker] if worker else [])]
+    needed = observations.select(*keys, F.col("objective_improvement"), F.coalesce("structural_collapse_rate", F.lit(float("nan"))).alias("structural_collapse_rate"), "failed")
+
+    def fold(part: pa.Table) -> pa.Table:
+        if part.num_rows > most:
+            raise ValueError(f"a bundle has more than {most} observations")
+        names = part[worker].to_pylist() if worker else [0] * part.num_rows
+        found = allocated(part[order].to_pylist(), names, *(part[c].to_pylist() for c in OBSERVED), Arms(list(priorities), [0] * len(priorities)))
+        at, by, arm, weight = zip(*found, strict=True) if found else ((), (), (), ())
+        columns = {bundle: pa.array(part[bundle][:1].to_pylist() * len(at), part.schema.field(bundle).type), order: pa.array(at, pa.int64())}
+        if worker:
+            columns[worker] = pa.array(by, part.schema.field(worker).type)
+        return pa.table({**columns, "arm": pa.array(arm, pa.int32()), "weight": pa.array(weight, pa.float64())})
 
     of = lambda c: f"{c} {observations.schema[c].dataType.simpleString()}"
     schema = ", ".join([of(bundle), f"{order} long", *([of(worker)] if worker else []), "arm int", "weight double"])
-    return observations.groupBy(bundle).applyInPandas(fold, schema)
+    return needed.groupBy(bundle).applyInArrow(fold, schema)
 
 
 def trend(observations: DataFrame, branch: str, order: str, improvement: str, collapse: str, limits: Limits = Limits()) -> DataFrame:
