@@ -5,7 +5,7 @@ import time
 
 import pandas as pd
 
-from assaylake.operators import control
+from assaylake.operators import control, routing
 
 
 def test_allocation_of_many_rounds_is_one_pass():
@@ -15,3 +15,23 @@ def test_allocation_of_many_rounds_is_one_pass():
     began = time.process_time()
     rows = control.allocate(part, control.Arms([0.9, 0.8], [0, 0]), "round_index", None)
     assert len(rows) == n and time.process_time() - began < 8
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_routes_are_distinct_without_a_shuffle_of_pairs(spark, monkeypatch):
+    """Repeated candidates and routes, an empty type list, nulls, and blocks of two members."""
+    monkeypatch.setattr(routing, "CLASS_BLOCK", 2)
+    rng = random.Random(5)
+    kinds = lambda: rng.choice([None, [], ["a"], ["b", "a"], ["a", "a", None], ["c"]])
+    shown = [(rng.randrange(25), rng.choice(["x", "y", None]), kinds()) for _ in range(40)]
+    asked = [(rng.randrange(8), rng.choice(["m", "n"]), rng.choice(["s", None]), rng.choice([None, [], ["x"], ["x", "y"]]), kinds()) for _ in range(40)]
+    want = {(c, e, m, f) for c, t, ks in shown for e, m, f, ts, ls in asked if ts is not None and (not ts or t in ts and t is not None) and {k for k in ks or [] if k} & {k for k in ls or [] if k}}
+    candidates = spark.createDataFrame(shown, "candidate_id long, candidate_type string, kinds array<string>")
+    routes = spark.createDataFrame(asked, "expert_id long, modality string, feature_space string, types array<string>, kinds array<string>")
+    out = routing.expert_routes(candidates, routes)
+    got = list(map(tuple, out.collect()))
+    assert set(got) == want and len(got) == len(want) > 50
+    assert not plan(out).startswith("Aggregate")
