@@ -35,3 +35,20 @@ def test_routes_are_distinct_without_a_shuffle_of_pairs(spark, monkeypatch):
     got = list(map(tuple, out.collect()))
     assert set(got) == want and len(got) == len(want) > 50
     assert not plan(out).startswith("Aggregate")
+
+
+def test_receipts_of_one_field_are_not_one_task(spark):
+    """Policies are sent to the receipts: a join by field put all receipts of a field into one task."""
+    text = "field string, property_name string, validator_id string, policy_version string, unit string, methods array<string>, required_conditions array<string>, required_gates array<string>"
+    policies = spark.createDataFrame([("f", "p", "v", "1", "u", ["m"], [], [])], text)
+    receipts = spark.range(20).selectExpr(
+        "id AS receipt_id", "'f' AS field", "'p' AS property_name", "'v' AS validator_id", "'1' AS policy_version", "if(id = 3, 'w', 'u') AS unit", "'m' AS method_id", "cast(array() AS array<string>) AS condition_keys",
+        "'completed' AS execution_status", "0 AS exit_code", "'success' AS parser_status", "true AS qc_passed", "1 AS n_outputs", "1 AS n_convergence", "'h' AS output_sha256",
+    )
+    gates = spark.createDataFrame([], "receipt_id long, gate string, status string")
+    usable = routing.usable_receipts(receipts, policies, gates)
+    observed = receipts.selectExpr("receipt_id", "1 AS candidate_id", "field", "property_name", "validator_id", "unit", "true AS conditions_match", "1D AS value")
+    profiles = spark.createDataFrame([("f", "p", ["v"], "u")], "field string, property_name string, validators array<string>, unit string")
+    out = routing.field_results(observed, usable, profiles)
+    assert "rightHint=(strategy=broadcast)" in plan(usable) and plan(out).count("strategy=broadcast") == 2
+    assert tuple(out.select("n_accepted", "n_rejected", "status").first()) == (19, 1, "available")
