@@ -105,27 +105,51 @@ PAIRS = """{part} a JOIN {part} b ON a.p_brand = b.p_brand AND a.p_type = b.p_ty
 LATERAL (SELECT abs(a.p_retailprice - b.p_retailprice) / ((a.p_retailprice + b.p_retailprice) / 2) AS v, abs(a.p_size - b.p_size) / 50.0 AS l, CAST(abs(a.p_size - b.p_size) AS DOUBLE) AS g) x"""
 
 
-def near_pairs(t):
-    """Pairs of one brand and type that aren't distinct: an angle gap of at most 5 bounds them, so it is a key of the join."""
-    side = lambda n: t.part.select(F.col("p_partkey").alias(n), "p_brand", "p_type", F.col("p_retailprice").alias(f"v{n}"), F.col("p_size").alias(f"s{n}"), F.floor(F.col("p_size") / 6).alias("cell"))
-    pairs = side("a").withColumn("cell", F.explode(F.sequence(F.col("cell") - 1, F.col("cell") + 1))).join(side("b"), ["p_brand", "p_type", "cell"]).where("a < b")
-    volume = F.abs(F.col("va") - F.col("vb")) / ((F.col("va") + F.col("vb")) / 2)
-    gap = F.abs(F.col("sa") - F.col("sb"))
-    return pairs.select("p_brand", "p_type", "a", "b", O.pair_relation(volume, gap / 50.0, gap.cast("double")).alias("relation")).where("relation <> 'distinct'")
+NEAR_BLOCK = 2048  # rows of one brand, type and size that a task meets with
+
+
+def near_pairs(items, key, *more):
+    """Pairs of items (p_brand, p_type, p_size, p_retailprice and more) of one brand and type that aren't distinct.
+
+    An angle gap of at most 5 bounds them, so an item meets the items of its own size, if their keys are
+    greater, and of the next five; each pair is made once. A size with many items is met in blocks.
+    """
+    cell = ["p_brand", "p_type", "p_size"]
+    blocks = items.groupBy(*cell).agg(F.ceil(F.count("*") / F.lit(NEAR_BLOCK)).cast("int").alias("_blocks"))
+    side = lambda n: [key.alias(n), F.col("p_retailprice").alias(f"v{n}"), *[F.col(c).alias(f"{c}_{n}") for c in more]]
+    left = items.select("p_brand", "p_type", F.col("p_size").alias("_size"), *side("a")).withColumn("p_size", F.explode(F.sequence("_size", F.col("_size") + 5))).join(blocks, cell)
+    left = left.withColumn("_block", F.pmod(F.xxhash64("a"), F.col("_blocks")).cast("int")).drop("_blocks")
+    right = items.join(blocks, cell).select(*cell, *side("b"), F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block"))
+    parts, on = 8 * items.sparkSession.sparkContext.defaultParallelism, [*cell, "_block"]
+    pairs = left.repartition(parts, *on).join(right.repartition(parts, *on), on).where((F.col("_size") < F.col("p_size")) | (F.col("a") < F.col("b")))
+    gap = F.col("p_size") - F.col("_size")
+    return pairs.withColumn("relation", related(F.col("va"), F.col("vb"), gap)).where("relation <> 'distinct'")
+
+
+def related(one, other, gap):
+    """Relation of two parts by their prices as volumes and the gap of their sizes as that of lattice and angle."""
+    return O.pair_relation(F.abs(one - other) / ((one + other) / 2), gap / 50.0, gap.cast("double"))
 
 
 @query(f"SELECT a.p_partkey AS a, b.p_partkey AS b, {RELATION} AS relation FROM {PAIRS} WHERE {RELATION} <> 'distinct'")
 def pair_relation(t):
-    return near_pairs(t).select("a", "b", "relation")
+    return near_pairs(t.part, F.col("p_partkey")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "relation")
 
 
 @query(f"SELECT a.p_brand, a.p_type, {RELATION} AS relation, count(*) AS n_pairs FROM {PAIRS} GROUP BY 1, 2, 3")
 def pair_counts(t):
-    """All pairs of a brand and type by relation; distinct ones are counted, not made."""
-    near = near_pairs(t).groupBy("p_brand", "p_type", "relation").agg(F.count("*").alias("n_pairs"))
-    of = near.groupBy("p_brand", "p_type").agg(F.sum("n_pairs").alias("near"))
-    every = t.part.groupBy("p_brand", "p_type").agg(F.expr("count(*) * (count(*) - 1) div 2").alias("n"))
-    far = every.join(of, ["p_brand", "p_type"], "left").select("p_brand", "p_type", F.lit("distinct").alias("relation"), (F.col("n") - F.coalesce("near", F.lit(0))).alias("n_pairs"))
+    """All pairs of a brand and type by relation, from counts of parts of one size and price; distinct pairs are counted, not made."""
+    by = ["p_brand", "p_type"]
+    parts = t.part.dropna(subset=by)
+    classes = parts.groupBy(*by, "p_size", "p_retailprice").agg(F.count("*").alias("n"))
+    # A struct orders a missing price too.
+    across = near_pairs(classes, F.struct("p_retailprice"), "n").select(*by, "relation", (F.col("n_a") * F.col("n_b")).alias("n"))
+    price = F.col("p_retailprice")
+    within = classes.where("n > 1").select(*by, related(price, price, F.col("p_size") - F.col("p_size")).alias("relation"), F.expr("n * (n - 1) div 2").alias("n")).where("relation <> 'distinct'")
+    near = across.unionByName(within).groupBy(*by, "relation").agg(F.sum("n").alias("n_pairs"))
+    of = near.groupBy(*by).agg(F.sum("n_pairs").alias("near"))
+    every = parts.groupBy(*by).agg(F.expr("count(*) * (count(*) - 1) div 2").alias("n"))
+    far = every.join(of, by, "left").select(*by, F.lit("distinct").alias("relation"), (F.col("n") - F.coalesce("near", F.lit(0))).alias("n_pairs"))
     return near.unionByName(far.where("n_pairs > 0"))
 
 

@@ -3,9 +3,13 @@
 import random
 import time
 
+import numpy as np
 import pandas as pd
+import pytest
+from pyspark.sql import functions as F
 
-from assaylake.operators import control, routing
+from assaylake.operators import control, fronts, routing
+from assaylake.plans import novelty
 
 
 def test_allocation_of_many_rounds_is_one_pass():
@@ -52,3 +56,28 @@ def test_receipts_of_one_field_are_not_one_task(spark):
     out = routing.field_results(observed, usable, profiles)
     assert "rightHint=(strategy=broadcast)" in plan(usable) and plan(out).count("strategy=broadcast") == 2
     assert tuple(out.select("n_accepted", "n_rejected", "status").first()) == (19, 1, "available")
+
+
+@pytest.mark.parametrize("block", [2048, 3])
+def test_near_pairs_are_made_once_and_counted_by_class(spark, monkeypatch, block):
+    monkeypatch.setattr(novelty, "NEAR_BLOCK", block)
+    rng = random.Random(7)
+    parts = [(i, rng.choice(["x", "y", None]), "t", rng.choice([1, 2, 3, 7, 8, 30, None]), rng.choice([100.0, 101.0, 103.0, 150.0, None])) for i in range(120)]
+
+    class Tables:
+        part = spark.createDataFrame(parts, "p_partkey long, p_brand string, p_type string, p_size int, p_retailprice double")
+
+    want, counts = set(), {}
+    for a, brand, _, sa, va in parts:
+        for b, other, _, sb, vb in parts:
+            if a < b and brand and brand == other:
+                gap = None if sa is None or sb is None else abs(sa - sb)
+                close = va is not None and vb is not None and abs(va - vb) / ((va + vb) / 2) <= 0.03
+                relation = "distinct" if gap is None or gap > 5 else "strict" if close and gap <= 1 else "ambiguous" if close else "scaled"
+                counts[brand, "t", relation] = counts.get((brand, "t", relation), 0) + 1
+                want |= {(a, b, relation)} - {(a, b, "distinct")}
+    pairs = novelty.near_pairs(Tables.part, F.col("p_partkey")).select(F.least("a", "b"), F.greatest("a", "b"), "relation").collect()
+    assert set(map(tuple, pairs)) == want and len(pairs) == len(want)
+    # 120 parts of 35 sizes and prices: the classes are paired, not the parts
+    got = novelty.pair_counts(Tables)
+    assert {(r.p_brand, r.p_type, r.relation): r.n_pairs for r in got.collect()} == counts
