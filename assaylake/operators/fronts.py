@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from assaylake.session import materialize, ship_package
 
 BLOCK = 8192  # rows of a block of a large group
+SMALL, BIN = 64, 8192  # rows of a small group, and about how many rows of small groups are numbered at once
 MOST = 32_768  # rows of a group that one task numbers
 STEP, TILE = 256, 8192  # rows that are numbered at once, and earlier ones that they are compared with at once
 
@@ -75,17 +76,41 @@ def chain_levels(worst: np.ndarray, best: np.ndarray) -> np.ndarray:
     return out[back.reshape(-1)]
 
 
-def _numbering(axes: int, name: str):
+def small_levels(ids: np.ndarray, worst: np.ndarray, best: np.ndarray) -> np.ndarray:
+    """chain_levels() of many small groups (ids) at once: the i-th rows of all groups meet the rows before them."""
+    n, axes = worst.shape
+    ranks = [np.unique(np.concatenate([worst[:, k], best[:, k]]), return_inverse=True)[1].astype(np.int32) for k in range(axes)]
+    order = np.lexsort([*[-r[:n] for r in ranks[::-1]], ids])
+    starts = np.concatenate([[True], ids[order][1:] != ids[order][:-1]])
+    of = np.cumsum(starts) - 1
+    place = np.arange(n) - np.flatnonzero(starts)[of]
+    most = int(place.max()) + 1
+    low, high = np.full((axes, of[-1] + 1, most), -1, np.int32), np.zeros((axes, of[-1] + 1, most), np.int32)
+    for k, r in enumerate(ranks):
+        low[k, of, place], high[k, of, place] = r[:n][order], r[n:][order]
+    low_sum, high_sum = low.sum(0, dtype=np.int64), high.sum(0, dtype=np.int64)
+    level = np.ones((of[-1] + 1, most), np.int64)
+    for i in range(1, most):
+        beats = low_sum[:, :i] > high_sum[:, i, None]
+        for k in range(axes):
+            beats &= low[k, :, :i] >= high[k, :, i, None]
+        level[:, i] = (level[:, :i] * beats).max(1) + 1
+    out = np.zeros(n, np.int64)
+    out[order] = level[of, place]
+    return out
+
+
+def _numbering(axes: int, name: str, ids: str | None):
     def number(part: pa.Table) -> pa.Table:
-        value = lambda kind: np.stack([part[f"_{kind}{k}"].to_numpy() for k in range(axes)], axis=1)
-        return part.append_column(name, pa.array(chain_levels(value("w"), value("b"))))
+        worst, best = (np.stack([part[f"_{kind}{k}"].to_numpy() for k in range(axes)], axis=1) for kind in "wb")
+        return part.append_column(name, pa.array(small_levels(part[ids].to_numpy(), worst, best) if ids else chain_levels(worst, best)))
 
     return number
 
 
-def _numbered(rows: DataFrame, keys: list[str], axes: int, name: str) -> DataFrame:
+def _numbered(rows: DataFrame, keys: list[str], axes: int, name: str, ids: str | None = None) -> DataFrame:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.groupBy(*keys).applyInArrow(_numbering(axes, name), f"{schema}, `{name}` long")
+    return rows.groupBy(*keys).applyInArrow(_numbering(axes, name, ids), f"{schema}, `{name}` long")
 
 
 def _one_front(left: DataFrame, axes: int) -> DataFrame:
@@ -102,7 +127,7 @@ def _one_front(left: DataFrame, axes: int) -> DataFrame:
 
 
 def _large_fronts(rest: DataFrame, axes: int) -> list[DataFrame]:
-    """(_e, front) tables of groups of more than MOST rows."""
+    """(_r, front) tables of groups of more than MOST rows."""
     found, by_number = [], Window.partitionBy("_g").orderBy("_n").rowsBetween(Window.unboundedPreceding, 0)
     columns = rest.columns
     rest = rest.withColumn("_base", F.lit(0).cast("long"))
@@ -114,12 +139,12 @@ def _large_fronts(rest: DataFrame, axes: int) -> list[DataFrame]:
         fit = materialize(upto.groupBy("_g").agg(F.max(F.when(F.col("_c") <= MOST, F.col("_n"))).alias("_k")), "fit")
         near = local.join(fit, "_g").where(F.col("_n") <= F.coalesce("_k", F.lit(1)))
         fitting = near.where("_k is not null").drop("_n")
-        top = _numbered(fitting, ["_g"], axes, "_f").where("_f <= _k").select("_e", "_r", (F.col("_base") + F.col("_f")).alias("front"))
+        top = _numbered(fitting, ["_g"], axes, "_f").where("_f <= _k").select("_r", (F.col("_base") + F.col("_f")).alias("front"))
         if not fit.where("_k is null").isEmpty():
             one = _one_front(near.where("_k is null").select(*columns, "_base"), axes)
-            top = top.unionByName(one.select("_e", "_r", (F.col("_base") + 1).alias("front")))
+            top = top.unionByName(one.select("_r", (F.col("_base") + 1).alias("front")))
         top = materialize(top, "front")
-        found.append(top.select("_e", "front"))
+        found.append(top)
         steps = fit.select("_g", F.coalesce("_k", F.lit(1)).alias("_done"))
         left = local.drop("_n").join(top.select("_r"), "_r", "left_anti").join(steps, "_g")
         rest = materialize(left.withColumn("_base", F.col("_base") + F.col("_done")).select(*columns, "_base"), "rest")
@@ -134,12 +159,22 @@ def all_fronts(rows: DataFrame, entity: str, group: str, axes: list[tuple[Column
     """
     ship_package(rows.sparkSession)
     values = {f"_{x}{k}": c.cast("double") for k, pair in enumerate(axes) for x, c in zip("wb", pair, strict=True)}
-    # A group in a struct is never null in joins; rows are told apart by a number that is written once.
+    # A group in a struct is never null in joins; distinct values are told apart by a number that is written once.
     known = rows.select(F.col(entity).alias("_e"), F.struct(F.col(group).alias("g")).alias("_g"), *[c.alias(n) for n, c in values.items()]).dropna(subset=list(values))
-    known = materialize(known.withColumn("_r", F.monotonically_increasing_id()), "known")
-    sizes = known.groupBy("_g").agg((F.count("*") > MOST).alias("_large"))
-    sized = known.join(sizes, "_g")
-    out = _numbered(sized.where("not _large").drop("_large"), ["_g"], len(axes), "front").select("_e", "front")
-    if not sizes.where("_large").isEmpty():
-        out = reduce(DataFrame.unionByName, _large_fronts(sized.where("_large").drop("_large"), len(axes)), out)
-    return out.withColumnRenamed("_e", entity)
+    known = materialize(known, "known")
+    same = ["_g", *values]
+    classes = materialize(known.select(*same).distinct().withColumn("_r", F.monotonically_increasing_id()), "classes")
+    few = min(SMALL, MOST)
+    sizes = classes.groupBy("_g").agg(F.count("*").alias("_n"), F.min("_r").alias("_id"))
+    count = sizes.agg(F.coalesce(F.sum(F.when(F.col("_n") <= few, F.col("_n"))), F.lit(0)).alias("small"), F.coalesce(F.max("_n"), F.lit(0)).alias("most")).first()
+    sized = classes.join(sizes, "_g")
+    bins = count.small // BIN + 1
+    small = sized.where(F.col("_n") <= few).select("_r", "_id", *values, F.pmod(F.xxhash64("_id"), F.lit(bins)).alias("_bin"))
+    parts = [_numbered(small, ["_bin"], len(axes), "front", "_id").select("_r", "front")]
+    if count.most > few:
+        middle = sized.where((F.col("_n") > few) & (F.col("_n") <= MOST)).select("_g", "_r", *values)
+        parts.append(_numbered(middle, ["_g"], len(axes), "front").select("_r", "front"))
+    if count.most > MOST:
+        parts += _large_fronts(sized.where(F.col("_n") > MOST).select("_g", "_r", *values), len(axes))
+    out = classes.join(reduce(DataFrame.unionByName, parts), "_r").drop("_r")
+    return known.join(out, same).select(F.col("_e").alias(entity), "front")

@@ -58,6 +58,27 @@ def test_receipts_of_one_field_are_not_one_task(spark):
     assert tuple(out.select("n_accepted", "n_rejected", "status").first()) == (19, 1, "available")
 
 
+def test_copies_are_one_value_of_a_front(spark, monkeypatch):
+    """300 copies of 4 values in one group: no group is large."""
+    monkeypatch.setattr(fronts, "SMALL", 2)
+    monkeypatch.setattr(fronts, "MOST", 50)
+    monkeypatch.setattr(fronts, "_large_fronts", lambda *a: pytest.fail("copies made a large group"))
+    rows = spark.range(300).selectExpr("id", "'g' AS g", "cast(id % 4 AS double) AS v")
+    got = fronts.all_fronts(rows, "id", "g", [(F.col("v"), F.col("v"))]).collect()
+    assert len(got) == 300 and all(r.front == 4 - r.id % 4 for r in got)
+
+
+@pytest.mark.parametrize("axes", [1, 2, 4])
+def test_small_groups_at_once_equal_one_by_one(axes):
+    rng = np.random.default_rng(axes)
+    ids = rng.integers(0, 40, 600)
+    worst = rng.integers(0, 6, (600, axes)).astype(float)
+    best = worst + rng.integers(0, 3, (600, axes))
+    got = fronts.small_levels(ids, worst, best)
+    for g in set(ids):
+        assert (got[ids == g] == fronts.chain_levels(worst[ids == g], best[ids == g])).all()
+
+
 @pytest.mark.parametrize("block", [2048, 3])
 def test_near_pairs_are_made_once_and_counted_by_class(spark, monkeypatch, block):
     monkeypatch.setattr(novelty, "NEAR_BLOCK", block)
