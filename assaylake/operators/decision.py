@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assaylake.operators.fronts import all_fronts
+from assaylake.session import materialize
 
 FRONT_BLOCK = 1 << 16  # rows of a group that are reduced at once before its fronts are counted
 
@@ -85,7 +86,7 @@ def robust_fronts(rows: DataFrame, entity: str, group: str, axes: list[tuple[str
     front is one more than the number of its group's levels above its best: a sort inside groups.
     """
     ends = [c for a in axes for c in a]
-    known = rows.select(entity, group, *ends).dropna(subset=ends)
+    known = materialize(rows.select(entity, group, *ends).dropna(subset=ends), "ends")  # read four times below
     if not known.where(reduce(or_, [F.col(w) > F.col(h) for w, h in axes])).isEmpty():
         raise ValueError("the worst value of a row is above its best")
     if len(axes) == 1:
