@@ -8,6 +8,7 @@ from assaylake.functions import scalars as S
 from assaylake.operators import assessment
 from assaylake.operators import screening as O
 from assaylake.plans.registry import query
+from assaylake.session import materialize
 
 AXES = ["e0_energy", "e1_energy", "e0_force", "e1_force"]
 ALIGNED = "CASE WHEN composition_key LIKE '%5' AND candidate_id % 13 = 0 THEN NULL ELSE composition_key END"
@@ -29,21 +30,23 @@ RANKED = f"""{RISK}, {CROWD}, ranked AS (SELECT candidate_id, composition_key, f
 ALL_RANKED = f"WITH RECURSIVE {FRONTS}, {RANKED}"
 
 
-def relative(t):
-    rows = t.b_screening.withColumn("alignment_id", F.expr(ALIGNED))
+def relative(t, screening=None):
+    rows = (t.b_screening if screening is None else screening).withColumn("alignment_id", F.expr(ALIGNED))
     return O.relative_energy(rows, "candidate_id", "composition_key", "e0_energy", "e1_energy", "alignment_id")
 
 
-def risks(t):
-    rows = t.b_screening.join(relative(t).drop("composition_key", "reasons"), "candidate_id")
+def risks(t, screening=None):
+    screening = t.b_screening if screening is None else screening
+    rows = screening.join(relative(t, screening).drop("composition_key", "reasons"), "candidate_id")
     gap = lambda a: F.abs(F.col(f"e0_{a}") - F.col(f"e1_{a}"))
     measures = {"energy": (F.col("energy_difference"), 100.0, 300.0), "rank": (F.col("rank_difference"), 10, 30), "force": (gap("force"), 0.01, 0.03), "stress": (gap("stress"), 0.01, 0.03)}
     return rows.withColumn("verdict", O.risk_class(measures, {"relative_energy_unavailable": F.col("status") == "unknown"}))
 
 
 def ranked(t):
-    rows = risks(t).select("candidate_id", "composition_key", *AXES, F.col("verdict.risk").alias("risk"), F.col("verdict.escalate").alias("escalate"))
-    fronts = O.pareto_fronts(t.b_screening, "candidate_id", "composition_key", AXES)
+    screening = materialize(t.b_screening, "screening")  # two aggregates of the lines, read three times below
+    rows = risks(t, screening).select("candidate_id", "composition_key", *AXES, F.col("verdict.risk").alias("risk"), F.col("verdict.escalate").alias("escalate"))
+    fronts = O.pareto_fronts(screening, "candidate_id", "composition_key", AXES)
     rows = O.crowding(rows.join(fronts, "candidate_id"), "candidate_id", ["composition_key", "front"], AXES)
     force = F.greatest("e0_force", "e1_force")
     rows = rows.withColumn("eligible", (F.col("e0_force") > 0) & ((force <= 0.095) | F.col("escalate")))
