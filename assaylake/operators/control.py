@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assaylake.session import ship_package
+from assaylake.session import materialize, ship_package
 
 
 @dataclass(frozen=True)
@@ -191,11 +191,31 @@ def trend(observations: DataFrame, branch: str, order: str, improvement: str, co
     return observations.select(branch, order, sustained.alias("sustained"), stagnant.alias("stagnant"), grew.alias("collapse_increased"), before.alias("previous_collapse"))
 
 
+def _cover_of_two(points: DataFrame, sizes: DataFrame, key: list[str], order: str, x: str, y: str) -> DataFrame:
+    """cover() on two axes: points are distinct and dealt into blocks of large sets."""
+    steps = points.select(*key, order).distinct().withColumn("_before", F.lag(order).over(Window.partitionBy(*key).orderBy(order)))
+    if not sizes.where("_blocks > 1").isEmpty():
+        earlier = Window.partitionBy(*key, order, "_block").orderBy(F.desc(x), F.desc(y)).rowsBetween(Window.unboundedPreceding, -1)
+        above = points.repartition(*key, order, "_block").withColumn("_above", F.max(y).over(earlier))
+        points = above.where(F.col("_above").isNull() | (F.col("_above") < F.col(y))).drop("_above")
+    own = points.select(*key, order, x, y, F.lit(True).alias("_new"))
+    after = steps.where("_before is not null").select(*key, F.col(order).alias("_next"), F.col("_before").alias(order))
+    old = points.join(after, [*key, order]).select(*key, F.col("_next").alias(order), x, y, F.lit(False).alias("_new"))
+    upto = Window.partitionBy(*key, order).orderBy(F.desc(x))  # with the rows of an equal first value
+    best = lambda new: F.max(F.when(F.col("_new") == new, F.col(y))).over(upto)
+    met = own.unionByName(old).withColumn("_best", F.when(F.col("_new"), best(False)).otherwise(best(True)))
+    covered = F.coalesce(F.col("_best") >= F.col(y), F.lit(False)).cast("int")
+    of = met.groupBy(*key, order).agg(F.min(F.when(~F.col("_new"), covered)).alias("_up"), F.min(F.when(F.col("_new"), covered)).alias("_down"))
+    return of.select(*key, order, (F.col("_up") - F.col("_down")).cast("long").alias("improvement"))
+
+
 def cover(rows: DataFrame, key: list[str], order: str, axes: list[str]) -> DataFrame:
     """key, order and improvement of each set over the one before: +1 if it covers that one and isn't covered by it, -1 the other way round, else 0.
 
     A set covers another if for each member of that one it has a member at least as good on all (maximised)
-    axes. On one axis the best members decide. On several, both sets are first reduced to the members that
+    axes. On one axis the best members decide. On two, the greatest second value among the other set's
+    members that are at least as good on the first says whether a member is covered: a running maximum,
+    after sets of more than BLOCK members are reduced in blocks. On more, both sets are first reduced to the members that
     no other one covers, by a pass over blocks and one over what they leave. The first set has null.
     """
     before = F.lag(order).over(Window.partitionBy(*key).orderBy(order))
@@ -204,8 +224,12 @@ def cover(rows: DataFrame, key: list[str], order: str, axes: list[str]) -> DataF
         last = F.lag("best").over(Window.partitionBy(*key).orderBy(order))
         return best.select(*key, order, F.signum(F.col("best") - last).cast("long").alias("improvement"))
     points = rows.select(*key, order, *axes).dropna(subset=axes).distinct()
+    if len(axes) == 2:
+        points = materialize(points, "points")
     sizes = points.groupBy(*key, order).agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("_blocks"))
     points = points.join(sizes, [*key, order]).withColumn("_block", F.pmod(F.xxhash64(*axes), F.col("_blocks"))).drop("_blocks")
+    if len(axes) == 2:
+        return _cover_of_two(points, sizes, key, order, *axes)
 
     def tops(part: pd.DataFrame) -> pd.DataFrame:
         x = part[axes].to_numpy(float)
