@@ -9,6 +9,7 @@ from assaylake.operators import calibration, exploration
 from assaylake.operators import evidence as E
 from assaylake.operators import selection as O
 from assaylake.plans.registry import query
+from assaylake.session import materialize
 
 POOL = """pool AS (SELECT p_partkey AS candidate_id, p_brand AS scope, -floor(p_retailprice * 100 + 0.5) / 100 AS price, CAST(p_size AS DOUBLE) AS size, p_type AS kind FROM {part})"""
 NORM = """norm AS (SELECT b.candidate_id, expert_id, property_name, p_brand AS scope, CASE WHEN hi > lo THEN (value - lo) / (hi - lo) ELSE 1.0 END AS nv FROM (
@@ -219,7 +220,9 @@ def calibration_scope(t):
     """Orders as requests: calibrated if one run of their priority, status and year covers all words and the type of their parts."""
     needed = {n: getattr(t, n) for n in ("orders", "lineitem", "part", "b_calibration")}
     same = {"reference_hash": F.lit("h"), "proxy_name": F.lit("price"), "unit": F.lit("USD")}
-    artifacts = t.spark.sql(f"WITH {IN_SPARK} SELECT * FROM artifacts", **needed).withColumns({**same, "coverage": F.lit(None).cast("double")})
-    asked = t.spark.sql(f"WITH {IN_SPARK} SELECT * FROM b_order", **needed).withColumns({**same, "candidate_id": F.col("o_orderkey"), "value": F.col("o_totalprice")})
+    orders = materialize(t.spark.sql(f"WITH {IN_SPARK} SELECT * FROM b_order", **needed), "orders")  # a join of three tables, read four times below
+    runs = f"b_order AS (SELECT * FROM {{b_order}}), {IN_SPARK[IN_SPARK.index('scored AS'):]}"
+    artifacts = t.spark.sql(f"WITH {runs} SELECT * FROM artifacts", b_order=orders, **needed).withColumns({**same, "coverage": F.lit(None).cast("double")})
+    asked = orders.withColumns({**same, "candidate_id": F.col("o_orderkey"), "value": F.col("o_totalprice")})
     found = calibration.assess_proxies(asked, artifacts)
     return found.select("candidate_id", "artifact_id", S.rounded(F.col("lower_bound")).alias("lower_bound"), S.rounded(F.col("upper_bound")).alias("upper_bound"), S.joined(F.col("reasons")).alias("reasons"))
