@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assaylake.functions import rules as R
+from assaylake.functions.sizes import few
 
 # Outcomes of a synthesis with the words that tell them, outcomes of the record types, other names of
 # outcomes, and the predicate of each outcome.
@@ -109,13 +110,15 @@ def candidate_mentions(candidates: DataFrame, claims: DataFrame, rare: int = 1)
     from assaylake.functions.scalars import mentions
 
     names = candidates.select("candidate_id", F.lower(F.trim("name")).alias("name")).where("length(name) >= 2")
-    index = claims.select("claim_id", F.explode(mention_tokens(F.col("text"))).alias("token"))
+    named = names.select("candidate_id", "name", F.explode(mention_tokens(F.col("name"))).alias("token"))
+    wanted = few(named.select("token").distinct(), 100_000)  # tokens of no name aren't shuffled
+    index = claims.select("claim_id", F.explode(mention_tokens(F.col("text"))).alias("token")).join(wanted, "token", "left_semi")
     counts = index.groupBy("token").agg(F.count("*").alias("often"))
-    tokens = names.select("candidate_id", "name", F.explode(mention_tokens(F.col("name"))).alias("token")).join(counts, "token", "left")
+    tokens = named.join(counts, "token", "left")
     # A token that no claim holds settles the name: it is its rarest, and nothing joins it.
     rarest = tokens.groupBy("candidate_id", "name").agg(F.min_by("token", F.struct(F.coalesce("often", F.lit(0)), "token")).alias("token"))
     found = rarest.join(index, "token").join(claims.select("claim_id", F.lower("text").alias("_text")), "claim_id")
-    return found.where(mentions(F.col("_text"), F.col("name"))).select("candidate_id", "claim_id").distinct()
+    return found.where(F.contains("_text", "name") & mentions(F.col("_text"), F.col("name"))).select("candidate_id", "claim_id").distinct()
 
 
 def material_hints(claims: DataFrame, by: str) -> DataFrame:
