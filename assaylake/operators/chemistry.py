@@ -65,7 +65,8 @@ def formula_elements(rows: DataFrame, entity: str, formula: str) -> DataFrame:
 
     @F.pandas_udf("counts map<string,double>, error string")
     def parse(column: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([formula_counts(x) for x in column], columns=["counts", "error"])
+        known = {x: formula_counts(x) for x in column.unique()}
+        return pd.DataFrame([known[x] for x in column], columns=["counts", "error"])
 
     return rows.select(entity, parse(formula).alias("p")).select(entity, "p.counts", "p.error")
 
@@ -79,8 +80,10 @@ def reduced_formula(counts: Column) -> Column:
     steps = F.sequence(F.lit(1), F.lit(96))
     euclid = lambda x, y: F.aggregate(steps, pair(x, y), lambda s, _: F.when(s["b"] == 0, s).otherwise(pair(s["b"], s["a"] % s["b"])))["a"]
     divisor = F.aggregate(amounts, F.lit(0).cast("long"), lambda d, v: euclid(v.cast("long"), d))
-    text = lambda k: F.concat(k, F.when(F.element_at(counts, k).cast("long") == divisor, F.lit("")).otherwise((F.element_at(counts, k) / divisor).cast("long").cast("string")))
-    return F.when(whole, F.array_join(F.transform(F.array_sort(F.map_keys(counts)), text), ""))
+    text = lambda k, d: F.concat(k, F.when(F.element_at(counts, k).cast("long") == d, F.lit("")).otherwise((F.element_at(counts, k) / d).cast("long").cast("string")))
+    # The divisor is bound by a list of one: named inside, it would be computed twice an element.
+    of = F.transform(F.array(divisor), lambda d: F.array_join(F.transform(F.array_sort(F.map_keys(counts)), lambda k: text(k, d)), ""))
+    return F.when(whole, F.get(of, F.lit(0)))
 
 
 def chemical_system(symbols: Column, least: int = 1) -> Column:
