@@ -8,7 +8,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from assaylake.operators import control, fronts, routing
+from assaylake.functions.sizes import few
+from assaylake.operators import chemistry, claims, control, fronts, routing
 from assaylake.plans import novelty
 
 
@@ -102,3 +103,38 @@ def test_near_pairs_are_made_once_and_counted_by_class(spark, monkeypatch, block
     # 120 parts of 35 sizes and prices: the classes are paired, not the parts
     got = novelty.pair_counts(Tables)
     assert {(r.p_brand, r.p_type, r.relation): r.n_pairs for r in got.collect()} == counts
+
+
+@pytest.mark.parametrize("block", [4096, 3])
+def test_cover_of_two_axes_is_a_running_maximum(spark, monkeypatch, block):
+    """Random sets against all pairs of members; no call of Python a set."""
+    monkeypatch.setattr(control, "BLOCK", block)
+    rng = random.Random(9)
+    rows = [(k, r, float(rng.randrange(6)), float(rng.randrange(6))) for k in range(12) for r in (0, 1, 3) for _ in range(rng.randrange(1, 9))]
+    out = control.cover(spark.createDataFrame(rows, "k long, r long, x double, y double"), ["k"], "r", ["x", "y"])
+    of = lambda k, r: [p[2:] for p in rows if p[:2] == (k, r)]
+    covers = lambda a, b: all(any(p[0] >= q[0] and p[1] >= q[1] for p in a) for q in b)
+    want = {(k, r, None if before is None else covers(of(k, r), of(k, before)) - covers(of(k, before), of(k, r))) for k in range(12) for r, before in ((0, None), (1, 0), (3, 1))}
+    assert set(map(tuple, out.collect())) == want and out.count() == len(want)
+    assert "InPandas" not in plan(out)
+
+
+def test_divisor_of_a_formula_is_computed_once(spark):
+    df = spark.createDataFrame([({"H": 4.0, "O": 2.0},), ({"H": 1.5},)], "c map<string,double>")
+    out = df.select(chemistry.reduced_formula(F.col("c")).alias("f"))
+    assert [r.f for r in out.collect()] == ["H2O", None]
+    assert plan(out).count("[1,2,3,4,5,6,7,8") <= 1
+
+
+def test_few_criteria_and_requirements_are_sent(spark):
+    rows = spark.range(9)
+    assert "strategy=broadcast" in plan(rows.join(few(spark.range(3)), "id"))
+    assert "strategy=broadcast" not in plan(rows.join(few(spark.range(30), 20), "id"))
+
+
+def test_tokens_of_no_name_are_not_shuffled(spark):
+    names = spark.createDataFrame([(1, "red cat"), (2, "dog")], "candidate_id long, name string")
+    texts = spark.createDataFrame([(7, "A red cat."), (8, "red dogs cat"), (9, "hot dog")], "claim_id long, text string")
+    out = claims.candidate_mentions(names, texts)
+    assert set(map(tuple, out.collect())) == {(1, 7), (2, 9)}
+    assert plan(out).count("LeftSemi") == 2
