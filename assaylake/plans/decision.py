@@ -8,6 +8,7 @@ from assaylake.functions import scalars as S
 from assaylake.operators import assessment
 from assaylake.operators import decision as O
 from assaylake.plans.registry import query
+from assaylake.session import materialize
 
 # A case is an order: its criteria are its items' part types, each under the year of shipping.
 CRIT = """crit AS (
@@ -130,7 +131,7 @@ statuses AS (SELECT *, CASE WHEN n_ok > 0 AND scopes = 1 THEN CASE WHEN values_
 
 
 def assessed(t):
-    lines = t.spark.sql(LINES, lineitem=t.lineitem, part=t.part)
+    lines = materialize(t.spark.sql(LINES, lineitem=t.lineitem, part=t.part), "lines")  # read three times below
     same = ["candidate_id", "role_id", "validator_id", "status"]
     price = lines.select(*same, F.concat("line", F.lit("/price")).alias("observation_id"), F.lit("unit_price").alias("property_name"), "unit", F.create_map(F.lit("year"), "y", F.lit("flag"), "flag").alias("conditions"), "value", "lower_bound", "upper_bound")
     lot = lines.select(*same, F.concat("line", F.lit("/lot")).alias("observation_id"), F.lit("lot").alias("property_name"), F.lit("pieces").alias("unit"), F.expr("cast(map() as map<string,string>)").alias("conditions"), *[F.col("l_quantity").alias(c) for c in ("value", "lower_bound", "upper_bound")])
@@ -175,7 +176,7 @@ SELECT candidate_id, role_id, floor(100.0 * a / n * 10000 + 0.5) / 10000 AS comp
   array_to_string(list_sort(list_concat(steps, list_filter([CASE WHEN o_totalprice > 450000 THEN 'resolve_model_disagreement' END, CASE WHEN o_orderstatus = 'P' THEN 'close_retrieval_seed' END], lambda x: x IS NOT NULL))), ';') AS next_steps FROM f""")
 def explanations(t):
     """Codes that explain each order's part types: what speaks for and against them, what is open, and what to do next."""
-    found = assessed(t)[0]
+    found = materialize(assessed(t)[0], "assessed")
     gates = found.where("criterion_id LIKE '%/lot'").groupBy("candidate_id", "role_id").agg(F.max("hard_gate").alias("hard_gate"))
     of = t.orders.select(
         F.col("o_orderkey").alias("candidate_id"), F.when(F.col("o_orderstatus") == "P", "retrieval_seed").alias("origin"), F.when(F.col("o_totalprice") > 300000, 1).when(F.col("o_totalprice") > 100000, 3).alias("front"),
