@@ -86,7 +86,10 @@ def pool_score(t):
 
     rows = available(t).withColumn("criterion_id", F.lit("price")).withColumn("weight", F.lit(1.0))
     out = O.pool_scores(rows, "candidate_id", "group_id", "worst", "weight").withColumn("score", S.rounded(F.col("score")))
-    return out.withColumn("rank", F.dense_rank().over(Window.partitionBy("group_id").orderBy(F.col("score").desc_nulls_last())).cast("long"))
+    out = materialize(out, "scored").withColumn("_s", F.struct("score"))  # in a struct a missing score joins too
+    ranks = out.select("group_id", "_s").distinct()  # a group's distinct scores: of four digits, at most a million
+    ranks = ranks.withColumn("rank", F.dense_rank().over(Window.partitionBy("group_id").orderBy(F.col("_s.score").desc_nulls_last())).cast("long"))
+    return out.join(ranks, ["group_id", "_s"]).drop("_s")
 
 
 @query(f"WITH {CRIT} SELECT role_id, floor(100.0 * count(CASE WHEN status = 'available' THEN 1 END) / count(*) * 10000 + 0.5) / 10000 AS completeness, count(*) AS n_criteria, bool_and(status = 'available') AS ready FROM crit GROUP BY 1")
