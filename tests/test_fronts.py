@@ -52,3 +52,43 @@ def test_groups_of_all_sizes(spark, monkeypatch, most, block):
     got = fronts.all_fronts(df, "id", "g", [(F.col("w0"), F.col("b0")), (F.col("w1"), F.col("b1"))]).collect()
     assert len(got) == len(want) and {r.id: r.front for r in got} == want
     assert fronts.all_fronts(df.limit(0), "id", "g", [(F.col("w0"), F.col("b0"))]).collect() == []
+
+
+@pytest.mark.parametrize("axes", [1, 2, 4])
+@pytest.mark.parametrize("high", [4, 30, 10**6])
+def test_needed_points_reach_what_all_reach(monkeypatch, axes, high):
+    monkeypatch.setattr(fronts, "MEET", 64)
+    rng = np.random.default_rng(axes)
+
+    def plain(best, points, numbers):
+        beats = (points[None] >= best[:, None]).all(2) & (points[None] > best[:, None]).any(2)
+        return np.where(beats, numbers[None], 0).max(1, initial=0)
+
+    for n in (0, 1, 50, 900):
+        points, numbers, rows = rng.integers(0, high, (n, axes)).astype(float), rng.integers(1, 9, n), rng.integers(0, high, (200, axes)).astype(float)
+        few = fronts.needed(points, numbers)
+        for best in (rows, points):
+            want = plain(best, points, numbers)
+            assert (fronts.reached(best, points, numbers) == want).all() and (fronts.reached(best, *few) == want).all()
+        assert n < 900 or len(few[1]) < 600
+
+
+@pytest.mark.parametrize(("fine", "wide"), [(512, 3), (2, 0)])
+def test_distinct_values_of_large_groups_take_few_rounds(spark, monkeypatch, fine, wide):
+    """Two groups without equal rows: a round for each MOST rows of fronts wrote more than 40 tables here. Two bins an axis are too few: the rest goes by blocks."""
+    monkeypatch.setattr(fronts, "MOST", 60)
+    monkeypatch.setattr(fronts, "BLOCK", 24)
+    monkeypatch.setattr(fronts, "FINE", fine)
+    written, write = [], fronts.materialize
+    monkeypatch.setattr(fronts, "materialize", lambda df, name: written.append(name) or write(df, name))
+    rng = np.random.default_rng(fine + wide)
+    rows, want = [], {}
+    for g, n in (("a", 500 if fine > 2 else 150), ("b", 130)):
+        worst = np.concatenate([rng.permutation(n)[:, None], rng.integers(0, 3, (n, 1)), rng.permutation(n)[:, None]], axis=1).astype(float)
+        best = worst + rng.integers(0, wide + 1, worst.shape)
+        rows += [(f"{g}{i}", g, *map(float, w), *map(float, b)) for i, (w, b) in enumerate(zip(worst, best, strict=True))]
+        want |= {f"{g}{i}": front for i, front in enumerate(peeled(worst, best).tolist())}
+    df = spark.createDataFrame(rows, "id string, g string, w0 double, w1 double, w2 double, b0 double, b1 double, b2 double")
+    got = fronts.all_fronts(df, "id", "g", [(F.col(f"w{k}"), F.col(f"b{k}")) for k in range(3)]).collect()
+    assert len(got) == len(want) and {r.id: r.front for r in got} == want
+    assert fine == 2 or len(written) < 30
