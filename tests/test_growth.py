@@ -42,6 +42,20 @@ def test_routes_are_distinct_without_a_shuffle_of_pairs(spark, monkeypatch):
     assert not plan(out).startswith("Aggregate")
 
 
+def test_routes_travel_as_arrays(spark, monkeypatch):
+    """A row of each route went to each block of candidates; now an array does, which is unfolded after the join alone. Null ids stay."""
+    monkeypatch.setattr(routing, "CLASS_BLOCK", 2)
+    monkeypatch.setattr(routing, "ROUTE_BLOCK", 4)
+    candidates = spark.range(11).selectExpr("if(id = 5, null, id) AS candidate_id", "'x' AS candidate_type", "array('a') AS kinds")
+    routes = spark.range(30).selectExpr("if(id = 7, null, id) AS expert_id", "'m' AS modality", "'s' AS feature_space", "array('x') AS types", "array('a') AS kinds")
+    out = routing.expert_routes(candidates, routes)
+    got = list(map(tuple, out.collect()))
+    want = {(c if c != 5 else None, e if e != 7 else None, "m", "s") for c in range(11) for e in range(30)}
+    assert set(got) == want and len(got) == len(want)
+    text = plan(out)
+    assert 0 < text.index("explode(_routes") < text.index("Join") and "strategy=merge" in text
+
+
 def test_receipts_of_one_field_are_not_one_task(spark):
     """Policies are sent to the receipts: a join by field put all receipts of a field into one task."""
     text = "field string, property_name string, validator_id string, policy_version string, unit string, methods array<string>, required_conditions array<string>, required_gates array<string>"
